@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitgrain.llm import bpe_codec, exact_dedup, line_quality, mixing, token_counts, warc_zstd
+from commitgrain.llm import bpe_codec, exact_dedup, line_quality, mixing, ngram_join, token_counts, warc_zstd
 from commitgrain.llm._common import table
 
 
@@ -33,6 +33,10 @@ def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.pages_through_archives(table(spark, sf_dir, "pages"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_quality": op5_line_quality,
     "op6_pareto_mix": op6_pareto_mix,
     "op8_warc_zstd": op8_warc_zstd,
+    "op9_ngram_join": op9_ngram_join,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
