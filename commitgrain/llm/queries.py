@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitgrain.llm import bpe_codec, exact_dedup, line_quality, mixing, ngram_join, token_counts, warc_zstd
+from commitgrain.llm import bpe_codec, exact_dedup, line_quality, mixing, ngram_join, ordinal_quality, token_counts, warc_zstd
 from commitgrain.llm._common import table
 
 
@@ -20,6 +20,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratings = ordinal_quality.graded(table(spark, sf_dir, "labels"))
+    return ordinal_quality.ordinal_quality(table(spark, sf_dir, "documents"), ratings)
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_rules(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_ordinal_quality": op4_ordinal_quality,
     "op5_line_quality": op5_line_quality,
     "op6_pareto_mix": op6_pareto_mix,
     "op8_warc_zstd": op8_warc_zstd,
