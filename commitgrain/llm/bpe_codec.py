@@ -182,7 +182,7 @@ def encode(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str =
 
 
 def decode(encoded: DataFrame, vocabulary: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, text for each row of ids; null ids are none."""
+    """doc_id, ids, n_tokens, ids_sha256, text for each row of ids; null ids are none."""
     def run(batches):
         c = codec(vocabulary)
         for batch in batches:
@@ -190,13 +190,15 @@ def decode(encoded: DataFrame, vocabulary: str, *, key: str = "doc_id", ids: str
                 part = batch.slice(i, 64)
                 each = [np.zeros(0, np.int32) if not x.is_valid else x.values.to_numpy() for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in each], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each]),
-                     pa.array([c.decode(x).decode() for x in each], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "text"])
+                    [part.column(0), part.column(1), pa.array([len(x) for x in each], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each]),
+                     pa.array([c.decode(x).decode() for x in each], pa.string())], ["doc_id", "ids", "n_tokens", "ids_sha256", "text"])
 
-    return columns(encoded, key, ids).toDF("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, text string")
+    return columns(encoded, key, ids).toDF("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, text string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
+def round_trip(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, and ids
+    where they are asked for."""
     back = decode(encode(docs, vocabulary, key=key, text=text), vocabulary)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
+    names = ["doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256")]
+    return back.select(*names, *["ids"] * with_ids)

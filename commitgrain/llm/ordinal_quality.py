@@ -231,3 +231,17 @@ def ordinal_quality(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id",
 
     base = columns(docs, key, text).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return base.mapInArrow(run, SCORED)
+
+
+def select_good(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = 0.8, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, that `ordinal_quality` keeps."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, ratings, key=key, text=text, max_rows=max_rows))
+
+    def run(batches):
+        w, t = model.value
+        for batch in batches:
+            for rows, data, offsets in B.slices(batch, text):
+                _, tail, full = score(data, offsets, w, t)
+                yield rows.filter(pa.array(full & (tail >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

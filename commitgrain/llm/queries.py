@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitgrain.llm import bpe_codec, exact_dedup, line_quality, mixing, ngram_join, ordinal_quality, token_counts, warc_zstd
+from commitgrain.llm import bpe_codec, exact_dedup, line_quality, mixing, ngram_join, ordinal_quality, parse_dedup, sentence_spans, token_counts, warc_zstd
 from commitgrain.llm._common import table
 
 
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.span_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+def op7_parse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_dedup.parse_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.pages_through_archives(table(spark, sf_dir, "pages"))
 
@@ -47,11 +55,13 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentence_spans": op1_sentence_spans,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_ordinal_quality": op4_ordinal_quality,
     "op5_line_quality": op5_line_quality,
     "op6_pareto_mix": op6_pareto_mix,
+    "op7_parse_dedup": op7_parse_dedup,
     "op8_warc_zstd": op8_warc_zstd,
     "op9_ngram_join": op9_ngram_join,
     "op10_bpe_codec": op10_bpe_codec,
