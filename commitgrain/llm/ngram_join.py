@@ -2,8 +2,10 @@
 
 Every document is the set of its 4-word shingles, kept in one global order:
 rarest first, by a fixed-size sketch of all shingles' frequencies, then by
-hash. Two sets that reach the similarity share a shingle among the first
-n - ceil(similarity * n) + 1 of each, so only these prefixes are exchanged.
+hash. Two sets that reach the similarity share `least` shingles among the first
+n - ceil(similarity * n) + least of each, so only these prefixes are exchanged;
+least is 1 and a quarter of the shortest prefix, so that a shared passage alone
+makes no candidates.
 
 1. Equal sets are one class, represented by its smallest document.
 2. Prefix shingles meet in buckets, packed; in each shingle's list every set is
@@ -22,8 +24,8 @@ side, cannot reach the overlap that the smallest set below would need.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +33,12 @@ from commitgrain.llm import _bytes as B
 from commitgrain.llm._common import columns, partitions, stored
 from commitgrain.llm._components import components
 
-#: Cells of the frequency sketch: 2 MB on the driver and in each worker.
-CELLS = 1 << 18
+#: Cells of the frequency sketch, 8 MB on the driver and in each worker, and
+#: how they travel.
+CELLS, CHUNK = 1 << 20, 1 << 13
 #: Prefix shingles in a bucket, and members in a block, about.
 BUCKET, BLOCK = 1 << 20, 512
-SETS = "doc_id long, n int, c1 long, c2 long, cells array<int>, counts array<int>"
+SETS = "doc_id long, n int, c1 long, c2 long, counts binary"
 POSTINGS = "bucket int, tok binary, c1 binary, n binary, pos binary"
 
 
@@ -68,7 +71,7 @@ def class_ids(sets: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def cell(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(46)).astype(np.int64)
+    return (tokens >> np.uint64(44)).astype(np.int64)
 
 
 def _sets(batches):
@@ -79,14 +82,32 @@ def _sets(batches):
             sets, firsts = shingles(data, offsets)
             sketch += np.bincount(cell(sets), minlength=CELLS)
             c1, c2 = class_ids(sets, firsts)
-            none = pa.nulls(rows.num_rows, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(firsts).astype(np.int32)), pa.array(c1), pa.array(c2), none, none], names)
-    full = np.flatnonzero(sketch)
-    for part in np.array_split(full, max(1, len(full) // 8192)):
-        if len(part):
-            f = np.array([0, len(part)])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()),
-                                              B.list_column(part.astype(np.int32), f, pa.int32()), B.list_column(np.minimum(sketch[part], 2**31 - 1).astype(np.int32), f, pa.int32())], names)
+            none = pa.nulls(rows.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(firsts).astype(np.int32)), pa.array(c1), pa.array(c2), none], names)
+    if sketch.any():
+        part = TaskContext.get().partitionId()
+        for i in range(CELLS // CHUNK):  # rows of n = -1 carry the sketch: chunk and task in place of the digests
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int32()), pa.array([i], pa.int64()), pa.array([part], pa.int64()),
+                                              pa.array([sketch[i * CHUNK : (i + 1) * CHUNK].tobytes()], pa.binary())], names)
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts")], axis=0)
+    return pa.table({"chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def frequencies(found: DataFrame, tasks: int) -> np.ndarray:
+    """The tasks' sketches, summed 64 at a time; CELLS numbers come back."""
+    parts = found.filter("n < 0").select(F.col("c1").alias("chunk"), F.col("c2").alias("part"), "counts")
+    while True:
+        tasks = -(-tasks // 64)
+        parts = parts.withColumn("part", F.pmod("part", F.lit(tasks))).groupBy("chunk", "part").applyInArrow(_summed, "chunk long, part long, counts binary")
+        if tasks <= 1:
+            break
+    out = np.zeros(CELLS, np.int64)
+    for r in parts.toLocalIterator():
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] += np.frombuffer(r["counts"], np.int64)
+    return out
 
 
 def ordered(sets: np.ndarray, firsts: np.ndarray, frequency: np.ndarray) -> np.ndarray:
@@ -94,8 +115,13 @@ def ordered(sets: np.ndarray, firsts: np.ndarray, frequency: np.ndarray) -> np.n
     return sets[np.lexsort((sets, frequency[cell(sets)], B.owner(firsts)))]
 
 
+def least_shared(n: np.ndarray, pct: int) -> np.ndarray:
+    """Prefix shingles that a set of n has in common with any that reaches it."""
+    return 1 + (n - (pct * n + 99) // 100 + 1) // 4
+
+
 def prefix_length(n: np.ndarray, pct: int) -> np.ndarray:
-    return n - (pct * n + 99) // 100 + 1
+    return np.minimum(n, n - (pct * n + 99) // 100 + least_shared(n, pct))
 
 
 def _postings(frequency, pct: int, buckets: int):
@@ -123,7 +149,7 @@ def _postings(frequency, pct: int, buckets: int):
     return run
 
 
-def _unpack(table: pa.Table | pd.DataFrame) -> tuple[np.ndarray, ...]:
+def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
     kinds = (("tok", np.uint64), ("c1", np.int64), ("n", np.int32), ("pos", np.int32))
     return tuple(np.frombuffer(b"".join(x.as_buffer() for x in table.column(c)), k) for c, k in kinds)
 
@@ -147,7 +173,8 @@ def _lists(pct: int):
         lead = np.searchsorted(group, group)  # the list's first set in order of rank
         fits = (lead != np.arange(len(tok))) & (pct * np.maximum(n, n[lead]).astype(np.int64) <= 100 * np.minimum(n, n[lead]).astype(np.int64))
         leader = np.where(fits, c1[lead], 0)
-        return pa.table({"tok": pa.array(tok.view(np.int64)), "c1": pa.array(c1), "n": pa.array(n), "pos": pa.array(pos), "leader": pa.array(leader, mask=~fits)})
+        least = least_shared(np.minimum(n, n[lead]).astype(np.int64), pct)
+        return pa.table({"tok": pa.array(tok.view(np.int64)), "c1": pa.array(c1), "n": pa.array(n), "pos": pa.array(pos), "leader": pa.array(leader, mask=~fits), "least": pa.array(least)})
     return run
 
 
@@ -185,18 +212,18 @@ def trie_overlaps(leader: np.ndarray, sets: list[np.ndarray], pct: int) -> list[
     return out
 
 
-def _check(pct: int):
+def _check(frequency, pct: int):
     """A block: one leader's set and some members' sets -> links that hold."""
     def run(table: pa.Table) -> pa.Table:
         member, leader = table.column("member").to_pylist(), table.column("leader")[0].as_py()
-        sets = [(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(f.as_buffer(), np.int64)) for s, f in zip(table.column("tokens"), table.column("freqs"))]
-        tokens, freqs = np.concatenate([s for s, _ in sets]), np.concatenate([f for _, f in sets])
-        order = np.lexsort((tokens, freqs))
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("tokens")]
+        tokens = np.concatenate(sets)
+        order = np.lexsort((tokens, frequency.value[cell(tokens)]))
         new = np.ones(len(order), bool)
         new[1:] = tokens[order][1:] != tokens[order][:-1]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.cumsum(new) - 1
-        ranks = np.split(rank, np.cumsum([len(s) for s, _ in sets])[:-1])
+        ranks = np.split(rank, np.cumsum([len(s) for s in sets])[:-1])
         lead = member.index(None)
         mine = ranks[lead]
         others = [i for i in range(len(member)) if i != lead and member[i] is not None]
@@ -214,13 +241,12 @@ def _packed_sets(frequency):
                 c1, _ = class_ids(sets, firsts)
                 mine = pa.array(c1 == rows.column(0).to_numpy())  # an id may stand for several texts
                 sets = ordered(sets, firsts, frequency.value)
-                freqs = frequency.value[cell(sets)]
-                cut = lambda x: pa.array([x[firsts[i] : firsts[i + 1]].tobytes() for i in range(len(firsts) - 1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), cut(sets), cut(freqs)], ["c1", "tokens", "freqs"]).filter(mine)
+                packed = pa.array([sets[firsts[i] : firsts[i + 1]].tobytes() for i in range(len(firsts) - 1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(0), packed], ["c1", "tokens"]).filter(mine)
     return run
 
 
-def checked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+def checked(pairs: DataFrame, sets: DataFrame, frequency, pct: int) -> DataFrame:
     """(member, leader) pairs of class ids -> (a, b) links that hold. A leader
     with many members is copied to as many blocks as they fill."""
     blocks = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -228,8 +254,16 @@ def checked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     members = members.join(sets.withColumnRenamed("c1", "member"), "member")
     leaders = blocks.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     leaders = leaders.join(sets.withColumnRenamed("c1", "leader"), "leader").withColumn("member", F.lit(None).cast("long"))
-    rows = members.unionByName(leaders).select("leader", "block", "member", "tokens", "freqs")
-    return rows.groupBy("leader", "block").applyInArrow(_check(pct), "a long, b long")
+    rows = members.unionByName(leaders).select("leader", "block", "member", "tokens")
+    return rows.groupBy("leader", "block").applyInArrow(_check(frequency, pct), "a long, b long")
+
+
+def token_sets(base: DataFrame, classes: DataFrame, pairs: DataFrame, frequency) -> DataFrame:
+    """(c1, tokens) of the classes in pairs, from their representatives' texts."""
+    touched = pairs.select(F.explode(F.array("member", "leader")).alias("c1")).distinct()
+    reps = classes.join(touched, "c1").select("c1", F.col("rep").alias("doc_id"))
+    texts = base.join(reps, "doc_id").select("c1", "text")
+    return stored(texts.mapInArrow(_packed_sets(frequency), "c1 long, tokens binary"), "token-sets")
 
 
 def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pct: int = 85) -> DataFrame:
@@ -246,23 +280,15 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pc
     found = stored(base.mapInArrow(_sets, SETS), "sets")
     each = found.filter("n >= 0").select("doc_id", "n", "c1", "c2")
     classes = each.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    sketch = found.filter("n < 0").select(F.explode(F.arrays_zip("cells", "counts")).alias("c")).groupBy("c.cells").agg(F.sum("c.counts").alias("n"))
-    frequency = np.zeros(CELLS, np.int64)
-    got = sketch.toPandas()  # CELLS rows at most, whatever the input
-    frequency[got["cells"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    frequency = frequencies(found, base.rdd.getNumPartitions())
     shared = spark.sparkContext.broadcast(frequency)
     size = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(partitions(spark), int(size * (100 - pct) / 100 / BUCKET) + 1)
     packed = base.select("text").mapInArrow(_postings(shared, pct, buckets), POSTINGS)
-    lists = stored(packed.groupBy("bucket").applyInArrow(_lists(pct), "tok long, c1 long, n int, pos int, leader long"), "lists")
-    # the sets of classes that share a prefix shingle, from their representatives' texts
-    touched = lists.select("c1").distinct()
-    reps = classes.join(touched, "c1").select("c1", F.col("rep").alias("doc_id"))
-    texts = base.join(reps, "doc_id").select("c1", "text")
-    sets = texts.mapInArrow(_packed_sets(shared), "c1 long, tokens binary, freqs binary")
-    sets = stored(sets.dropDuplicates(["c1"]), "token-sets")
-    stars = stored(lists.filter("leader is not null").select(F.col("c1").alias("member"), "leader").distinct(), "stars")
-    first = stored(checked(stars, sets, pct), "links-1")
+    lists = stored(packed.groupBy("bucket").applyInArrow(_lists(pct), "tok long, c1 long, n int, pos int, leader long, least long"), "lists")
+    stars = lists.filter("leader is not null").groupBy(F.col("c1").alias("member"), "leader").agg(F.count(F.lit(1)).alias("k"), F.max("least").alias("least"))
+    stars = stored(stars.filter("k >= least").select("member", "leader"), "stars")
+    first = stored(checked(stars, token_sets(base, classes, stars, shared), shared, pct), "links-1")
     roots = components(first)
     # what is left: sets of one list in different components
     label = lists.join(roots, lists["c1"] == roots["node"], "left").select("tok", "c1", "n", "pos", F.coalesce("root", "c1").alias("comp"))
@@ -277,8 +303,11 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pc
     reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     fit = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.c1") < F.col("y.c1")))
     sizes = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * pct) & (reach >= need - F.least("x.pos", "y.pos"))
-    pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & fit & sizes).select(F.least("x.c1", "y.c1").alias("member"), F.greatest("x.c1", "y.c1").alias("leader")).distinct()
-    second = checked(stored(pairs, "pairs"), sets, pct)
+    least = 1 + F.floor((F.least("x.n", "y.n") - F.ceil(F.lit(pct) * F.least("x.n", "y.n") / F.lit(100)) + 1) / 4)
+    pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & fit & sizes).select(F.least("x.c1", "y.c1").alias("member"), F.greatest("x.c1", "y.c1").alias("leader"), least.alias("least"))
+    pairs = pairs.groupBy("member", "leader").agg(F.count(F.lit(1)).alias("k"), F.max("least").alias("least")).filter("k >= least").select("member", "leader")
+    pairs = stored(pairs, "pairs")
+    second = checked(pairs, token_sets(base, classes, pairs, shared), shared, pct)
     links = first.unionByName(second)
     # from classes to their smallest documents
     names = classes.select("c1", "rep")
