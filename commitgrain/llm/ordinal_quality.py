@@ -204,7 +204,7 @@ def fit_model(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text:
     base = columns(docs, key, text).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     chosen = F.broadcast(sample(ratings, max_rows))  # max_rows rows of two numbers
     rows = base.join(chosen, "doc_id").select("doc_id", "grade", "text")
-    got = rows.coalesce(1).mapInArrow(_fitted, "weights binary, thresholds binary").collect()
+    got = rows.repartition(1).mapInArrow(_fitted, "weights binary, thresholds binary").collect()
     if not got:
         return np.zeros(1 << BITS, np.float32), np.array([-30.0])
     return np.frombuffer(got[0]["weights"], "<f4"), np.frombuffer(got[0]["thresholds"], "<f8")
