@@ -172,8 +172,10 @@ def _lists(pct: int):
         tok, c1, n, pos, group = tok[many], c1[many], n[many], pos[many], group[many]
         lead = np.searchsorted(group, group)  # the list's first set in order of rank
         fits = (lead != np.arange(len(tok))) & (pct * np.maximum(n, n[lead]).astype(np.int64) <= 100 * np.minimum(n, n[lead]).astype(np.int64))
-        leader = np.where(fits, c1[lead], 0)
         least = least_shared(np.minimum(n, n[lead]).astype(np.int64), pct)
+        need = -(-pct * (n.astype(np.int64) + n[lead]) // (100 + pct))
+        fits &= (pos < n - need + least) & (pos[lead] < n[lead] - need + least)
+        leader = np.where(fits, c1[lead], 0)
         return pa.table({"tok": pa.array(tok.view(np.int64)), "c1": pa.array(c1), "n": pa.array(n), "pos": pa.array(pos), "leader": pa.array(leader, mask=~fits), "least": pa.array(least)})
     return run
 
@@ -302,8 +304,10 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pc
     need = F.ceil(F.lit(pct) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + pct))
     reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     fit = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.c1") < F.col("y.c1")))
-    sizes = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * pct) & (reach >= need - F.least("x.pos", "y.pos"))
+    # two sets that overlap enough share `least` shingles this near to the front of both
     least = 1 + F.floor((F.least("x.n", "y.n") - F.ceil(F.lit(pct) * F.least("x.n", "y.n") / F.lit(100)) + 1) / 4)
+    sizes = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * pct) & (reach >= need - F.least("x.pos", "y.pos"))
+    sizes &= (F.col("x.pos") < F.col("x.n") - need + least) & (F.col("y.pos") < F.col("y.n") - need + least)
     pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & fit & sizes).select(F.least("x.c1", "y.c1").alias("member"), F.greatest("x.c1", "y.c1").alias("leader"), least.alias("least"))
     pairs = pairs.groupBy("member", "leader").agg(F.count(F.lit(1)).alias("k"), F.max("least").alias("least")).filter("k >= least").select("member", "leader")
     pairs = stored(pairs, "pairs")
