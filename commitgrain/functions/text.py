@@ -36,7 +36,8 @@ def terms(text: Column) -> Column:
 
 def fit_vocabulary(texts: DataFrame, text: str, size: int = 100) -> DataFrame:
     """(term, idf) of the `size` terms with the highest count in the corpus."""
-    each = texts.select(F.monotonically_increasing_id().alias("_doc"), F.explode(terms(F.col(text))).alias("term"))
+    numbered = texts.select(F.monotonically_increasing_id().alias("_doc"), terms(F.col(text)).alias("_terms"))
+    each = numbered.select("_doc", F.explode("_terms").alias("term"))
     stats = each.groupBy("term", "_doc").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
     total = texts.agg(F.count(F.lit(1)).alias("docs"))
     top = stats.orderBy(F.desc("n"), "term").limit(size)

@@ -139,17 +139,18 @@ def permutation_importance(model: PipelineModel, df: DataFrame, keys: Sequence[s
     Each (feature, repeat) is one join of row numbers; rows may be limited to
     the `sample` smallest key hashes, as the option is meant."""
     names = model_columns(model)
-    base = df.select(*keys, "label", *names)
+    plain = [k for k in keys if k not in names]
+    base = df.select(*plain, "label", *names)
     if sample:
         base = base.orderBy(key_number(keys, "sample"), *keys).limit(sample)
-    base = base.persist()
+    base = base.withColumns({f"_k{r}{s}": key_number(keys, f"{r}/{s}") for r in range(repeats) for s in "ab"}).persist()
     right = lambda d: predict(model, d).agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("acc"))
-    numbered = lambda d, seed: d.withColumn("_n", F.row_number().over(Window.orderBy(key_number(keys, seed), *keys)))
+    numbered = lambda d, k, ties: d.withColumn("_n", F.row_number().over(Window.orderBy(k, *ties)))
     parts = []
     for name in names:
         for r in range(repeats):
-            other = numbered(base.select(*keys, F.col(name).alias("_x")), f"{name}/{r}/b").select("_n", "_x")
-            mixed = numbered(base, f"{name}/{r}/a").join(other, "_n").drop(name, "_n").withColumnRenamed("_x", name)
+            other = numbered(base, f"_k{r}b", names).select("_n", F.col(name).alias("_x"))
+            mixed = numbered(base, f"_k{r}a", names).drop(name).join(other, "_n").withColumnRenamed("_x", name)
             parts.append(right(mixed).select(F.lit(name).alias("feature"), "acc"))
     out = parts[0]
     for p in parts[1:]:

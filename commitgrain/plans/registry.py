@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commitgrain.plans import queries_profile, queries_rows, queries_text
+from commitgrain.plans import queries_models, queries_profile, queries_rows, queries_text
 
-ALL = {**queries_rows.QUERIES, **queries_text.QUERIES, **queries_profile.QUERIES}
+ALL = {**queries_rows.QUERIES, **queries_text.QUERIES, **queries_profile.QUERIES, **queries_models.QUERIES}
 flagship = queries_rows.flagship
 
 
