@@ -9,16 +9,17 @@ are. So:
 
 1. The dictionary: phrases are counted over the corpus. A phrase that occurs
    once ends here, with all strings that begin at it.
-2. The parse: each remaining phrase occurrence gets its context, the bytes on
-   either side that the strings around it can reach.
-3. Order: occurrences of a phrase are put in order of document and place, and
-   for each distance d before the phrase the strings that begin there are
-   sorted by the content that phrase and context give them. In each run of
-   equal strings, the first stays and the others are removed.
-
-Steps 2 and 3 do what merging the dictionary's and the parse's suffix arrays
-does, for prefixes of `length` bytes instead of whole suffixes. Strings are
-named by 64-bit hashes of the phrase and of the context.
+2. The parse: each remaining phrase occurrence refers to its dictionary entry,
+   the phrase with the bytes on either side that strings around it can reach.
+3. Order: the suffixes of the distinct entries are ranked by prefix doubling,
+   up to `length` bytes; entries of different phrases never tie. The parse puts
+   occurrences of equal suffixes in order of document and place, which together
+   is the corpus order of all strings that can repeat. In each run of equal
+   strings the first stays and the others are removed.
+
+The suffix arrays are built where phrases meet, a bucket at a time, and only
+over entries whose phrase repeats: text that occurs once is never sorted. Bytes
+are compared, not hashes; a hash only brings equal phrases to one bucket.
 """
 
 from __future__ import annotations
@@ -37,8 +38,12 @@ LENGTH, GRAM, REACH = 100, 16, 64
 PHRASE = LENGTH - REACH + 1
 #: Phrase occurrences in a bucket, about.
 BUCKET = 1 << 20
+#: Occurrences whose entries are sorted at a time.
+SORTED = 1 << 13
 COUNTED = "bucket int, phrase binary, digest binary, place binary, known_digest binary, known_place binary"
-CONTEXTS = "bucket int, phrase binary, doc binary, place binary, near binary, far binary, context binary"
+CONTEXTS = "bucket int, phrase binary, doc binary, place binary, near binary, far binary, entry binary"
+#: Bytes of an entry: a phrase and what strings around it reach.
+ENTRY = REACH - 1 + LENGTH
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,49 +144,57 @@ def _contexts(buckets: int):
                 keep = np.isin(places, wanted)
                 places, phrases, first, last = places[keep], phrases[keep], first[keep], last[keep]
                 doc = np.searchsorted(offsets, places, "right") - 1
-                reach = np.concatenate([np.arange(-(REACH - 1), 0), np.arange(PHRASE, LENGTH)])
+                reach = np.arange(-(REACH - 1), LENGTH)
                 padded = np.concatenate([data, np.zeros(1, np.uint8)])
                 for i in range(0, len(places), 16384):
                     p, d = places[i : i + 16384], doc[i : i + 16384]
-                    context = padded[np.clip(p[:, None] + reach, 0, len(data))]
+                    entry = padded[np.clip(p[:, None] + reach, 0, len(data))]
                     local = p - offsets[d]
                     full, packed = _bucketed((phrases[i : i + 16384] % np.uint64(buckets)).astype(np.int64), buckets,
-                                             [phrases[i : i + 16384], rows.column(0).to_numpy()[d], local.astype(np.int64), (p - last[i : i + 16384]).astype(np.int16), (p - first[i : i + 16384]).astype(np.int16), context])
+                                             [phrases[i : i + 16384], rows.column(0).to_numpy()[d], local.astype(np.int64), (p - last[i : i + 16384]).astype(np.int16), (p - first[i : i + 16384]).astype(np.int16), entry])
                     yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *packed], [c.split()[0] for c in CONTEXTS.split(", ")])
     return run
 
 
+def suffix_classes(entries: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes of all entries (rows of bytes) by their first
+    LENGTH bytes, for the first REACH suffixes of each: equal ranks, equal
+    strings; smaller ranks, smaller strings."""
+    rank, size = entries.astype(np.int64), 1
+    while size * 2 <= LENGTH:
+        rank = _pairs(rank[:, : rank.shape[1] - size], rank[:, size:])
+        size *= 2
+    return _pairs(rank[:, :REACH], rank[:, LENGTH - size : LENGTH - size + REACH])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    key = a * (int(b.max(initial=0)) + 1) + b
+    return np.unique(key, return_inverse=True)[1].reshape(key.shape)
+
+
 def _removed(table: pa.Table) -> pa.Table:
     """Of a bucket: the stretch that strings around each phrase occurrence
     remove, which is one stretch since they all overlap."""
     phrase, doc, place = _joined(table, "phrase", np.uint64), _joined(table, "doc", np.int64), _joined(table, "place", np.int64)
     near, far = _joined(table, "near", np.int16), _joined(table, "far", np.int16)
-    width = REACH - 1 + LENGTH - PHRASE
-    context = _joined(table, "context", np.uint8).reshape(-1, width)
+    entry = _joined(table, "entry", np.uint8).reshape(-1, ENTRY)
     begin, end = np.full(len(phrase), np.iinfo(np.int64).max), np.full(len(phrase), -1)
     order = np.lexsort((place, doc, phrase))
     head = np.ones(len(order), bool)
     head[1:] = phrase[order][1:] != phrase[order][:-1]
     cuts = np.append(np.flatnonzero(head), len(order))
-    limit, i = 1 << 16, 0
-    up, down = B.power_tables(width + 1)
-    letters = B.byte_table(33)
-    while i < len(cuts) - 1:  # whole phrases, about `limit` occurrences at a time
-        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + limit, "right")) - 1)
+    i = 0
+    while i < len(cuts) - 1:  # whole phrases, about SORTED occurrences at a time
+        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + SORTED, "right")) - 1)
         rows = order[cuts[i] : cuts[j]]
-        sums = np.zeros((width + 1, len(rows)), np.uint64)
-        np.cumsum((letters[context[rows]] * up[:width]).T, axis=0, out=sums[1:])
-        salt = B.mix(phrase[rows])
-        rank = np.empty(len(rows), np.int64)
-        rank[np.lexsort((place[rows], doc[rows]))] = np.arange(len(rows))
-        by_rank = np.argsort(rank)
+        rows = rows[np.lexsort((place[rows], doc[rows]))]
+        dictionary, parse = np.unique(np.ascontiguousarray(entry[rows]).view(f"V{ENTRY}").ravel(), return_inverse=True)
+        classes = suffix_classes(dictionary.view(np.uint8).reshape(-1, ENTRY))
         for d in range(REACH):
-            some = by_rank[(near[rows][by_rank] <= d) & (d <= far[rows][by_rank])]
-            left = REACH - 1 - d
-            content = B.mix((sums[left + LENGTH - PHRASE][some] - sums[left][some]) * down[left] + salt[some])
-            o = np.argsort(content, kind="stable")
-            later = np.zeros(len(some), bool)
-            later[o[1:]] = content[o[1:]] == content[o[:-1]]
+            some = np.flatnonzero((near[rows] <= d) & (d <= far[rows]))
+            _, first = np.unique(classes[parse[some], REACH - 1 - d], return_index=True)
+            later = np.ones(len(some), bool)
+            later[first] = False
             gone = rows[some[later]]
             begin[gone] = np.minimum(begin[gone], place[gone] - d)
             end[gone] = np.maximum(end[gone], place[gone] - d + LENGTH)
