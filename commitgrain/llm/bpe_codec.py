@@ -49,7 +49,7 @@ class Codec:
             self.after.setdefault(a, {})[b] = r
         self.halves = {a + b: (a, b, r) for (a, b), r in reversed(self.ranks.items())}
         self.left_edge, self.right_edge = _bpe.Memo(lambda t: self._edge(t, 0)), _bpe.Memo(lambda t: self._edge(t, 1))
-        self.pairs = _bpe.Memo(self._compatible, 400_000)
+        self.pairs = _bpe.Memo(self._compatible, 150_000)
         # a token that merging does not produce from its own bytes never occurs
         self.ids = {t: i for t, i in vocab.items() if len(t) == 1 or t in self.halves and self._whole(t)}
         self.shorter = {t: next((t[:n] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), None) for t in self.ids}
@@ -59,7 +59,7 @@ class Codec:
         self.match.make_automaton()
         self.pieces = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special_ids) + ")")
-        self.memo = _bpe.Memo(self._piece, 500_000)
+        self.memo = _bpe.Memo(self._piece, 250_000)
         # the offset table for decoding
         size = max([*vocab.values(), *self.special_ids.values()]) + 1
         every = [b""] * size
@@ -198,7 +198,21 @@ def decode(encoded: DataFrame, vocabulary: str, *, key: str = "doc_id", ids: str
 
 def round_trip(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, and ids
-    where they are asked for."""
-    back = decode(encode(docs, vocabulary, key=key, text=text), vocabulary)
-    names = ["doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256")]
-    return back.select(*names, *["ids"] * with_ids)
+    where they are asked for: `encode` and `decode` in one pass, so that a task
+    holds the vocabulary once. Nulls and repeated ids are as in `encode`."""
+    def run(batches):
+        c = codec(vocabulary)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                raw = [c.encode(t or "") for t in part.column(1).to_pylist()]
+                each = [np.frombuffer(r, "<i4") for r in raw]
+                columns_ = [part.column(0), pa.array([len(x) for x in each], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
+                            pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in each], pa.string())]
+                if with_ids:
+                    firsts = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+                    columns_.append(pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(np.concatenate(each), pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns_, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+
+    base = columns(docs, key, text).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

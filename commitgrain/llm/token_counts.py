@@ -44,7 +44,7 @@ class Counter:
                     continue  # part of a character: no pre-token
         merged = tokenizers.Tokenizer.from_file(path).model.tokenize
         letter = self.letters.__getitem__
-        self.counts = _bpe.Memo(lambda piece: 1 if piece in self.whole else len(merged("".join(map(letter, piece.encode())))), 500_000)
+        self.counts = _bpe.Memo(lambda piece: 1 if piece in self.whole else len(merged("".join(map(letter, piece.encode())))), 250_000)
 
     def merged(self, letters: str) -> list[str]:
         """Tokens of one pre-token that is given in the vocabulary's letters."""
