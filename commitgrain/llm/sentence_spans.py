@@ -58,8 +58,6 @@ def runs(counts: list[int], least: int = MIN_WORDS, lone: int = LONE) -> list[tu
         if j > n:
             break
         found.add((i, j))
-        if j - i > 1 and i + 1 < j and counts[i] >= lone and fits(i, i + 1):
-            found.add((i, i + 1))
     i = n - 1
     for j in range(n, 0, -1):
         i = min(i, j - 1)
