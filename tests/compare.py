@@ -1,6 +1,5 @@
 """Results of a query and of its SQL as sorted lists of plain rows."""
 
-import math
 import os
 from datetime import datetime
 
@@ -12,7 +11,7 @@ import pandas as pd
 def plain(v):
     if isinstance(v, (list, tuple, np.ndarray)):
         return tuple(plain(x) for x in v)
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or pd.isna(v):
         return None
     if isinstance(v, (bool, np.bool_)):
         return bool(v)
