@@ -9,8 +9,9 @@ makes no candidates.
 
 1. Equal sets are one class, represented by its smallest document.
 2. Prefix shingles meet in buckets, packed; in each shingle's list every set is
-   linked to one leader of fitting size. The pairs (member, leader) are then
-   checked exactly: a leader walks the tree of its members' sets.
+   paired with the first few in one order of all sets, its leaders. The leaders
+   that a set meets most often are checked exactly: a leader walks the tree of
+   its members' sets.
 3. Sets of one list that the checked links have not brought together are
    paired and checked too. A pair inside one component decides nothing, so it
    is never formed; copies by the thousand cost one link each.
@@ -26,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitgrain.llm import _bytes as B
@@ -38,6 +39,8 @@ from commitgrain.llm._components import components
 CELLS, CHUNK = 1 << 20, 1 << 13
 #: Prefix shingles in a bucket, and members in a block, about.
 BUCKET, BLOCK = 1 << 20, 512
+#: Sets that each one is first checked against.
+LEADERS = 8
 SETS = "doc_id long, n int, c1 long, c2 long, counts binary"
 POSTINGS = "bucket int, tok binary, c1 binary, n binary, pos binary"
 
@@ -156,7 +159,7 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
 
 def _lists(pct: int):
     """Of a bucket: the lists of shingles that two sets or more have, as rows
-    (c1, leader) for links to check and (tok, c1, n, pos) for what they hold."""
+    (tok, c1, n, pos) with the sets to check each one against."""
     def run(table: pa.Table) -> pa.Table:
         tok, c1, n, pos = _unpack(table)
         rank = B.mix(c1.view(np.uint64))
@@ -170,13 +173,18 @@ def _lists(pct: int):
         group = np.cumsum(head) - 1
         many = np.bincount(group)[group] > 1 if len(group) else head
         tok, c1, n, pos, group = tok[many], c1[many], n[many], pos[many], group[many]
-        lead = np.searchsorted(group, group)  # the list's first set in order of rank
-        fits = (lead != np.arange(len(tok))) & (pct * np.maximum(n, n[lead]).astype(np.int64) <= 100 * np.minimum(n, n[lead]).astype(np.int64))
-        least = least_shared(np.minimum(n, n[lead]).astype(np.int64), pct)
-        need = -(-pct * (n.astype(np.int64) + n[lead]) // (100 + pct))
-        fits &= (pos < n - need + least) & (pos[lead] < n[lead] - need + least)
-        leader = np.where(fits, c1[lead], 0)
-        return pa.table({"tok": pa.array(tok.view(np.int64)), "c1": pa.array(c1), "n": pa.array(n), "pos": pa.array(pos), "leader": pa.array(leader, mask=~fits), "least": pa.array(least)})
+        # pairs of each set with the list's first LEADERS sets in order of rank
+        n = n.astype(np.int64)
+        lead = np.searchsorted(group, group)
+        count = np.minimum(np.arange(len(tok)) - lead, LEADERS)
+        mine = np.repeat(np.arange(len(tok)), count)
+        other = lead[mine] + np.arange(len(mine)) - np.repeat(np.cumsum(count) - count, count)
+        least = least_shared(np.minimum(n[mine], n[other]), pct)
+        need = -(-pct * (n[mine] + n[other]) // (100 + pct))
+        fits = pct * np.maximum(n[mine], n[other]) <= 100 * np.minimum(n[mine], n[other])
+        fits &= (pos[mine] < n[mine] - need + least) & (pos[other] < n[other] - need + least)
+        firsts = np.searchsorted(mine[fits], np.arange(len(tok) + 1))
+        return pa.table({"tok": pa.array(tok.view(np.int64)), "c1": pa.array(c1), "n": pa.array(n.astype(np.int32)), "pos": pa.array(pos), "leaders": B.list_column(c1[other[fits]], firsts, pa.int64())})
     return run
 
 
@@ -287,9 +295,11 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pc
     size = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(partitions(spark), int(size * (100 - pct) / 100 / BUCKET) + 1)
     packed = base.select("text").mapInArrow(_postings(shared, pct, buckets), POSTINGS)
-    lists = stored(packed.groupBy("bucket").applyInArrow(_lists(pct), "tok long, c1 long, n int, pos int, leader long, least long"), "lists")
-    stars = lists.filter("leader is not null").groupBy(F.col("c1").alias("member"), "leader").agg(F.count(F.lit(1)).alias("k"), F.max("least").alias("least"))
-    stars = stored(stars.filter("k >= least").select("member", "leader"), "stars")
+    lists = stored(packed.groupBy("bucket").applyInArrow(_lists(pct), "tok long, c1 long, n int, pos int, leaders array<long>"), "lists")
+    stars = lists.select(F.col("c1").alias("member"), "n", F.explode("leaders").alias("leader")).groupBy("member", "n", "leader").agg(F.count(F.lit(1)).alias("k"))
+    stars = stars.filter(F.col("k") * 3 >= 1 + (F.col("n") - F.ceil(F.lit(pct) * F.col("n") / F.lit(100)) + 1) / 4)
+    best = Window.partitionBy("member").orderBy(F.desc("k"), "leader")
+    stars = stored(stars.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= LEADERS).select("member", "leader"), "stars")
     first = stored(checked(stars, token_sets(base, classes, stars, shared), shared, pct), "links-1")
     roots = components(first)
     # what is left: sets of one list in different components
