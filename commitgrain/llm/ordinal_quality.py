@@ -167,6 +167,12 @@ def score(data: np.ndarray, offsets: np.ndarray, w: np.ndarray, thresholds: np.n
     return tail.sum(1), tail[:, -1], np.diff(firsts) > 0
 
 
+def good(tail: np.ndarray, full: np.ndarray, thresholds: np.ndarray, least: float) -> np.ndarray:
+    """Documents with a word whose probability of the best grade is at least
+    `least` times that of a document without any demerit."""
+    return full & (tail >= least / (1 + np.exp(np.clip(thresholds[-1], -40, 40))))
+
+
 def _fitted(batches):
     rows = [(doc, grade, t or "") for b in batches for doc, grade, t in zip(*(c.to_pylist() for c in b.columns))]
     rows.sort()  # the sample is bounded; in order, the fit is the same in every run
@@ -213,7 +219,8 @@ def fit_model(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text:
 def ordinal_quality(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text: str = "text",
                     least: float = 0.8, max_rows: int = MAX_ROWS) -> DataFrame:
     """One row a document: doc_id, expected_grade, tail_probability (of the
-    best grade), kept (tail_probability >= least).
+    best grade), kept (tail_probability at least `least` times that of a
+    document without demerits, so few labels do not reject the ordinary).
 
     Every document is scored over its whole text. Null and wordless texts are
     not kept, with grade 0 and probability 0; repeated ids give a row each; an
@@ -226,7 +233,7 @@ def ordinal_quality(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id",
         for batch in batches:
             for rows, data, offsets in B.slices(batch, "text"):
                 expected, tail, full = score(data, offsets, w, t)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.where(full, expected, 0.0)), pa.array(np.where(full, tail, 0.0)), pa.array(full & (tail >= least))],
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.where(full, expected, 0.0)), pa.array(np.where(full, tail, 0.0)), pa.array(good(tail, full, t, least))],
                                                  ["doc_id", "expected_grade", "tail_probability", "kept"])
 
     base = columns(docs, key, text).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -242,6 +249,6 @@ def select_good(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", tex
         for batch in batches:
             for rows, data, offsets in B.slices(batch, text):
                 _, tail, full = score(data, offsets, w, t)
-                yield rows.filter(pa.array(full & (tail >= least)))
+                yield rows.filter(pa.array(good(tail, full, t, least)))
 
     return docs.mapInArrow(run, docs.schema)
