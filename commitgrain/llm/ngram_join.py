@@ -4,7 +4,7 @@ Every document is the set of its 4-word shingles, kept in one global order:
 rarest first, by a fixed-size sketch of all shingles' frequencies, then by
 hash. Two sets that reach the similarity share `least` shingles among the first
 n - ceil(similarity * n) + least of each, so only these prefixes are exchanged;
-least is 1 and a quarter of the shortest prefix, so that a shared passage alone
+least is 1 and a 16th of the shortest prefix, so that a few shared words alone
 makes no candidates.
 
 1. Equal sets are one class, represented by its smallest document.
@@ -120,7 +120,7 @@ def ordered(sets: np.ndarray, firsts: np.ndarray, frequency: np.ndarray) -> np.n
 
 def least_shared(n: np.ndarray, pct: int) -> np.ndarray:
     """Prefix shingles that a set of n has in common with any that reaches it."""
-    return 1 + (n - (pct * n + 99) // 100 + 1) // 4
+    return 1 + (n - (pct * n + 99) // 100 + 1) // 16
 
 
 def prefix_length(n: np.ndarray, pct: int) -> np.ndarray:
@@ -297,7 +297,7 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pc
     packed = base.select("text").mapInArrow(_postings(shared, pct, buckets), POSTINGS)
     lists = stored(packed.groupBy("bucket").applyInArrow(_lists(pct), "tok long, c1 long, n int, pos int, leaders array<long>"), "lists")
     stars = lists.select(F.col("c1").alias("member"), "n", F.explode("leaders").alias("leader")).groupBy("member", "n", "leader").agg(F.count(F.lit(1)).alias("k"))
-    stars = stars.filter(F.col("k") * 3 >= 1 + (F.col("n") - F.ceil(F.lit(pct) * F.col("n") / F.lit(100)) + 1) / 4)
+    stars = stars.filter(F.col("k") * 3 >= 1 + (F.col("n") - F.ceil(F.lit(pct) * F.col("n") / F.lit(100)) + 1) / 16)
     best = Window.partitionBy("member").orderBy(F.desc("k"), "leader")
     stars = stored(stars.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= LEADERS).select("member", "leader"), "stars")
     first = stored(checked(stars, token_sets(base, classes, stars, shared), shared, pct), "links-1")
@@ -315,7 +315,7 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pc
     reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     fit = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.c1") < F.col("y.c1")))
     # two sets that overlap enough share `least` shingles this near to the front of both
-    least = 1 + F.floor((F.least("x.n", "y.n") - F.ceil(F.lit(pct) * F.least("x.n", "y.n") / F.lit(100)) + 1) / 4)
+    least = 1 + F.floor((F.least("x.n", "y.n") - F.ceil(F.lit(pct) * F.least("x.n", "y.n") / F.lit(100)) + 1) / 16)
     sizes = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * pct) & (reach >= need - F.least("x.pos", "y.pos"))
     sizes &= (F.col("x.pos") < F.col("x.n") - need + least) & (F.col("y.pos") < F.col("y.n") - need + least)
     pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & fit & sizes).select(F.least("x.c1", "y.c1").alias("member"), F.greatest("x.c1", "y.c1").alias("leader"), least.alias("least"))
