@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,9 +137,11 @@ def decode_record(raw: bytes) -> dict:
     return out
 
 
-def write_file(fs, folder: str, records: list[bytes]) -> tuple[str, int]:
-    """One archive file, named by its content, and under a hidden name until
-    it is whole."""
+def write_file(fs, folder: str, records: list[bytes], place: str) -> tuple[str, int]:
+    """One archive file, named by its place and content, and under a hidden
+    name until it is whole. The place is the task's partition and the file's
+    number in it: equal content elsewhere is a file of its own, and a task
+    that is run again writes the same names."""
     sample, total = [], 0
     for r in records:
         sample.append(r)
@@ -154,7 +157,7 @@ def write_file(fs, folder: str, records: list[bytes]) -> tuple[str, int]:
     maker = zstandard.ZstdCompressor(level=3, dict_data=dictionary) if dictionary else zstandard.ZstdCompressor(level=3)
     body = [dictionary_frame(dictionary.as_bytes())] if dictionary else []
     body += [maker.compress(r) for r in records]
-    name = f"part-{hashlib.sha256(b''.join(body)).hexdigest()[:32]}.warc.zst"
+    name = f"part-{place}-{hashlib.sha256(b''.join(body)).hexdigest()[:32]}.warc.zst"
     draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(draft) as f:
         for x in body:
@@ -170,6 +173,7 @@ def _writer(uri: str):
         fs, folder = pafs.FileSystem.from_uri(uri)
         fs.create_dir(folder, recursive=True)
         records, size, done = [], 0, []
+        part = TaskContext.get().partitionId()
         for batch in batches:
             for page_id, url, html, sha1, refers in zip(*(batch.column(i) for i in range(5))):
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
@@ -178,10 +182,10 @@ def _writer(uri: str):
                                              None if of is None else f"urn:page:{of}"))
                 size += len(payload) + 512
                 if size >= FILE_BYTES:
-                    done.append(write_file(fs, folder, records))
+                    done.append(write_file(fs, folder, records, f"{part:05d}-{len(done):05d}"))
                     records, size = [], 0
         if records:
-            done.append(write_file(fs, folder, records))
+            done.append(write_file(fs, folder, records, f"{part:05d}-{len(done):05d}"))
         yield pa.RecordBatch.from_pandas(pd.DataFrame(done, columns=["archive", "records"]), preserve_index=False)
     return run
 

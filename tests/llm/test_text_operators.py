@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -291,6 +292,28 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc_zstd.pages_through_archives(pages.limit(0)).count() == 0
 
 
+def test_warc_keeps_repeated_rows(spark, tmp_path, monkeypatch):
+    long = "<p>" + "words and more " * 200 + "</p>"
+    schema = "page_id long, url string, html string"
+    pages = spark.createDataFrame([(i, "u", f"{long}{i}") for i in range(20)], schema).coalesce(1)
+    twins = spark.createDataFrame(spark.sparkContext.parallelize([(1, "u", "short")] * 2, 2), schema)
+    for name, df in (("pages", pages), ("twins", twins)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    pages, twins = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("pages", "twins"))
+    for df in (pages.union(pages), twins):  # small files: the groups are broadcast and rows stay in their partitions
+        assert df.rdd.getNumPartitions() == 2
+        got = Counter(r["page_id"] for r in warc_zstd.pages_through_archives(df).collect())
+        assert got == Counter(r["page_id"] for r in df.collect())
+    # one task that fills several files with equal records
+    places = []
+    monkeypatch.setattr(warc_zstd, "FILE_BYTES", 1)
+    monkeypatch.setattr(warc_zstd, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 3})())}))
+    monkeypatch.setattr(warc_zstd, "write_file", lambda fs, folder, records, place: places.append(place) or (place, len(records)))
+    batch = pa.record_batch({"page_id": [1, 1], "url": ["u", "u"], "html": pa.array([b"x", b"x"]), "sha1": [hashlib.sha1(b"x").hexdigest()] * 2, "refers": pa.array([None, None], pa.int64())})
+    list(warc_zstd._writer("file:///tmp")([batch]))
+    assert len(set(places)) == 2
+
+
 def test_bad_archives():
     good = warc_zstd.encode_record("response", "urn:page:1", "u", hashlib.sha1(b"hello").digest(), b"hello")
     assert warc_zstd.decode_record(good)["payload"] == b"hello"
