@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from commitgrain.llm._common import stored
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (node, root): root is the smallest node reachable.
 
     Each round takes the smallest label among a node and its neighbours, then
-    the label of that label, so chains shorten by half. Every round is written
-    to the shared folder. A node with many edges is summed before the shuffle.
+    the label of that label; the old root too gets the smallest label that any
+    node under it has found, so whole trees join and rounds grow with the
+    logarithm of the longest chain, whatever the order of ids. Labels only
+    fall, and rounds go on until none does. Every round is written to the
+    shared folder. A node with many edges is summed before the shuffle.
     """
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
-    for _ in range(rounds):
+    while True:
         near = (both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near")))
         step = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("to"))
+        hook = step.groupBy(F.col("root").alias("node")).agg(F.min("to").alias("hook"))
         jump = labels.select(F.col("node").alias("to"), F.col("root").alias("jump"))
-        moved = step.join(jump, "to").select("node", F.least("to", "jump").alias("root"), (F.col("root") != F.least("to", "jump")).alias("moved"))
+        least = F.least("to", "jump", "hook")  # hook is null below the roots, which least ignores
+        moved = step.join(jump, "to").join(hook, "node", "left").select("node", least.alias("root"), (F.col("root") != least).alias("moved"))
         moved = stored(moved, "labels")
         if moved.filter("moved").isEmpty():
             return moved.select("node", "root")
         labels = moved.select("node", "root")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -238,6 +238,13 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_a_shuffled_chain(spark):
+    chain = list(range(1000))
+    random.Random(4).shuffle(chain)
+    got = components(spark.createDataFrame(list(zip(chain, chain[1:])), "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == dict.fromkeys(chain, 0)
+
+
 def test_ordinal_model_learns_and_orders(spark):
     rng = random.Random(2)
     good, bad, worse = ["river", "stone", "cloud", "tree"], "spam", "filth"
