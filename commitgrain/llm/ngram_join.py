@@ -249,10 +249,11 @@ def _packed_sets(frequency):
             for rows, data, offsets in B.slices(batch, "text"):
                 sets, firsts = shingles(data, offsets)
                 c1, _ = class_ids(sets, firsts)
-                mine = pa.array(c1 == rows.column(0).to_numpy())  # an id may stand for several texts
+                wanted = rows.column(0).fill_null(0).to_numpy()
+                mine = pa.array((c1 == wanted) | rows.column(0).is_null().to_numpy(zero_copy_only=False))  # an id may stand for several texts
                 sets = ordered(sets, firsts, frequency.value)
                 packed = pa.array([sets[firsts[i] : firsts[i + 1]].tobytes() for i in range(len(firsts) - 1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), packed], ["c1", "tokens"]).filter(mine)
+                yield pa.RecordBatch.from_arrays([pa.array(c1), packed], ["c1", "tokens"]).filter(mine)
     return run
 
 
@@ -269,11 +270,15 @@ def checked(pairs: DataFrame, sets: DataFrame, frequency, pct: int) -> DataFrame
 
 
 def token_sets(base: DataFrame, classes: DataFrame, pairs: DataFrame, frequency) -> DataFrame:
-    """(c1, tokens) of the classes in pairs, from their representatives' texts."""
+    """(c1, tokens) of the classes in pairs, from their representatives' texts.
+    Classes of rows without an id are found among those rows, by digest."""
     touched = pairs.select(F.explode(F.array("member", "leader")).alias("c1")).distinct()
     reps = classes.join(touched, "c1").select("c1", F.col("rep").alias("doc_id"))
     texts = base.join(reps, "doc_id").select("c1", "text")
-    return stored(texts.mapInArrow(_packed_sets(frequency), "c1 long, tokens binary"), "token-sets")
+    named = texts.mapInArrow(_packed_sets(frequency), "c1 long, tokens binary")
+    nameless = base.filter("doc_id is null").select(F.lit(None).cast("long").alias("c1"), "text").mapInArrow(_packed_sets(frequency), "c1 long, tokens binary")
+    nameless = nameless.join(reps.filter("doc_id is null").select("c1"), "c1", "left_semi").dropDuplicates(["c1"])
+    return stored(named.unionByName(nameless), "token-sets")
 
 
 def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pct: int = 85) -> DataFrame:
@@ -323,10 +328,12 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pc
     pairs = stored(pairs, "pairs")
     second = checked(pairs, token_sets(base, classes, pairs, shared), shared, pct)
     links = first.unionByName(second)
-    # from classes to their smallest documents
-    names = classes.select("c1", "rep")
-    by_doc = links.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = components(by_doc)
-    ids = classes.join(roots, classes["rep"] == roots["node"], "left").select("c1", "c2", F.coalesce("root", "rep").alias("component_id"))
+    # classes whose smallest document is the same go together
+    same = classes.filter("rep is not null").groupBy("rep").agg(F.min("c1").alias("b"), F.max("c1").alias("hi")).filter("b < hi").select("rep", "b")
+    links = links.unionByName(classes.join(same, "rep").select(F.col("c1").alias("a"), "b"))
+    # from classes to their smallest documents; a class of rows without an id links others all the same
+    roots = components(links)
+    linked = roots.join(classes, roots["node"] == classes["c1"]).groupBy("root").agg(F.min("rep").alias("smallest"))
+    ids = classes.join(roots, classes["c1"] == roots["node"], "left").join(linked, "root", "left").select("c1", "c2", F.coalesce("smallest", "rep").alias("component_id"))
     done = each.join(ids, ["c1", "c2"], "left")
     return done.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -221,6 +221,23 @@ def test_jaccard_join(docs, by_id):
     assert len({c for _, c in got.values()}) < len(got) - 10
 
 
+def test_jaccard_join_with_null_ids(spark):
+    base = [f"word{i}" for i in range(200)]
+    near = lambda *at: " ".join("new" + w if i in at else w for i, w in enumerate(base))
+    far = " ".join(f"other{i}" for i in range(200))
+    variants = [near(150 + i) for i in range(4)]  # all near each other: whatever leads, each is a member or a leader once
+    for nameless in range(4):
+        rows = [(None if i == nameless else i + 1, t) for i, t in enumerate(variants)] + [(9, far), (None, far + " end"), (None, variants[nameless])]
+        got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        first = min(i for i, _ in rows if i is not None)
+        assert got == Counter([(i, 9 if t.startswith(far) else first) for i, t in rows])
+    # two documents that only a row without an id brings together, and rows without ids alone
+    chain = [near(), near(*range(60, 70)), near(*range(60, 80))]
+    rows = [(5, chain[0]), (None, chain[1]), (3, chain[2]), (None, far), (None, far + " end")]
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(5, 3), (None, 3), (3, 3), (None, None), (None, None)])
+
+
 def test_trie_overlaps_are_exact_where_it_matters():
     rng = np.random.default_rng(3)
     for _ in range(30):
