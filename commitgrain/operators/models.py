@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from commitgrain.operators import evaluate
 
 SEED = 42
+#: Rows that one task numbers, about.
+BUCKET_ROWS = 1 << 16
 
 
 def key_number(keys: Sequence[str], seed: int | str = SEED) -> Column:
@@ -132,6 +134,22 @@ def grid_search(df: DataFrame, names: Sequence[str], estimator, grid: dict[str,
     return df.sparkSession.createDataFrame(rows, "setting string, score double").orderBy(F.desc("score"), "setting")
 
 
+def numbered(df: DataFrame, number: str, ties: Sequence[str], out: str) -> DataFrame:
+    """df with out: 1, 2, ... in order of number, a `key_number`, and ties.
+
+    Rows are numbered within ranges of the number; only a row a range comes to
+    the driver, to count what lies before it. Rows of one key share a range."""
+    buckets = df.count() // BUCKET_ROWS + 1
+    ranged = df.withColumn("_b", F.floor(F.col(number) * buckets / F.lit(1 << 32)))
+    before, offsets = 0, []
+    for r in ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).orderBy("_b").collect():
+        offsets.append((r["_b"], before))
+        before += r["n"]
+    table = F.broadcast(df.sparkSession.createDataFrame(offsets, "_b long, _before long"))  # a row a range
+    within = F.row_number().over(Window.partitionBy("_b").orderBy(number, *ties))
+    return ranged.withColumn(out, within).join(table, "_b").withColumn(out, F.col(out) + F.col("_before")).drop("_b", "_before")
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, keys: Sequence[str], repeats: int = 2, sample: int | None = None) -> DataFrame:
     """(feature, importance): mean loss of accuracy when the feature's values
     change rows, by two orders of the rows that md5 of the key gives.
@@ -144,13 +162,17 @@ def permutation_importance(model: PipelineModel, df: DataFrame, keys: Sequence[s
     if sample:
         base = base.orderBy(key_number(keys, "sample"), *keys).limit(sample)
     base = base.withColumns({f"_k{r}{s}": key_number(keys, f"{r}/{s}") for r in range(repeats) for s in "ab"}).persist()
+    placed = base
+    for r in range(repeats):
+        for s in "ab":
+            placed = numbered(placed, f"_k{r}{s}", names, f"_n{r}{s}")
+    placed = placed.persist()
     right = lambda d: predict(model, d).agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("acc"))
-    numbered = lambda d, k, ties: d.withColumn("_n", F.row_number().over(Window.orderBy(k, *ties)))
     parts = []
     for name in names:
         for r in range(repeats):
-            other = numbered(base, f"_k{r}b", names).select("_n", F.col(name).alias("_x"))
-            mixed = numbered(base, f"_k{r}a", names).drop(name).join(other, "_n").withColumnRenamed("_x", name)
+            other = placed.select(F.col(f"_n{r}b").alias("_n"), F.col(name).alias("_x"))
+            mixed = placed.withColumnRenamed(f"_n{r}a", "_n").drop(name).join(other, "_n").withColumnRenamed("_x", name)
             parts.append(right(mixed).select(F.lit(name).alias("feature"), "acc"))
     out = parts[0]
     for p in parts[1:]:

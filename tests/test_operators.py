@@ -1,6 +1,7 @@
 """Hand cases: ties, bounds, nulls, empty tables, fit and apply kept apart."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +162,16 @@ def test_refine_and_importance(spark):
     model = models.fit(df, ["good", "noise"], models.random_forest(5, 3, "all"))
     imp = models.permutation_importance(model, df, ["k"])
     assert imp.first()["feature"] == "good" and models.refine(imp, 0.1) == ["good"]
+
+
+def test_importance_numbers_rows_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(models, "BUCKET_ROWS", 30)
+    df = spark.createDataFrame([(i, float(i % 2), float(i % 7), i % 2) for i in range(200)], "k int, good double, noise double, label int")
+    keyed = df.withColumn("key", models.key_number(["k"], "0/a"))
+    got = models.numbered(keyed, "key", ["good"], "n")
+    assert [r["n"] for r in got.orderBy("key", "good").collect()] == list(range(1, 201))
+    assert models.numbered(keyed.limit(0), "key", ["good"], "n").count() == 0
+    model = models.fit(df, ["good", "noise"], models.random_forest(5, 3, "all"))
+    imp = models.permutation_importance(model, df, ["k"])
+    windows = re.findall(r"windowspecdefinition\((\w+)", imp._jdf.queryExecution().analyzed().toString() + imp._jdf.queryExecution().executedPlan().toString())
+    assert windows and set(windows) == {"_b"}
