@@ -34,8 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -43,7 +52,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    fs, at = _file_system(df.sparkSession, df.stored_at)
+    fs.delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,25 +1,28 @@
 """N-gram Jaccard join over prefix trees.
 
-Every document is the set of its 4-word shingles, kept in one global order:
+Every document is the set of its k-word shingles, kept in one global order:
 rarest first, by a fixed-size sketch of all shingles' frequencies, then by
 hash. Two sets that reach the similarity share `least` shingles among the first
-n - ceil(similarity * n) + least of each, so only these prefixes are exchanged;
-least is 1 and a 16th of the shortest prefix, so that a few shared words alone
-makes no candidates.
+n - ceil(similarity * n) + least of each, so only these fronts are exchanged.
 
 1. Equal sets are one class, represented by its smallest document.
-2. Prefix shingles meet in buckets, packed; in each shingle's list every set is
-   paired with the first few in one order of all sets, its leaders. The leaders
-   that a set meets most often are checked exactly: a leader walks the tree of
-   its members' sets.
-3. Sets of one list that the checked links have not brought together are
-   paired and checked too. A pair inside one component decides nothing, so it
-   is never formed; copies by the thousand cost one link each.
-
-The tree of a block is its sets in lexicographic order with the lengths that
-neighbours share: a node's overlap with the leader is counted once for all sets
-below it, and a subtree is left as soon as the shingles that remain, on either
-side, cannot reach the overlap that the smallest set below would need.
+2. Each shingle of a front names a list of sets; the smallest of them leads it.
+   A set joins the blocks of all leaders of its lists, so sets with a common
+   shingle in front meet in a block. Copies of a text share most of their
+   leaders, so a set is in few blocks.
+3. A block builds the prefix tree of its sets and walks it once for all of
+   them: a node's overlap with every set is counted once for the sets below it,
+   and a set leaves a subtree as soon as the shingles that remain, on either
+   side, cannot reach the overlap that the smallest set below would need, or
+   when links found so far connect it to all that is below. A block sends a
+   spanning forest of its links, never its pairs.
+4. A block above its bounds is dealt into parts, with a few sets that are in
+   all parts. What the links have not brought together then meets part by part:
+   sets outside the block's largest component with each other and with it.
+
+Trees hold the sets from their frequent end, where copies share the most.
+Shingles that only one set of a block has stay out of the tree; they count in
+the set's size.
 """
 
 from __future__ import annotations
@@ -27,22 +30,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commitgrain.llm import _bytes as B
 from commitgrain.llm._common import columns, partitions, stored
 from commitgrain.llm._components import components
 
-#: Cells of the frequency sketch, 8 MB on the driver and in each worker, and
-#: how they travel.
+#: Cells of the frequency sketch, 8 MB on the driver and 1 MB in each worker,
+#: and how they travel.
 CELLS, CHUNK = 1 << 20, 1 << 13
-#: Prefix shingles in a bucket, and members in a block, about.
-BUCKET, BLOCK = 1 << 20, 512
-#: Sets that each one is first checked against.
-LEADERS = 8
-SETS = "doc_id long, n int, c1 long, c2 long, counts binary"
-POSTINGS = "bucket int, tok binary, c1 binary, n binary, pos binary"
+#: Bounds of a part of a block: sets, and shingles in all of them.
+BLOCK, BLOCK_TOKENS = 512, 1 << 20
+#: Sets of a block that are in all of its parts, about.
+HUBS = 16
+SETS = "doc_id long, n int, c1 long, c2 long, cells binary, counts binary"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -77,263 +79,273 @@ def cell(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(44)).astype(np.int64)
 
 
-def _sets(batches):
-    sketch = np.zeros(CELLS, np.int64)
+def _sets(k: int):
     names = [c.split()[0] for c in SETS.split(", ")]
-    for batch in batches:
-        for rows, data, offsets in B.slices(batch, "text"):
-            sets, firsts = shingles(data, offsets)
-            sketch += np.bincount(cell(sets), minlength=CELLS)
-            c1, c2 = class_ids(sets, firsts)
-            none = pa.nulls(rows.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(firsts).astype(np.int32)), pa.array(c1), pa.array(c2), none], names)
-    if sketch.any():
+
+    def run(batches):
+        sketch = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for rows, data, offsets in B.slices(batch, "text"):
+                sets, firsts = shingles(data, offsets, k)
+                sketch += np.bincount(cell(sets), minlength=CELLS)
+                none = pa.nulls(rows.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(firsts).astype(np.int32)), *map(pa.array, class_ids(sets, firsts)), none, none], names)
         part = TaskContext.get().partitionId()
         for i in range(CELLS // CHUNK):  # rows of n = -1 carry the sketch: chunk and task in place of the digests
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int32()), pa.array([i], pa.int64()), pa.array([part], pa.int64()),
-                                              pa.array([sketch[i * CHUNK : (i + 1) * CHUNK].tobytes()], pa.binary())], names)
+            piece = sketch[i * CHUNK : (i + 1) * CHUNK]
+            full = np.flatnonzero(piece)
+            if len(full):
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int32()), pa.array([i], pa.int64()), pa.array([part], pa.int64()),
+                                                  pa.array([full.astype(np.int32).tobytes()], pa.binary()), pa.array([piece[full].tobytes()], pa.binary())], names)
+    return run
+
+
+def _numbers(column, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), kind)
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts")], axis=0)
-    return pa.table({"chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    total = np.zeros(CHUNK, np.int64)
+    np.add.at(total, _numbers(table.column("cells"), np.int32), _numbers(table.column("counts"), np.int64))
+    full = np.flatnonzero(total)
+    return pa.table({"chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "cells": pa.array([full.astype(np.int32).tobytes()], pa.binary()), "counts": pa.array([total[full].tobytes()], pa.binary())})
 
 
-def frequencies(found: DataFrame, tasks: int) -> np.ndarray:
-    """The tasks' sketches, summed 64 at a time; CELLS numbers come back."""
-    parts = found.filter("n < 0").select(F.col("c1").alias("chunk"), F.col("c2").alias("part"), "counts")
+def frequencies(found: DataFrame) -> np.ndarray:
+    """The tasks' sketches, summed 64 at a time, as steps of a logarithmic
+    scale: CELLS numbers from 0 to 255."""
+    parts = found.filter("n < 0").select(F.col("c1").alias("chunk"), F.col("c2").alias("part"), "cells", "counts")
+    tasks = (parts.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         tasks = -(-tasks // 64)
-        parts = parts.withColumn("part", F.pmod("part", F.lit(tasks))).groupBy("chunk", "part").applyInArrow(_summed, "chunk long, part long, counts binary")
+        parts = parts.withColumn("part", F.pmod("part", F.lit(tasks))).groupBy("chunk", "part").applyInArrow(_summed, "chunk long, part long, cells binary, counts binary")
         if tasks <= 1:
             break
     out = np.zeros(CELLS, np.int64)
     for r in parts.toLocalIterator():
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] += np.frombuffer(r["counts"], np.int64)
-    return out
-
-
-def ordered(sets: np.ndarray, firsts: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """The sets, each in global order."""
-    return sets[np.lexsort((sets, frequency[cell(sets)], B.owner(firsts)))]
+        out[r["chunk"] * CHUNK + np.frombuffer(r["cells"], np.int32)] = np.frombuffer(r["counts"], np.int64)
+    return np.minimum(np.log2(1 + out) * 6, 255).astype(np.uint8)
 
 
 def least_shared(n: np.ndarray, pct: int) -> np.ndarray:
-    """Prefix shingles that a set of n has in common with any that reaches it."""
+    """Shingles that the fronts of a set of n and of any larger one that
+    reaches it have in common."""
     return 1 + (n - (pct * n + 99) // 100 + 1) // 16
 
 
-def prefix_length(n: np.ndarray, pct: int) -> np.ndarray:
+def front_length(n: np.ndarray, pct: int) -> np.ndarray:
     return np.minimum(n, n - (pct * n + 99) // 100 + least_shared(n, pct))
 
 
-def _postings(frequency, pct: int, buckets: int):
+def _fronts(weight, pct: int, k: int):
+    """(tok, c1): the front of each set, one of equal sets in a slice."""
     def run(batches):
         for batch in batches:
             for _, data, offsets in B.slices(batch, "text", 2 * B.SLICE_BYTES):
-                sets, firsts = shingles(data, offsets)
+                sets, firsts = shingles(data, offsets, k)
                 c1, _ = class_ids(sets, firsts)
-                sets = ordered(sets, firsts, frequency.value)
                 n = np.diff(firsts)
-                _, one = np.unique(c1, return_index=True)  # copies in this slice are one set
+                docs = B.owner(firsts)
+                sets = sets[np.argsort(docs * 256 + weight.value[cell(sets)], kind="stable")]
                 first = np.zeros(len(n), bool)
-                first[one] = True
-                length = np.where(first & (n > 0), prefix_length(n, pct), 0)
+                first[np.unique(c1, return_index=True)[1]] = True
+                length = np.where(first & (n > 0), front_length(n, pct), 0)
                 doc = np.repeat(np.arange(len(n)), length)
-                pos = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-                tok = sets[firsts[doc] + pos]
-                bucket = (B.mix(tok) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                cols = (tok[order], c1[doc][order], n[doc][order].astype(np.int32), pos[order].astype(np.int32))
-                full = np.flatnonzero(np.diff(cuts))
-                packed = [pa.array([c[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()) for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *packed], ["bucket", "tok", "c1", "n", "pos"])
+                tok = sets[firsts[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)]
+                yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(c1[doc])], ["tok", "c1"])
     return run
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
-    kinds = (("tok", np.uint64), ("c1", np.int64), ("n", np.int32), ("pos", np.int32))
-    return tuple(np.frombuffer(b"".join(x.as_buffer() for x in table.column(c)), k) for c, k in kinds)
+def _packed_sets(k: int):
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in B.slices(batch, "text"):
+                sets, firsts = shingles(data, offsets, k)
+                c1, _ = class_ids(sets, firsts)
+                wanted = rows.column(0).fill_null(0).to_numpy()
+                mine = pa.array((c1 == wanted) | rows.column(0).is_null().to_numpy(zero_copy_only=False))  # an id may stand for several texts
+                packed = pa.array([sets[firsts[i] : firsts[i + 1]].tobytes() for i in range(len(firsts) - 1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c1), packed], ["c1", "tokens"]).filter(mine)
+    return run
 
 
-def _lists(pct: int):
-    """Of a bucket: the lists of shingles that two sets or more have, as rows
-    (tok, c1, n, pos) with the sets to check each one against."""
-    def run(table: pa.Table) -> pa.Table:
-        tok, c1, n, pos = _unpack(table)
-        rank = B.mix(c1.view(np.uint64))
-        order = np.lexsort((rank, tok))
-        tok, c1, n, pos, rank = tok[order], c1[order], n[order], pos[order], rank[order]
-        new = np.ones(len(tok), bool)
-        new[1:] = (tok[1:] != tok[:-1]) | (c1[1:] != c1[:-1])
-        tok, c1, n, pos = tok[new], c1[new], n[new], pos[new]
-        head = np.ones(len(tok), bool)
-        head[1:] = tok[1:] != tok[:-1]
-        group = np.cumsum(head) - 1
-        many = np.bincount(group)[group] > 1 if len(group) else head
-        tok, c1, n, pos, group = tok[many], c1[many], n[many], pos[many], group[many]
-        # pairs of each set with the list's first LEADERS sets in order of rank
-        n = n.astype(np.int64)
-        lead = np.searchsorted(group, group)
-        count = np.minimum(np.arange(len(tok)) - lead, LEADERS)
-        mine = np.repeat(np.arange(len(tok)), count)
-        other = lead[mine] + np.arange(len(mine)) - np.repeat(np.cumsum(count) - count, count)
-        least = least_shared(np.minimum(n[mine], n[other]), pct)
-        need = -(-pct * (n[mine] + n[other]) // (100 + pct))
-        fits = pct * np.maximum(n[mine], n[other]) <= 100 * np.minimum(n[mine], n[other])
-        fits &= (pos[mine] < n[mine] - need + least) & (pos[other] < n[other] - need + least)
-        firsts = np.searchsorted(mine[fits], np.arange(len(tok) + 1))
-        return pa.table({"tok": pa.array(tok.view(np.int64)), "c1": pa.array(c1), "n": pa.array(n.astype(np.int32)), "pos": pa.array(pos), "leaders": B.list_column(c1[other[fits]], firsts, pa.int64())})
-    return run
+def token_sets(base: DataFrame, touched: DataFrame, k: int) -> DataFrame:
+    """(c1, tokens) of the touched classes, from their representatives' texts.
+    Classes of rows without an id are found among those rows, by digest."""
+    reps = touched.select("c1", F.col("rep").alias("doc_id"))
+    named = base.join(reps, "doc_id").select("c1", "text").mapInArrow(_packed_sets(k), "c1 long, tokens binary").dropDuplicates(["c1"])
+    nameless = base.filter("doc_id is null").select(F.lit(None).cast("long").alias("c1"), "text").mapInArrow(_packed_sets(k), "c1 long, tokens binary")
+    nameless = nameless.join(reps.filter("doc_id is null").select("c1"), "c1", "left_semi").dropDuplicates(["c1"])
+    return stored(named.unionByName(nameless), "token-sets")
 
 
-def trie_overlaps(leader: np.ndarray, sets: list[np.ndarray], pct: int) -> list[int]:
-    """Overlap of each set with the leader, -1 where it cannot be enough.
-    All are lists of ranks in global order, sorted."""
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i4").tobytes())
-    out = [-1] * len(sets)
-    previous, counts, dead = np.zeros(0, np.int64), np.zeros(1, np.int64), None
-    for i in order:
-        one = sets[i]
-        m = min(len(one), len(previous))
-        differs = np.flatnonzero(one[:m] != previous[:m])
-        shared = int(differs[0]) if len(differs) else m
-        if dead is not None and shared >= dead[0] and len(one) >= dead[1]:
-            continue  # inside the subtree that was left
-        dead = None
-        fresh = one[shared:]
-        place = np.searchsorted(leader, fresh)
-        hit = place < len(leader)
-        hit[hit] = leader[place[hit]] == fresh[hit]
-        counts = np.concatenate([counts[: shared + 1], counts[shared] + np.cumsum(hit)])
-        need = -(-pct * (len(one) + len(leader)) // (100 + pct))
-        reach = counts[shared + 1 :] + np.minimum(len(leader) - place - hit, len(one) - shared - 1 - np.arange(len(fresh)))
-        short = np.flatnonzero(reach < need)
-        if len(short):
-            depth = shared + 1 + int(short[0])
-            # sets below of this size or larger need no less; on the leader's side the bound holds for all
-            left = len(leader) - int(place[short[0]]) - int(hit[short[0]])
-            dead = (depth, len(one)) if counts[depth] + left < need else None
-            previous, counts = one[:depth], counts[: depth + 1]
+def tree_links(sets: list[np.ndarray], label: np.ndarray, pct: int, weight: np.ndarray) -> list[tuple[int, int]]:
+    """Places (a, b) of sets that are similar: enough links to connect all that
+    are connected, given that equal labels already are."""
+    size = np.array([len(s) for s in sets])
+    tokens = np.concatenate(sets)
+    names, token = np.unique(tokens, return_inverse=True)
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names, weight[cell(names)]))[::-1]] = np.arange(len(names))
+    token, owner = rank[token], np.repeat(np.arange(len(sets)), size)
+    while True:  # leave out what only one set has, then sets that cannot reach any other
+        many = np.bincount(token, minlength=len(names))[token] > 1
+        able = 100 * np.bincount(owner[many], minlength=len(sets)) >= pct * size
+        keep = many & able[owner]
+        if keep.all():
+            break
+        token, owner = token[keep], owner[keep]
+    order = np.lexsort((token, owner))
+    token, owner = token[order], owner[order]
+    some = np.unique(owner)
+    if len(some) < 2:
+        return []
+    cuts = np.searchsorted(owner, np.append(some, len(sets)))
+    paths = [token[cuts[i] : cuts[i + 1]].astype(">i4") for i in range(len(some))]
+    by_path = sorted(range(len(some)), key=lambda i: paths[i].tobytes())
+    paths, some = [paths[i].astype(np.int64) for i in by_path], some[by_path]
+    n, length, label = size[some], np.array([len(p) for p in paths]), np.unique(label[some], return_inverse=True)[1]
+    common = np.zeros(len(paths), np.int64)  # shingles at the root's side that a path shares with the one before
+    for i in range(1, len(paths)):
+        m = min(length[i - 1], length[i])
+        differs = np.flatnonzero(paths[i - 1][:m] != paths[i][:m])
+        common[i] = differs[0] if len(differs) else m
+    owner, token = np.repeat(np.arange(len(paths)), length), np.concatenate(paths)
+    placed = owner * len(names) + token  # increasing
+    by_token = np.argsort(token, kind="stable")
+    holders, firsts = owner[by_token], np.searchsorted(token[by_token], np.arange(len(names) + 1))
+    links: list[tuple[int, int]] = []
+    stack = [(0, len(paths), 0, np.zeros(len(paths), np.int64), np.arange(1, len(paths)))]
+    while stack:  # the node of paths lo...hi at a depth, its overlaps with all sets, and the sets that may reach some of its own
+        lo, hi, depth, overlap, live = stack.pop()
+        to = int(length[lo]) if hi - lo == 1 else int(common[lo + 1 : hi].min())
+        live = live[live > lo]
+        if (label[lo:hi] == label[lo]).all():
+            live = live[label[live] != label[lo]]
+        if not len(live):
             continue
-        previous = one
-        out[i] = int(counts[-1])
-    return out
+        run = paths[lo][depth:to]
+        if len(run):
+            count = firsts[run + 1] - firsts[run]
+            at = np.arange(count.sum()) + np.repeat(firsts[run] - (np.cumsum(count) - count), count)
+            overlap = overlap + np.bincount(holders[at], minlength=len(paths))
+        if to:
+            used = np.searchsorted(placed, live * len(names) + paths[lo][to - 1], "right") - (np.cumsum(length) - length)[live]
+            reach = overlap[live] + np.minimum(length[live] - used, length[lo:hi].max() - to)
+            live = live[reach >= -(-pct * (n[live] + n[lo:hi].min()) // (100 + pct))]
+            if not len(live):
+                continue
+        if hi - lo == 1:
+            for x in live:  # what is left has the overlap
+                if label[x] != label[lo]:
+                    links.append((int(some[lo]), int(some[x])))
+                    label[label == label[x]] = label[lo]
+            continue
+        borders = [lo, *(lo + 1 + np.flatnonzero(common[lo + 1 : hi] == to)), hi]
+        stack += [(int(a), int(b), to, overlap, live) for a, b in zip(borders, borders[1:])]
+    return links
 
 
-def _check(frequency, pct: int):
-    """A block: one leader's set and some members' sets -> links that hold."""
+def _linked(weight, pct: int):
+    """Parts of blocks -> links (a, b) between class ids."""
     def run(table: pa.Table) -> pa.Table:
-        member, leader = table.column("member").to_pylist(), table.column("leader")[0].as_py()
-        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("tokens")]
-        tokens = np.concatenate(sets)
-        order = np.lexsort((tokens, frequency.value[cell(tokens)]))
+        part, c1, comp = (table.column(c).to_numpy() for c in ("part", "c1", "comp"))
+        tokens = table.column("tokens").combine_chunks()
+        order = np.lexsort((c1, part))
         new = np.ones(len(order), bool)
-        new[1:] = tokens[order][1:] != tokens[order][:-1]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(new) - 1
-        ranks = np.split(rank, np.cumsum([len(s) for s in sets])[:-1])
-        lead = member.index(None)
-        mine = ranks[lead]
-        others = [i for i in range(len(member)) if i != lead and member[i] is not None]
-        found = trie_overlaps(mine, [ranks[i] for i in others], pct)
-        good = [member[i] for i, o in zip(others, found) if o >= 0 and 100 * o >= pct * (len(mine) + len(ranks[i]) - o)]
-        return pa.table({"a": pa.array(good, pa.int64()), "b": pa.array([leader] * len(good), pa.int64())})
+        new[1:] = (part[order][1:] != part[order][:-1]) | (c1[order][1:] != c1[order][:-1])
+        order = order[new]
+        cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=part[order[0]] - 1)), len(order))
+        a, b = [], []
+        for i, j in zip(cuts, cuts[1:]):
+            mine = order[i:j]
+            if j - i > 1:
+                for x, y in tree_links([np.frombuffer(tokens[int(r)].as_buffer(), np.uint64) for r in mine], comp[mine], pct, weight.value):
+                    a.append(c1[mine[x]])
+                    b.append(c1[mine[y]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
 
 
-def _packed_sets(frequency):
-    def run(batches):
-        for batch in batches:
-            for rows, data, offsets in B.slices(batch, "text"):
-                sets, firsts = shingles(data, offsets)
-                c1, _ = class_ids(sets, firsts)
-                wanted = rows.column(0).fill_null(0).to_numpy()
-                mine = pa.array((c1 == wanted) | rows.column(0).is_null().to_numpy(zero_copy_only=False))  # an id may stand for several texts
-                sets = ordered(sets, firsts, frequency.value)
-                packed = pa.array([sets[firsts[i] : firsts[i + 1]].tobytes() for i in range(len(firsts) - 1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c1), packed], ["c1", "tokens"]).filter(mine)
-    return run
+def linked(parts: DataFrame, sets: DataFrame, tokens: int, weight, pct: int) -> DataFrame:
+    """(part, c1, comp) -> links. Several parts share an Arrow group; a part
+    has at most about BLOCK_TOKENS shingles unless one set has more."""
+    groups = max(partitions(parts.sparkSession), int(tokens / BLOCK_TOKENS) + 1)
+    rows = parts.join(sets, "c1").select(F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int").alias("group"), "part", "c1", "comp", "tokens")
+    return rows.groupBy("group").applyInArrow(_linked(weight, pct), "a long, b long")
 
 
-def checked(pairs: DataFrame, sets: DataFrame, frequency, pct: int) -> DataFrame:
-    """(member, leader) pairs of class ids -> (a, b) links that hold. A leader
-    with many members is copied to as many blocks as they fill."""
-    blocks = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = pairs.join(blocks, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
-    members = members.join(sets.withColumnRenamed("c1", "member"), "member")
-    leaders = blocks.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    leaders = leaders.join(sets.withColumnRenamed("c1", "leader"), "leader").withColumn("member", F.lit(None).cast("long"))
-    rows = members.unionByName(leaders).select("leader", "block", "member", "tokens")
-    return rows.groupBy("leader", "block").applyInArrow(_check(frequency, pct), "a long, b long")
+def _parts(count: Column, tokens: Column) -> Column:
+    return F.ceil(F.greatest(count / BLOCK, tokens / BLOCK_TOKENS)).cast("int")
 
 
-def token_sets(base: DataFrame, classes: DataFrame, pairs: DataFrame, frequency) -> DataFrame:
-    """(c1, tokens) of the classes in pairs, from their representatives' texts.
-    Classes of rows without an id are found among those rows, by digest."""
-    touched = pairs.select(F.explode(F.array("member", "leader")).alias("c1")).distinct()
-    reps = classes.join(touched, "c1").select("c1", F.col("rep").alias("doc_id"))
-    texts = base.join(reps, "doc_id").select("c1", "text")
-    named = texts.mapInArrow(_packed_sets(frequency), "c1 long, tokens binary")
-    nameless = base.filter("doc_id is null").select(F.lit(None).cast("long").alias("c1"), "text").mapInArrow(_packed_sets(frequency), "c1 long, tokens binary")
-    nameless = nameless.join(reps.filter("doc_id is null").select("c1"), "c1", "left_semi").dropDuplicates(["c1"])
-    return stored(named.unionByName(nameless), "token-sets")
+def _within(number: Column) -> Column:
+    return F.pmod(F.xxhash64("c1"), number).cast("int")
+
+
+def rest_of_blocks(member: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """Parts in which the sets of large blocks meet that links have not brought
+    together yet, and how many shingles all of them have. The sets outside a
+    block's largest component are dealt to R parts and that component to K;
+    each of the R meets all R + K."""
+    known = stored(member.join(roots, member["c1"] == roots["node"], "left").select("lead", "c1", "n", F.coalesce("root", "c1").alias("comp")), "labelled")
+    one = known.groupBy("lead", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("t"))
+    plan = one.groupBy("lead").agg(F.max_by(F.struct("comp", "k", "t"), F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), F.sum("t").alias("t"))
+    rest_k, rest_t = F.col("k") - F.col("main.k"), F.col("t") - F.col("main.t")
+    plan = plan.select("lead", F.col("main.comp").alias("main"), _parts(2 * rest_k, 2 * rest_t).alias("r"), _parts(2 * F.col("main.k"), 2 * F.col("main.t")).alias("m"), rest_t.alias("rest_t"), F.col("main.t").alias("main_t"))
+    plan = stored(plan.filter("r > 0"), "rest-plan")
+    inside = F.col("comp") == F.col("main")
+    mine = F.when(inside, F.col("r") + _within(F.col("m"))).otherwise(_within(F.col("r")))
+    others = F.sequence(F.lit(0), F.when(inside, F.col("r")).otherwise(F.col("r") + F.col("m")) - 1)
+    met = known.join(plan, "lead").select("lead", "c1", "comp", mine.alias("i"), F.explode(others).alias("j"))
+    tokens = plan.agg(F.coalesce(F.sum(F.expr("rest_t * (r + m) + main_t * r")), F.lit(0))).first()[0]
+    return met.select("c1", "comp", F.xxhash64("lead", F.least("i", "j"), F.greatest("i", "j")).alias("part")), int(tokens)
 
 
-def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pct: int = 85) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 4, pct: int = 85) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id.
 
     Null and wordless texts have an empty set, link with nothing and are their
-    own component. Documents of fewer than four words have the one shingle of
-    all their words. Rows that repeat an id are further members of that
-    document's classes; an empty table gives an empty table. Shingles are
-    64-bit hashes; classes are told apart by 128 bits.
+    own component. Documents of fewer than k words have the one shingle of all
+    their words. Sets of equal content always link; a similarity of exactly
+    pct % links. Rows that repeat an id are further members of that document's
+    classes; a row without an id links others and takes the component's id,
+    null where no document has one. An empty table gives an empty table.
+    Shingles are 64-bit hashes; classes are told apart by 128 bits.
+
+    Hot shingles are summed in tasks before the shuffle; the way back is an
+    equi-join, which adaptive execution splits where a shingle is hot.
     """
     spark = docs.sparkSession
     base = columns(docs, key, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stored(base.mapInArrow(_sets, SETS), "sets")
+    found = stored(base.mapInArrow(_sets(k), SETS), "sets")
     each = found.filter("n >= 0").select("doc_id", "n", "c1", "c2")
-    classes = each.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    frequency = frequencies(found, base.rdd.getNumPartitions())
-    shared = spark.sparkContext.broadcast(frequency)
-    size = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(partitions(spark), int(size * (100 - pct) / 100 / BUCKET) + 1)
-    packed = base.select("text").mapInArrow(_postings(shared, pct, buckets), POSTINGS)
-    lists = stored(packed.groupBy("bucket").applyInArrow(_lists(pct), "tok long, c1 long, n int, pos int, leaders array<long>"), "lists")
-    stars = lists.select(F.col("c1").alias("member"), "n", F.explode("leaders").alias("leader")).groupBy("member", "n", "leader").agg(F.count(F.lit(1)).alias("k"))
-    stars = stars.filter(F.col("k") * 3 >= 1 + (F.col("n") - F.ceil(F.lit(pct) * F.col("n") / F.lit(100)) + 1) / 16)
-    best = Window.partitionBy("member").orderBy(F.desc("k"), "leader")
-    stars = stored(stars.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= LEADERS).select("member", "leader"), "stars")
-    first = stored(checked(stars, token_sets(base, classes, stars, shared), shared, pct), "links-1")
-    roots = components(first)
-    # what is left: sets of one list in different components
-    label = lists.join(roots, lists["c1"] == roots["node"], "left").select("tok", "c1", "n", "pos", F.coalesce("root", "c1").alias("comp"))
-    label = stored(label, "labels")
-    mixed = label.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("tok")
-    open_ = stored(label.join(mixed, "tok", "left_semi"), "open-lists")
-    # the largest component of a list meets the others, never itself
-    largest = open_.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    open_ = open_.join(largest, "tok")
-    x, y = open_.filter("comp <> main").alias("x"), open_.alias("y")
-    need = F.ceil(F.lit(pct) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + pct))
-    reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    fit = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.c1") < F.col("y.c1")))
-    # two sets that overlap enough share `least` shingles this near to the front of both
-    least = 1 + F.floor((F.least("x.n", "y.n") - F.ceil(F.lit(pct) * F.least("x.n", "y.n") / F.lit(100)) + 1) / 16)
-    sizes = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * pct) & (reach >= need - F.least("x.pos", "y.pos"))
-    sizes &= (F.col("x.pos") < F.col("x.n") - need + least) & (F.col("y.pos") < F.col("y.n") - need + least)
-    pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & fit & sizes).select(F.least("x.c1", "y.c1").alias("member"), F.greatest("x.c1", "y.c1").alias("leader"), least.alias("least"))
-    pairs = pairs.groupBy("member", "leader").agg(F.count(F.lit(1)).alias("k"), F.max("least").alias("least")).filter("k >= least").select("member", "leader")
-    pairs = stored(pairs, "pairs")
-    second = checked(pairs, token_sets(base, classes, pairs, shared), shared, pct)
-    links = first.unionByName(second)
+    classes = each.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    weight = spark.sparkContext.broadcast(frequencies(found))
+    fronts = stored(base.select("text").mapInArrow(_fronts(weight, pct, k), "tok long, c1 long"), "fronts")
+    lists = fronts.groupBy("tok").agg(F.min("c1").alias("lead"), F.max("c1").alias("last")).filter("lead < last").select("tok", "lead")
+    # a set with fewer common shingles in front than its smallest partner asks for has no link
+    touched = fronts.join(lists, "tok").groupBy("c1").agg(F.collect_set("lead").alias("leads"), F.count(F.lit(1)).alias("shared"))
+    touched = touched.join(classes, "c1").withColumn("m", F.expr(f"({pct} * n + 99) div 100")).filter(f"shared >= 1 + (m - ({pct} * m + 99) div 100 + 1) div 16")
+    touched = stored(touched.select("c1", "rep", "n", "leads"), "touched")
+    sets = token_sets(base, touched, k)
+    member = touched.select("c1", "n", F.explode("leads").alias("lead"))
+    blocks = member.groupBy("lead").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("tokens")).filter("count > 1").withColumn("parts", _parts(F.col("count"), F.col("tokens")))
+    member = stored(member.join(blocks, "lead"), "members")
+    in_all = (F.col("parts") > 1) & (F.pmod(F.xxhash64("c1", F.lit(1)), F.ceil(F.col("count") / HUBS)) == 0)
+    places = F.when(in_all, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_within(F.col("parts"))))
+    parts = member.select("c1", F.col("c1").alias("comp"), "lead", F.explode(places).alias("p")).select("c1", "comp", F.xxhash64("lead", "p").alias("part"))
+    total = member.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("parts"), F.lit(0))).first()
+    links = stored(linked(parts, sets, total[0], weight, pct), "links-1")
+    if total[1] > 1:
+        parts, tokens = rest_of_blocks(member.filter("parts > 1"), components(links))
+        links = links.unionByName(stored(linked(parts, sets, tokens, weight, pct), "links-2"))
     # classes whose smallest document is the same go together
     same = classes.filter("rep is not null").groupBy("rep").agg(F.min("c1").alias("b"), F.max("c1").alias("hi")).filter("b < hi").select("rep", "b")
     links = links.unionByName(classes.join(same, "rep").select(F.col("c1").alias("a"), "b"))
     # from classes to their smallest documents; a class of rows without an id links others all the same
     roots = components(links)
-    linked = roots.join(classes, roots["node"] == classes["c1"]).groupBy("root").agg(F.min("rep").alias("smallest"))
-    ids = classes.join(roots, classes["c1"] == roots["node"], "left").join(linked, "root", "left").select("c1", "c2", F.coalesce("smallest", "rep").alias("component_id"))
+    smallest = roots.join(classes, roots["node"] == classes["c1"]).groupBy("root").agg(F.min("rep").alias("smallest"))
+    ids = classes.join(roots, classes["c1"] == roots["node"], "left").join(smallest, "root", "left").select("c1", "c2", F.coalesce("smallest", "rep").alias("component_id"))
     done = each.join(ids, ["c1", "c2"], "left")
     return done.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -197,13 +197,13 @@ def test_sentence_spans(docs, by_id):
     assert any(r["n_removed"] for r in got.values())
 
 
-def shingle_set(t):
+def shingle_set(t, k=4):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
-    return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) > 3 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def test_jaccard_join(docs, by_id):
-    sets = {i: shingle_set(t) for i, t in by_id.items()}
+def brute_components(texts, k=4, pct=85):
+    sets = {i: shingle_set(t, k) for i, t in texts.items()}
     root = {i: i for i in sets}
 
     def find(x):
@@ -213,12 +213,17 @@ def test_jaccard_join(docs, by_id):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= pct * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_join(docs).collect()}
-    assert got == {i: (len(s), find(i)) for i, s in sets.items()}
-    assert len({c for _, c in got.values()}) < len(got) - 10
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_jaccard_join(docs, by_id):
+    for k, pct in ((4, 85), (5, 80)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_join(docs, k=k, pct=pct).collect()}
+        assert got == brute_components(by_id, k, pct)
+        assert len({c for _, c in got.values()}) < len(got) - 10
 
 
 def test_jaccard_join_with_null_ids(spark):
@@ -238,15 +243,52 @@ def test_jaccard_join_with_null_ids(spark):
     assert got == Counter([(5, 3), (None, 3), (3, 3), (None, None), (None, None)])
 
 
-def test_trie_overlaps_are_exact_where_it_matters():
+def linked_groups(n, links):
+    root = list(range(n))
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def test_tree_links_connect_what_is_similar():
     rng = np.random.default_rng(3)
-    for _ in range(30):
-        leader = np.unique(rng.integers(0, 400, 120))
-        sets = [np.unique(np.concatenate([rng.choice(leader, rng.integers(1, len(leader))), rng.integers(0, 400, rng.integers(1, 30))])) for _ in range(25)]
-        sets += [leader, leader[:50], sets[0]]
-        for s, o in zip(sets, ngram_join.trie_overlaps(leader, sets, 85)):
-            true = len(np.intersect1d(s, leader))
-            assert o == true if 100 * true >= 85 * (len(s) + len(leader) - true) else o in (-1, true)
+    weight = rng.integers(0, 255, ngram_join.CELLS).astype(np.uint8)
+    for turn in range(40):
+        base = np.unique(rng.integers(0, 2**62, 150).astype(np.uint64))
+        sets = []
+        for _ in range(40):
+            gone = rng.random(len(base)) < rng.choice([0, 0.02, 0.07, 0.1, 0.2])
+            sets.append(np.unique(np.concatenate([base[~gone], rng.integers(0, 2**62, rng.integers(0, 12)).astype(np.uint64)])))
+        sets += [base, base[:140], base[:128], base[:1], sets[0], np.unique(rng.integers(0, 2**62, 60).astype(np.uint64))]
+        n = len(sets)
+        similar = [(a, b) for a in range(n) for b in range(a) for o in [len(np.intersect1d(sets[a], sets[b]))] if 100 * o >= 85 * (len(sets[a]) + len(sets[b]) - o)]
+        got = ngram_join.tree_links(sets, np.arange(n), 85, weight)
+        assert {tuple(sorted(x)) for x in got} <= {tuple(sorted(x)) for x in similar}
+        assert linked_groups(n, got) == linked_groups(n, similar) and len(got) == n - len(set(linked_groups(n, similar)))
+        label = rng.integers(0, 6, n)  # what is known to be connected already
+        known = [(int(np.flatnonzero(label == label[i])[0]), i) for i in range(n)]
+        assert linked_groups(n, known + ngram_join.tree_links(sets, label.copy(), 85, weight)) == linked_groups(n, known + similar)
+
+
+@pytest.mark.parametrize("block", [512, 6])
+def test_jaccard_join_in_parts(spark, docs, by_id, monkeypatch, block):
+    """Blocks above the bound, of near copies about the similarity."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "HUBS", 2)
+    rng = random.Random(8)
+    base = [f"word{i}" for i in range(160)]
+    texts = {}
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.choice([1, 4, 6, 7, 9])):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        texts[i * 7 % 1000] = " ".join(w)
+    for k, pct in ((4, 85), (5, 80)):
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_join(df, k=k, pct=pct).collect()}
+        assert got == brute_components(texts, k, pct)
+        assert 1 < len({c for _, c in got.values()}) < len(texts)
 
 
 def test_components(spark):
