@@ -26,8 +26,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the smallest, which names it."""
-    gone = ngram_join.jaccard_join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    """One document of each component stays: the smallest, which names it.
+    Documents link from a similarity of 0.8 of their five-word shingles on."""
+    gone = ngram_join.jaccard_join(docs, k=5, pct=80).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
