@@ -18,7 +18,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def shingles(t):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
-    return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) > 3 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
 
 
 def texts(df):
@@ -60,7 +60,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     assert set(near) == {find(i) for i in sets}
