@@ -6,10 +6,13 @@ hash. Two sets that reach the similarity share `least` shingles among the first
 n - ceil(similarity * n) + least of each, so only these fronts are exchanged.
 
 1. Equal sets are one class, represented by its smallest document.
-2. Each shingle of a front names a list of sets; the smallest of them leads it.
-   A set joins the blocks of all leaders of its lists, so sets with a common
+2. Each shingle of a front names lists of sets, one for each band of sizes and
+   the next larger one; the smallest set of a list leads it. A set joins the
+   blocks of the leaders of its lists, so sets of like size with a common
    shingle in front meet in a block. Copies of a text share most of their
-   leaders, so a set is in few blocks.
+   leaders. Blocks in which a set has a few chance shingles it leaves, as long
+   as these are together less than half of `least`: two sets that both do so
+   still have a block in common if they share `least`.
 3. A block builds the prefix tree of its sets and walks it once for all of
    them: a node's overlap with every set is counted once for the sets below it,
    and a set leaves a subtree as soon as the shingles that remain, on either
@@ -27,10 +30,12 @@ the set's size.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitgrain.llm import _bytes as B
@@ -130,7 +135,7 @@ def frequencies(found: DataFrame) -> np.ndarray:
 def least_shared(n: np.ndarray, pct: int) -> np.ndarray:
     """Shingles that the fronts of a set of n and of any larger one that
     reaches it have in common."""
-    return 1 + (n - (pct * n + 99) // 100 + 1) // 16
+    return 1 + (n - (pct * n + 99) // 100 + 1) // 4
 
 
 def front_length(n: np.ndarray, pct: int) -> np.ndarray:
@@ -246,6 +251,22 @@ def tree_links(sets: list[np.ndarray], label: np.ndarray, pct: int, weight: np.n
     return links
 
 
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links that connect the same places, each from the first of its group."""
+    head: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while head.setdefault(x, x) != x:
+            head[x] = head[head[x]]
+            x = head[x]
+        return x
+
+    for x, y in links:
+        x, y = sorted((top(x), top(y)))
+        head[y] = x
+    return [(top(x), x) for x in sorted(head) if top(x) != x]
+
+
 def _linked(weight, pct: int):
     """Parts of blocks -> links (a, b) between class ids."""
     def run(table: pa.Table) -> pa.Table:
@@ -260,7 +281,8 @@ def _linked(weight, pct: int):
         for i, j in zip(cuts, cuts[1:]):
             mine = order[i:j]
             if j - i > 1:
-                for x, y in tree_links([np.frombuffer(tokens[int(r)].as_buffer(), np.uint64) for r in mine], comp[mine], pct, weight.value):
+                found = tree_links([np.frombuffer(tokens[int(r)].as_buffer(), np.uint64) for r in mine], comp[mine], pct, weight.value)
+                for x, y in stars(found):  # c1 rises in a part: the first of a star is its smallest
                     a.append(c1[mine[x]])
                     b.append(c1[mine[y]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -283,23 +305,36 @@ def _within(number: Column) -> Column:
     return F.pmod(F.xxhash64("c1"), number).cast("int")
 
 
+def memberships(common: DataFrame, able: DataFrame) -> DataFrame:
+    """(c1, rep, n, block): the blocks that each set joins. A band is as wide as
+    the similarity lets sizes differ, so sets that link are of one band or of
+    neighbours, and meet at the lower one's."""
+    placed = common.join(able, "c1").select("tok", *able.columns, F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("low"))
+    led = placed.groupBy("tok", "low").agg(F.min("c1").alias("lead"), F.max("c1").alias("last"), F.min("band").alias("least_band")).filter("lead < last and least_band = low")
+    each = placed.join(led.select("tok", "low", "lead"), ["tok", "low"]).groupBy("c1", "low", "lead").agg(F.count(F.lit(1)).alias("k"), *[F.first(x).alias(x) for x in ("rep", "n", "least")])
+    one = Window.partitionBy("c1", "low")
+    upto = F.sum("k").over(one.orderBy("k", "lead").rowsBetween(Window.unboundedPreceding, 0))
+    each = each.withColumns({"upto": upto, "all": F.sum("k").over(one)}).filter("all >= least and 2 * upto >= least")
+    return each.select("c1", "rep", "n", F.xxhash64("lead", "low").alias("block"))
+
+
 def rest_of_blocks(member: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     """Parts in which the sets of large blocks meet that links have not brought
     together yet, and how many shingles all of them have. The sets outside a
     block's largest component are dealt to R parts and that component to K;
     each of the R meets all R + K."""
-    known = stored(member.join(roots, member["c1"] == roots["node"], "left").select("lead", "c1", "n", F.coalesce("root", "c1").alias("comp")), "labelled")
-    one = known.groupBy("lead", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("t"))
-    plan = one.groupBy("lead").agg(F.max_by(F.struct("comp", "k", "t"), F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), F.sum("t").alias("t"))
+    known = stored(member.join(roots, member["c1"] == roots["node"], "left").select("block", "c1", "n", F.coalesce("root", "c1").alias("comp")), "labelled")
+    one = known.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("t"))
+    plan = one.groupBy("block").agg(F.max_by(F.struct("comp", "k", "t"), F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), F.sum("t").alias("t"))
     rest_k, rest_t = F.col("k") - F.col("main.k"), F.col("t") - F.col("main.t")
-    plan = plan.select("lead", F.col("main.comp").alias("main"), _parts(2 * rest_k, 2 * rest_t).alias("r"), _parts(2 * F.col("main.k"), 2 * F.col("main.t")).alias("m"), rest_t.alias("rest_t"), F.col("main.t").alias("main_t"))
+    plan = plan.select("block", F.col("main.comp").alias("main"), _parts(2 * rest_k, 2 * rest_t).alias("r"), _parts(2 * F.col("main.k"), 2 * F.col("main.t")).alias("m"), rest_t.alias("rest_t"), F.col("main.t").alias("main_t"))
     plan = stored(plan.filter("r > 0"), "rest-plan")
     inside = F.col("comp") == F.col("main")
     mine = F.when(inside, F.col("r") + _within(F.col("m"))).otherwise(_within(F.col("r")))
     others = F.sequence(F.lit(0), F.when(inside, F.col("r")).otherwise(F.col("r") + F.col("m")) - 1)
-    met = known.join(plan, "lead").select("lead", "c1", "comp", mine.alias("i"), F.explode(others).alias("j"))
+    met = known.join(plan, "block").select("block", "c1", "comp", mine.alias("i"), F.explode(others).alias("j"))
     tokens = plan.agg(F.coalesce(F.sum(F.expr("rest_t * (r + m) + main_t * r")), F.lit(0))).first()[0]
-    return met.select("c1", "comp", F.xxhash64("lead", F.least("i", "j"), F.greatest("i", "j")).alias("part")), int(tokens)
+    return met.select("c1", "comp", F.xxhash64("block", F.least("i", "j"), F.greatest("i", "j")).alias("part")), int(tokens)
 
 
 def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 4, pct: int = 85) -> DataFrame:
@@ -323,18 +358,19 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k:
     classes = each.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     weight = spark.sparkContext.broadcast(frequencies(found))
     fronts = stored(base.select("text").mapInArrow(_fronts(weight, pct, k), "tok long, c1 long"), "fronts")
-    lists = fronts.groupBy("tok").agg(F.min("c1").alias("lead"), F.max("c1").alias("last")).filter("lead < last").select("tok", "lead")
+    lists = fronts.groupBy("tok").agg(F.min("c1").alias("lead"), F.max("c1").alias("last")).filter("lead < last").select("tok")
+    common = stored(fronts.join(lists, "tok"), "common-fronts")
     # a set with fewer common shingles in front than its smallest partner asks for has no link
-    touched = fronts.join(lists, "tok").groupBy("c1").agg(F.collect_set("lead").alias("leads"), F.count(F.lit(1)).alias("shared"))
-    touched = touched.join(classes, "c1").withColumn("m", F.expr(f"({pct} * n + 99) div 100")).filter(f"shared >= 1 + (m - ({pct} * m + 99) div 100 + 1) div 16")
-    touched = stored(touched.select("c1", "rep", "n", "leads"), "touched")
-    sets = token_sets(base, touched, k)
-    member = touched.select("c1", "n", F.explode("leads").alias("lead"))
-    blocks = member.groupBy("lead").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("tokens")).filter("count > 1").withColumn("parts", _parts(F.col("count"), F.col("tokens")))
-    member = stored(member.join(blocks, "lead"), "members")
+    able = common.groupBy("c1").agg(F.count(F.lit(1)).alias("shared")).join(classes, "c1").withColumn("m", F.expr(f"({pct} * n + 99) div 100"))
+    able = able.withColumn("least", F.expr(f"1 + (m - ({pct} * m + 99) div 100 + 1) div 4")).filter("shared >= least")
+    able = able.select("c1", "rep", "n", "least", F.floor(F.log("n") / math.log(100 / (pct - 0.01))).cast("int").alias("band"))
+    member = memberships(common, able)
+    blocks = member.groupBy("block").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("tokens")).filter("count > 1").withColumn("parts", _parts(F.col("count"), F.col("tokens")))
+    member = stored(member.join(blocks, "block"), "members")
+    sets = token_sets(base, member.select("c1", "rep").distinct(), k)
     in_all = (F.col("parts") > 1) & (F.pmod(F.xxhash64("c1", F.lit(1)), F.ceil(F.col("count") / HUBS)) == 0)
     places = F.when(in_all, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_within(F.col("parts"))))
-    parts = member.select("c1", F.col("c1").alias("comp"), "lead", F.explode(places).alias("p")).select("c1", "comp", F.xxhash64("lead", "p").alias("part"))
+    parts = member.select("c1", F.col("c1").alias("comp"), "block", F.explode(places).alias("p")).select("c1", "comp", F.xxhash64("block", "p").alias("part"))
     total = member.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("parts"), F.lit(0))).first()
     links = stored(linked(parts, sets, total[0], weight, pct), "links-1")
     if total[1] > 1:
