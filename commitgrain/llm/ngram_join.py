@@ -49,7 +49,7 @@ CELLS, CHUNK = 1 << 20, 1 << 13
 BLOCK, BLOCK_TOKENS = 512, 1 << 20
 #: Sets of a block that are in all of its parts, about.
 HUBS = 16
-SETS = "doc_id long, n int, c1 long, c2 long, cells binary, counts binary"
+SETS = "doc_id long, n int, c1 long, c2 long, counts binary"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -94,41 +94,41 @@ def _sets(k: int):
                 sets, firsts = shingles(data, offsets, k)
                 sketch += np.bincount(cell(sets), minlength=CELLS)
                 none = pa.nulls(rows.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(firsts).astype(np.int32)), *map(pa.array, class_ids(sets, firsts)), none, none], names)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(firsts).astype(np.int32)), *map(pa.array, class_ids(sets, firsts)), none], names)
         part = TaskContext.get().partitionId()
         for i in range(CELLS // CHUNK):  # rows of n = -1 carry the sketch: chunk and task in place of the digests
-            piece = sketch[i * CHUNK : (i + 1) * CHUNK]
-            full = np.flatnonzero(piece)
-            if len(full):
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int32()), pa.array([i], pa.int64()), pa.array([part], pa.int64()),
-                                                  pa.array([full.astype(np.int32).tobytes()], pa.binary()), pa.array([piece[full].tobytes()], pa.binary())], names)
+            if (piece := sketch[i * CHUNK : (i + 1) * CHUNK]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int32()), pa.array([i], pa.int64()), pa.array([part], pa.int64()), pa.array([narrow(piece)], pa.binary())], names)
     return run
 
 
-def _numbers(column, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_buffer() for x in column), kind)
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts of a chunk in as few bytes each as the largest takes."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def widened(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // CHUNK}").astype(np.int64)
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    total = np.zeros(CHUNK, np.int64)
-    np.add.at(total, _numbers(table.column("cells"), np.int32), _numbers(table.column("counts"), np.int64))
-    full = np.flatnonzero(total)
-    return pa.table({"chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "cells": pa.array([full.astype(np.int32).tobytes()], pa.binary()), "counts": pa.array([total[full].tobytes()], pa.binary())})
+    total = sum(widened(x.as_buffer()) for x in table.column("counts"))
+    return pa.table({"chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "counts": pa.array([narrow(total)], pa.binary())})
 
 
 def frequencies(found: DataFrame) -> np.ndarray:
     """The tasks' sketches, summed 64 at a time, as steps of a logarithmic
     scale: CELLS numbers from 0 to 255."""
-    parts = found.filter("n < 0").select(F.col("c1").alias("chunk"), F.col("c2").alias("part"), "cells", "counts")
+    parts = found.filter("n < 0").select(F.col("c1").alias("chunk"), F.col("c2").alias("part"), "counts")
     tasks = (parts.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         tasks = -(-tasks // 64)
-        parts = parts.withColumn("part", F.pmod("part", F.lit(tasks))).groupBy("chunk", "part").applyInArrow(_summed, "chunk long, part long, cells binary, counts binary")
+        parts = parts.withColumn("part", F.pmod("part", F.lit(tasks))).groupBy("chunk", "part").applyInArrow(_summed, "chunk long, part long, counts binary")
         if tasks <= 1:
             break
     out = np.zeros(CELLS, np.int64)
     for r in parts.toLocalIterator():
-        out[r["chunk"] * CHUNK + np.frombuffer(r["cells"], np.int32)] = np.frombuffer(r["counts"], np.int64)
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = widened(r["counts"])
     return np.minimum(np.log2(1 + out) * 6, 255).astype(np.uint8)
 
 
@@ -176,9 +176,11 @@ def _packed_sets(k: int):
 
 def token_sets(base: DataFrame, touched: DataFrame, k: int) -> DataFrame:
     """(c1, tokens) of the touched classes, from their representatives' texts.
-    Classes of rows without an id are found among those rows, by digest."""
+    Classes of rows without an id are found among those rows, by digest. Both
+    sides grow with the corpus, so they are always dealt by id and never sent
+    whole to all tasks."""
     reps = touched.select("c1", F.col("rep").alias("doc_id"))
-    named = base.join(reps, "doc_id").select("c1", "text").mapInArrow(_packed_sets(k), "c1 long, tokens binary").dropDuplicates(["c1"])
+    named = base.hint("merge").join(reps, "doc_id").select("c1", "text").mapInArrow(_packed_sets(k), "c1 long, tokens binary").dropDuplicates(["c1"])
     nameless = base.filter("doc_id is null").select(F.lit(None).cast("long").alias("c1"), "text").mapInArrow(_packed_sets(k), "c1 long, tokens binary")
     nameless = nameless.join(reps.filter("doc_id is null").select("c1"), "c1", "left_semi").dropDuplicates(["c1"])
     return stored(named.unionByName(nameless), "token-sets")
@@ -309,9 +311,9 @@ def memberships(common: DataFrame, able: DataFrame) -> DataFrame:
     """(c1, rep, n, block): the blocks that each set joins. A band is as wide as
     the similarity lets sizes differ, so sets that link are of one band or of
     neighbours, and meet at the lower one's."""
-    placed = common.join(able, "c1").select("tok", *able.columns, F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("low"))
+    placed = common.join(able.select("c1", "band"), "c1").select("tok", "c1", "band", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("low"))
     led = placed.groupBy("tok", "low").agg(F.min("c1").alias("lead"), F.max("c1").alias("last"), F.min("band").alias("least_band")).filter("lead < last and least_band = low")
-    each = placed.join(led.select("tok", "low", "lead"), ["tok", "low"]).groupBy("c1", "low", "lead").agg(F.count(F.lit(1)).alias("k"), *[F.first(x).alias(x) for x in ("rep", "n", "least")])
+    each = placed.select("tok", "c1", "low").join(led.select("tok", "low", "lead"), ["tok", "low"]).groupBy("c1", "low", "lead").agg(F.count(F.lit(1)).alias("k")).join(able, "c1")
     one = Window.partitionBy("c1", "low")
     upto = F.sum("k").over(one.orderBy("k", "lead").rowsBetween(Window.unboundedPreceding, 0))
     each = each.withColumns({"upto": upto, "all": F.sum("k").over(one)}).filter("all >= least and 2 * upto >= least")
