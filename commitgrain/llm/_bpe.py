@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 
 
@@ -49,18 +50,29 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return symbols
 
 
+def mark(path: str) -> str:
+    """What all special strings begin with: a text without it has none."""
+    return os.path.commonprefix(list(special_strings(path)))
+
+
 def special_strings(path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in load(path)["added_tokens"]}
 
 
 class Memo(dict):
-    """A dictionary that starts anew when it is full, for bounded memory."""
+    """A dictionary of bounded size in two generations: when the younger one has
+    half of the limit it becomes the older one, and what is used again from the
+    older one moves to the younger."""
 
     def __init__(self, make, limit: int = 300_000):
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if len(self) >= self.limit // 2:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value

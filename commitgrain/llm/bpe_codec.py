@@ -39,6 +39,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class Codec:
     def __init__(self, path: str):
         spec = _bpe.load(path)
+        how = spec["pre_tokenizer"]
+        if (how["type"], how["use_regex"], how["add_prefix_space"], spec["normalizer"]) != ("ByteLevel", True, False, None):
+            raise ValueError("only byte-level vocabularies whose texts are split by PATTERN as they are")
+        self.mark = _bpe.mark(path)
         letters = _bpe.byte_letters()
         to_byte = {c: chr(b) for b, c in enumerate(letters)}
         self.special_ids = _bpe.special_strings(path)
@@ -135,7 +139,7 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
         memo = self.memo
-        if "<|" not in text:
+        if self.mark not in text:
             return b"".join([memo[p] for p in self.pieces(text)])
         out = []
         for i, part in enumerate(self.special.split(text)):
@@ -145,14 +149,16 @@ class Codec:
                 out += [memo[p] for p in self.pieces(part)]
         return b"".join(out)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """UTF-8 of the decoded text; bytes that are no UTF-8 become U+FFFD."""
+    def decode(self, each: list[np.ndarray]) -> list[bytes]:
+        """UTF-8 of the decoded text of each list of ids; bytes that are no
+        UTF-8 become U+FFFD. The lists are gathered at once."""
+        ids = np.concatenate([np.zeros(0, np.int32), *each])
         first = self.offsets[ids]
         size = self.offsets[ids + 1] - first
-        total = int(size.sum())
-        place = np.arange(total) + np.repeat(first - (np.cumsum(size) - size), size)
-        raw = self.buffer[place].tobytes()
-        return raw.decode("utf-8", "replace").encode()
+        ends = np.cumsum(size)
+        raw = self.buffer[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)].tobytes()
+        ends = np.concatenate([[0], ends])[np.cumsum([0, *map(len, each)])]
+        return [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(ends, ends[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -164,8 +170,8 @@ def encode(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str =
     """One row a document: doc_id, ids (list of token ids).
 
     Null text is empty and has no ids; strings of special tokens inside a text
-    become their ids; repeated ids give a row each, an empty table none. One
-    pass without a shuffle.
+    become their ids; repeated ids give a row each, a null id stays null, an
+    empty table gives none. One pass without a shuffle.
     """
     def run(batches):
         to_ids = codec(vocabulary).encode
@@ -191,7 +197,7 @@ def decode(encoded: DataFrame, vocabulary: str, *, key: str = "doc_id", ids: str
                 each = [np.zeros(0, np.int32) if not x.is_valid else x.values.to_numpy() for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([len(x) for x in each], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each]),
-                     pa.array([c.decode(x).decode() for x in each], pa.string())], ["doc_id", "ids", "n_tokens", "ids_sha256", "text"])
+                     pa.array([x.decode() for x in c.decode(each)], pa.string())], ["doc_id", "ids", "n_tokens", "ids_sha256", "text"])
 
     return columns(encoded, key, ids).toDF("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, text string")
 
@@ -208,7 +214,7 @@ def round_trip(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: s
                 raw = [c.encode(t or "") for t in part.column(1).to_pylist()]
                 each = [np.frombuffer(r, "<i4") for r in raw]
                 columns_ = [part.column(0), pa.array([len(x) for x in each], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
-                            pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in each], pa.string())]
+                            pa.array([hashlib.sha256(x).hexdigest() for x in c.decode(each)], pa.string())]
                 if with_ids:
                     firsts = np.concatenate([[0], np.cumsum([len(x) for x in each])])
                     columns_.append(pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(np.concatenate(each), pa.int32())))

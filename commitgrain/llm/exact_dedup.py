@@ -71,19 +71,20 @@ def recipes(docs: DataFrame, mask: int = 2**64 - 1) -> DataFrame:
     chunks = docs.select("text").mapInArrow(_chunker(True, mask), "chunk long, content binary")
     contents = chunks.groupBy("chunk", "content").agg(F.lit(1).alias("one"))
     doubtful = stored(contents.groupBy("chunk").agg(F.sum("one").alias("n")).filter("n > 1").select("chunk"), "chunk-clashes")
-    plain = hashed.mapInArrow(_chunker(False, mask), "doc_id long, text_sha256 string, recipe array<long>")
+    plain = stored(hashed.mapInArrow(_chunker(False, mask), "doc_id long, text_sha256 string, recipe array<long>"), "recipes")
     if doubtful.isEmpty():  # every identifier stands for one content
         return plain
     # the few clashing hashes: number their contents, and name chunks by (hash, number)
     clash = contents.join(doubtful, "chunk", "left_semi")
     clash = clash.select("chunk", "content", F.row_number().over(Window.partitionBy("chunk").orderBy("content")).cast("long").alias("variant"))
-    whole = hashed.mapInArrow(_whole(mask), CHUNKS)
-    each = whole.select("doc_id", "text_sha256", F.posexplode(F.arrays_zip("recipe", "chunks")).alias("place", "c"))
-    each = each.select("doc_id", "text_sha256", "place", F.col("c.recipe").alias("chunk"), F.col("c.chunks").alias("content"))
-    named = each.join(clash, ["chunk", "content"], "left").select("doc_id", "text_sha256", F.struct("place", "chunk", F.coalesce("variant", F.lit(0)).alias("variant")).alias("c"))
-    lists = named.groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_set("c")).alias("c"))
-    lists = lists.select("doc_id", "text_sha256", F.flatten(F.transform("c", lambda c: F.array(c["chunk"], c["variant"]))).alias("recipe"))
-    return plain.select("doc_id", "text_sha256").join(lists, ["doc_id", "text_sha256"], "left").withColumn("recipe", F.coalesce("recipe", F.array().cast("array<long>")))
+    # one recipe for each text, whatever the ids of its rows
+    whole = hashed.mapInArrow(_whole(mask), CHUNKS).drop("doc_id")
+    each = whole.select("text_sha256", F.posexplode(F.arrays_zip("recipe", "chunks")).alias("place", "c"))
+    each = each.select("text_sha256", "place", F.col("c.recipe").alias("chunk"), F.col("c.chunks").alias("content"))
+    named = each.join(clash, ["chunk", "content"], "left").select("text_sha256", F.struct("place", "chunk", F.coalesce("variant", F.lit(0)).alias("variant")).alias("c"))
+    lists = named.groupBy("text_sha256").agg(F.array_sort(F.collect_set("c")).alias("c"))
+    lists = lists.select("text_sha256", F.flatten(F.transform("c", lambda c: F.array(c["chunk"], c["variant"]))).alias("recipe"))
+    return plain.select("doc_id", "text_sha256").join(lists, "text_sha256", "left").withColumn("recipe", F.coalesce("recipe", F.array().cast("array<long>")))
 
 
 def _whole(mask: int):

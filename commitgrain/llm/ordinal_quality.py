@@ -26,7 +26,7 @@ HEAD, TAIL = 5, 3
 #: Labelled documents that the fit takes at most; where there are more, those
 #: with the smallest hash of their id.
 MAX_ROWS = 8000
-SCORED = "doc_id long, expected_grade double, tail_probability double, kept boolean"
+SCORED = "doc_id long, expected_grade double, tail_probability double, threshold double, kept boolean"
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,26 +167,28 @@ def score(data: np.ndarray, offsets: np.ndarray, w: np.ndarray, thresholds: np.n
     return tail.sum(1), tail[:, -1], np.diff(firsts) > 0
 
 
-def good(tail: np.ndarray, full: np.ndarray, thresholds: np.ndarray, least: float) -> np.ndarray:
-    """Documents with a word whose probability of the best grade is at least
-    `least` times that of a document without any demerit."""
-    return full & (tail >= least / (1 + np.exp(np.clip(thresholds[-1], -40, 40))))
+def limit(thresholds: np.ndarray, least: float) -> float:
+    """`least` times the probability of the best grade of a document without
+    any demerit."""
+    return float(least / (1 + np.exp(np.clip(thresholds[-1], -40, 40))))
+
+
+def _featured(batches):
+    for batch in batches:
+        for rows, data, offsets in B.slices(batch, "text"):
+            index, firsts = features(data, offsets)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), B.list_column(index.astype(np.int32), firsts, pa.int32())], ["doc_id", "grade", "features"])
 
 
 def _fitted(batches):
-    rows = [(doc, grade, t or "") for b in batches for doc, grade, t in zip(*(c.to_pylist() for c in b.columns))]
-    rows.sort()  # the sample is bounded; in order, the fit is the same in every run
+    rows = [(doc, grade, f.values.to_numpy()) for b in batches for doc, grade, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))]
+    rows.sort(key=lambda r: (*r[:2], r[2].tobytes()))  # the sample is bounded; in order, the fit is the same in every run
     grades = np.array([r[1] for r in rows], np.int64)
-    raw = [r[2].encode() for r in rows]
-    parts = []
-    for i in range(0, len(raw), 200):
-        some = raw[i : i + 200]
-        parts.append(features(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in some])])))
     if not len(set(grades)) > 1:  # nothing to tell apart
         w, t = np.zeros(1 << BITS), np.array([-30.0])
     else:
-        firsts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
-        w, t = fit(np.concatenate([p[0] for p in parts]), firsts, grades)
+        firsts = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])])
+        w, t = fit(np.concatenate([r[2] for r in rows]).astype(np.int64), firsts, grades)
     yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary()), pa.array([t.astype("<f8").tobytes()], pa.binary())], ["weights", "thresholds"])
 
 
@@ -205,12 +207,13 @@ def sample(ratings: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
 def fit_model(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) from docs and ratings (doc_id, grade). The fit
-    reads max_rows labelled documents at most, in one task; the model it sends
-    back has a fixed size. Unlabelled input gives a model that keeps all."""
+    takes the features of max_rows labelled documents at most to one task; the
+    model it sends back has a fixed size. Unlabelled input gives a model that
+    keeps all."""
     base = columns(docs, key, text).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     chosen = F.broadcast(sample(ratings, max_rows))  # max_rows rows of two numbers
     rows = base.join(chosen, "doc_id").select("doc_id", "grade", "text")
-    got = rows.repartition(1).mapInArrow(_fitted, "weights binary, thresholds binary").collect()
+    got = rows.mapInArrow(_featured, "doc_id long, grade int, features array<int>").repartition(1).mapInArrow(_fitted, "weights binary, thresholds binary").collect()
     if not got:
         return np.zeros(1 << BITS, np.float32), np.array([-30.0])
     return np.frombuffer(got[0]["weights"], "<f4"), np.frombuffer(got[0]["thresholds"], "<f8")
@@ -219,8 +222,9 @@ def fit_model(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text:
 def ordinal_quality(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text: str = "text",
                     least: float = 0.8, max_rows: int = MAX_ROWS) -> DataFrame:
     """One row a document: doc_id, expected_grade, tail_probability (of the
-    best grade), kept (tail_probability at least `least` times that of a
-    document without demerits, so few labels do not reject the ordinary).
+    best grade), threshold (`least` times that of a document without demerits,
+    so few labels do not reject the ordinary), kept (with a word, and
+    tail_probability at least threshold).
 
     Every document is scored over its whole text. Null and wordless texts are
     not kept, with grade 0 and probability 0; repeated ids give a row each; an
@@ -233,8 +237,8 @@ def ordinal_quality(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id",
         for batch in batches:
             for rows, data, offsets in B.slices(batch, "text"):
                 expected, tail, full = score(data, offsets, w, t)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.where(full, expected, 0.0)), pa.array(np.where(full, tail, 0.0)), pa.array(good(tail, full, t, least))],
-                                                 ["doc_id", "expected_grade", "tail_probability", "kept"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.where(full, expected, 0.0)), pa.array(np.where(full, tail, 0.0)), pa.array(np.full(len(tail), limit(t, least))), pa.array(full & (tail >= limit(t, least)))],
+                                                 ["doc_id", "expected_grade", "tail_probability", "threshold", "kept"])
 
     base = columns(docs, key, text).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return base.mapInArrow(run, SCORED)
@@ -249,6 +253,6 @@ def select_good(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", tex
         for batch in batches:
             for rows, data, offsets in B.slices(batch, text):
                 _, tail, full = score(data, offsets, w, t)
-                yield rows.filter(pa.array(good(tail, full, t, least)))
+                yield rows.filter(pa.array(full & (tail >= limit(t, least))))
 
     return docs.mapInArrow(run, docs.schema)

@@ -34,8 +34,7 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.pareto_mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return mixing.pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_parse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,22 +108,30 @@ ORACLES: dict[str, str] = {
         SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
             NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= n_words * 0.5 AND n_words - removed_words >= 20 AS kept FROM a""",
     "op6_pareto_mix": r"""
-        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        WITH RECURSIVE d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS h, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+            row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) AS number FROM documents),
           s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM d GROUP BY source),
           w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INT)]::DOUBLE AS weight FROM s),
           b AS (SELECT *, 3.0::DOUBLE * ss / weight AS bound FROM w),
           l AS (SELECT *, (sum(ss) OVER () - coalesce(sum(3.0::DOUBLE * ss) OVER (ORDER BY bound, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
               / sum(weight) OVER (ORDER BY bound, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM b),
           t AS (SELECT source, ss, least(3.0::DOUBLE * ss, coalesce((SELECT max(level) FROM l WHERE level <= bound), (SELECT max(bound) FROM l)) * weight) AS target FROM l),
-          r AS (SELECT d.*, ss, target, floor(target / ss) AS whole, target / ss - floor(target / ss) AS p, target - floor(target / ss) * ss AS rest,
-              (CAST('0x' || substring(md5(doc_id || 'mix-1'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-          o AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM r),
-          c AS (SELECT *, CASE WHEN rank IS NOT NULL THEN sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) END AS upto FROM o),
+          k AS (SELECT source, length(bin(size)) - 1 AS k, CAST(sum(size) AS DOUBLE) AS words FROM d GROUP BY ALL),
+          i AS (SELECT source, 0 AS step, -200.0::DOUBLE AS lo, 200.0::DOUBLE AS hi FROM t UNION ALL
+              SELECT i.source, step + 1, CASE WHEN f < target - floor(target / ss) * ss THEN (lo + hi) / 2 ELSE lo END, CASE WHEN f < target - floor(target / ss) * ss THEN hi ELSE (lo + hi) / 2 END
+              FROM i JOIN t ON i.source IS NOT DISTINCT FROM t.source, LATERAL (SELECT sum(words * pow(2.0::DOUBLE, (lo + hi) / 2 + k * 0.5::DOUBLE) / (1 + pow(2.0::DOUBLE, (lo + hi) / 2 + k * 0.5::DOUBLE))) AS f
+                  FROM k WHERE k.source IS NOT DISTINCT FROM i.source) x WHERE step < 60),
+          r AS (SELECT d.*, ss, target, floor(target / ss) AS whole, target - floor(target / ss) * ss AS rest, (lo + hi) / 2 AS factor,
+              md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), '-'), h, CAST(number AS VARCHAR), 'mix-1')) AS tag
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN i ON d.source IS NOT DISTINCT FROM i.source AND step = 60),
+          u AS (SELECT *, (CAST('0x' || substring(tag, 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE AS u FROM r),
+          o AS (SELECT *, CASE WHEN rest > 0 AND size > 0 THEN u / (1 - u) / pow(2.0::DOUBLE, factor + (length(bin(size)) - 1) * 0.5::DOUBLE) END AS rank FROM u),
+          c AS (SELECT *, CASE WHEN rank IS NOT NULL THEN sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, tag ROWS UNBOUNDED PRECEDING) END AS upto FROM o),
           g AS (SELECT source, max(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS gap FROM c WHERE rank IS NOT NULL GROUP BY source HAVING max(upto) > max(rest)),
-          k AS (SELECT c.doc_id, c.source FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source WHERE upto > rest AND size > 0 AND abs(size - gap) < gap
-              QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY abs(size - gap), rank, c.doc_id) = 1)
-        SELECT c.doc_id, size, ss AS source_size, round(target, 3) AS target, CAST(size * (whole + CASE WHEN upto <= rest OR k.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
-        FROM c LEFT JOIN k ON c.doc_id = k.doc_id""",
+          p AS (SELECT c.tag FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source WHERE upto > rest AND abs(size - gap) < gap
+              QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY abs(size - gap), rank, tag) = 1)
+        SELECT doc_id, size, ss AS source_size, target, CAST(size * (coalesce(whole, 0) + CASE WHEN upto <= rest OR p.tag IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM c LEFT JOIN p ON c.tag = p.tag""",
     "op9_ngram_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
           g AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, CASE WHEN len(w) = 0 THEN NULL WHEN len(w) < 4 THEN w ELSE w[k:k + 3] END AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM w)) WHERE g IS NOT NULL),

@@ -9,7 +9,7 @@ own BPE model, once for each distinct one that a task meets.
 
 from __future__ import annotations
 
-import unicodedata
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -22,6 +22,9 @@ from commitgrain.llm import _bpe
 from commitgrain.llm._common import columns
 
 
+_other = re.compile("[^\x00-\u024F\u2010-\u2027]").search
+
+
 class Counter:
     """Counts tokens of texts for a word-end BPE file: NFC, runs of white space
     to one space, lower case; pre-tokens by the file's pattern."""
@@ -42,7 +45,9 @@ class Counter:
                     self.whole.add(bytes(back[c] for c in word[: -len(self.end)]).decode())
                 except UnicodeDecodeError:
                     continue  # part of a character: no pre-token
-        merged = tokenizers.Tokenizer.from_file(path).model.tokenize
+        self.mark = _bpe.mark(path)
+        library = tokenizers.Tokenizer.from_file(path)
+        merged, self.normal_form = library.model.tokenize, library.normalizer.normalize_str
         letter = self.letters.__getitem__
         self.counts = _bpe.Memo(lambda piece: 1 if piece in self.whole else len(merged("".join(map(letter, piece.encode())))), 250_000)
 
@@ -51,15 +56,14 @@ class Counter:
         return _bpe.merge([*letters[:-1], letters[-1] + self.end], self.ranks) if letters else []
 
     def normal(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # character by character: no final form of sigma
-                return "".join(map(str.lower, text))
-        return text.lower()
+        """Composed and in lower case. Latin letters and plain punctuation have
+        no marks to compose and one lower case each; anything else is left to
+        the library, whose tables may be of another edition than Python's."""
+        return self.normal_form(text) if _other(text) else text.lower()
 
     def count(self, text: str) -> int:
         total = 0
-        if "<|" in text:
+        if self.mark in text:
             parts = self.special.split(text)
             total = len(parts) - 1
         else:
@@ -79,7 +83,7 @@ def token_counts(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text:
 
     Null text is empty and has 0 tokens; strings of special tokens inside a
     text are one token each; rows are independent, so repeated ids give a row
-    each and an empty table none. `vocabulary` is the path of the file, which
+    each, a null id stays null, and an empty table gives none. `vocabulary` is the path of the file, which
     every executor must have. One pass without a shuffle; a task holds one
     Arrow batch and a table of at most Memo.limit pre-tokens.
     """

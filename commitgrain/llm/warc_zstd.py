@@ -1,6 +1,6 @@
 """WARC archives compressed record by record with Zstandard and a dictionary.
 
-An archive file starts with a skippable frame that holds the dictionary;
+Every archive file starts with a skippable frame that holds the dictionary;
 after it, each record is one frame. Writing goes task by task into files of
 bounded size in a shared folder; reading gives one row a record, each frame
 decoded on its own and its headers and lengths checked.
@@ -32,7 +32,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: Bytes of payload in a file, about; bytes that a dictionary is trained on.
 FILE_BYTES = 16 << 20
-SAMPLE_BYTES = 1 << 20
+SAMPLE_BYTES, PIECE, DICTIONARY_BYTES = 1 << 20, 1 << 12, 16 << 10
 RECORD = ("archive string, offset long, record_id string, record_type string, refers_to string, target_uri string, "
           "payload_digest string, content_length long, payload_bytes long, payload binary, error string")
 
@@ -137,26 +137,32 @@ def decode_record(raw: bytes) -> dict:
     return out
 
 
+def make_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """Trained on pieces of records from all over the file, SAMPLE_BYTES at
+    most; where they are too few to learn from, the pieces themselves."""
+    share = max(PIECE, SAMPLE_BYTES // len(records))
+    pieces, total = [], 0
+    for r in records[:: max(1, len(records) * PIECE // SAMPLE_BYTES)]:
+        pieces += [r[i : i + PIECE] for i in range(0, min(len(r), share), PIECE)]
+        total += min(len(r), share)
+        if total >= SAMPLE_BYTES:
+            break
+    if len(pieces) >= 16:
+        try:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, pieces)
+        except zstandard.ZstdError:  # too little in common to learn from
+            pass
+    return zstandard.ZstdCompressionDict(b"".join(pieces)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
 def write_file(fs, folder: str, records: list[bytes], place: str) -> tuple[str, int]:
     """One archive file, named by its place and content, and under a hidden
     name until it is whole. The place is the task's partition and the file's
     number in it: equal content elsewhere is a file of its own, and a task
     that is run again writes the same names."""
-    sample, total = [], 0
-    for r in records:
-        sample.append(r)
-        total += len(r)
-        if total >= SAMPLE_BYTES:
-            break
-    dictionary = None
-    if len(sample) >= 16:
-        try:
-            dictionary = zstandard.train_dictionary(16 << 10, sample)
-        except zstandard.ZstdError:  # too little to learn from: the format allows an archive without
-            dictionary = None
-    maker = zstandard.ZstdCompressor(level=3, dict_data=dictionary) if dictionary else zstandard.ZstdCompressor(level=3)
-    body = [dictionary_frame(dictionary.as_bytes())] if dictionary else []
-    body += [maker.compress(r) for r in records]
+    dictionary = make_dictionary(records)
+    maker = zstandard.ZstdCompressor(level=3, dict_data=dictionary)
+    body = [dictionary_frame(dictionary.as_bytes()), *(maker.compress(r) for r in records)]
     name = f"part-{place}-{hashlib.sha256(b''.join(body)).hexdigest()[:32]}.warc.zst"
     draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(draft) as f:

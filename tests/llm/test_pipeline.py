@@ -87,3 +87,16 @@ def test_pipeline_takes_odd_rows(spark):
                 assert out.columns == odd.columns
                 assert n <= 3 * max(df.count(), 1)
     assert corpus_pipeline.STAGES[2][1](spark, odd, SF).filter(F.col("doc_id") == 3).count() == 2
+
+
+def test_mix_stage_counts_repeated_rows_once(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(i // 2, f"text {i % 3} of some words " * (i % 7 + 1), "en", "ab"[i % 2], i) for i in range(60)] + [(None, "no id at all", "en", None, i) for i in range(20)] + [(99, None, None, "a", 1)]
+    docs = spark.createDataFrame(rows + rows[:9], schema)
+    want = Counter()
+    for r in mixing.pareto_mix(docs).collect():
+        want[r["doc_id"], r["source"], r["text_md5"]] += r["copies"]
+    out = corpus_pipeline.mix(spark, docs.withColumn("key", F.lit("clash")).repartition(3), SF)
+    assert out.columns == [*docs.columns, "key"]
+    assert Counter((r["doc_id"], r["source"], hashlib.md5((r["text"] or "").encode()).hexdigest()) for r in out.collect()) == +want
+    assert set(out.select("n_chars").distinct().toPandas()["n_chars"]) <= set(range(61))
