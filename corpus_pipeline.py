@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from commitgrain.llm import bpe_codec, exact_dedup, mixing, ngram_join, ordinal_quality
@@ -33,10 +33,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    taken = stored(mixing.pareto_mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")), "copies")
-    drawn = docs.join(taken.withColumnRenamed("doc_id", "taken_id"), F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """Each row as many times as the mix takes it. Rows that repeat id, source
+    and text are told apart by a number, as the mix does; where there are none,
+    nothing is put in order."""
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    mixed = stored(mixing.pareto_mix(docs).select("doc_id", "source", "text_md5", "number", F.col("copies").cast("int").alias("copies")), "mixed")
+    md5 = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    number = F.lit(1).cast("long")
+    if not mixed.filter("number > 1").isEmpty():
+        number = F.row_number().over(Window.partitionBy("doc_id", "source", md5).orderBy(*names)).cast("long")
+    rows = docs.select(F.struct(*names).alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), "source", md5.alias("text_md5"), number.alias("number")).alias("key"))
+    taken = mixed.filter("copies > 0").select(F.struct("doc_id", "source", "text_md5", "number").alias("taken"), F.sequence(F.lit(1), "copies").alias("copies"))
+    drawn = rows.join(taken, F.col("key") == F.col("taken")).select("row", F.explode("copies"))  # a struct equals another with nulls in the same places
+    return drawn.select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
