@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the line ends that count, a pair of carriage return and line feed as one.
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
+#: Tokens that are counted, and the pattern of a hunk header.
 TOKENS = ("todo", "fixme", "try", "except", "raise")
 HUNK = r"(?m)^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that the vectorizer leaves out, in natural order. A short
@@ -12,6 +14,16 @@ STOP_WORDS = ("a", "about", "after", "all", "also", "an", "and", "any", "are", "
               "over", "she", "should", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "under", "up", "very", "was",
               "we", "were", "what", "when", "where", "which", "who", "will", "with", "would", "you", "your")
 
+#: Patterns that message cleaning replaces, in this order.
+CLEANING = (
+    (r"git-svn-id:.*", ""),
+    (r"https?://\S+", ""),
+    (r"\b[0-9a-f]{4,}\b", ""),
+    (r"#\d+", ""),
+    (r"\.py|\.c|\.cpp|\.h", " "),
+    (r"[^a-zA-Z\s]", " "),
+)
+
 
 def message_flags(message: Column) -> dict[str, Column]:
     low = F.lower(message)
@@ -20,36 +32,56 @@ def message_flags(message: Column) -> dict[str, Column]:
 
 def clean_message(message: Column) -> Column:
     """Lower case without revision trailers, links, hex words, issue numbers,
-    file extensions and everything that is no letter."""
+    file extensions and everything that is no letter; white space stays, but
+    for that at the ends. Classes are Unicode's, and only \\n ends a line."""
     out = F.lower(message)
-    for pattern, to in ((r"git-svn-id:[^\n]*", ""), (r"https?://\S+|www\.\S+", ""), (r"\b[0-9a-f]{4,}\b", ""), (r"#\d+", ""), (r"\.py|\.c|\.cpp|\.h", " "), (r"[^a-z\s]", " "), (r"\s+", " ")):
-        out = F.regexp_replace(out, "(?d)" + pattern, to)
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    for pattern, to in CLEANING:
+        out = F.regexp_replace(out, "(?U)(?d)" + pattern, to)
+    return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
 
 
-def terms(text: Column) -> Column:
+def terms(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Words of two characters or more without stop words, and their pairs."""
-    words = F.filter(F.regexp_extract_all(text, F.lit(r"\w\w+"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
+    words = F.filter(F.regexp_extract_all(text, F.lit(r"\w\w+"), F.lit(0)), lambda w: ~w.isin(*stop_words))
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, pairs)
 
 
-def fit_vocabulary(texts: DataFrame, text: str, size: int = 100) -> DataFrame:
+def counted(found: Column) -> Column:
+    """[(term, tf)] of a list of terms, without a shuffle: the list in order,
+    each run of equals counted by its borders."""
+    ordered = F.array_sort(found)
+    starts = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(ordered) + 1))
+    runs = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a - 1).alias("term"), (b - a).cast("long").alias("tf")))
+    return F.when(F.size(ordered) > 0, runs).otherwise(F.slice(runs, 1, 0))
+
+
+def fit_vocabulary(texts: DataFrame, text: str, size: int = 100, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """(term, idf) of the `size` terms with the highest count in the corpus."""
-    numbered = texts.select(F.monotonically_increasing_id().alias("_doc"), terms(F.col(text)).alias("_terms"))
-    each = numbered.select("_doc", F.explode("_terms").alias("term"))
-    stats = each.groupBy("term", "_doc").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    each = texts.select(F.explode(counted(terms(F.col(text), stop_words))).alias("t"))
+    stats = each.groupBy("t.term").agg(F.sum("t.tf").alias("n"), F.count(F.lit(1)).alias("df"))
     total = texts.agg(F.count(F.lit(1)).alias("docs"))
     top = stats.orderBy(F.desc("n"), "term").limit(size)
     return top.join(F.broadcast(total)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # total is one row
 
 
-def weigh_terms(texts: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    """(key, term, weight): counts times idf, scaled to length 1 a text."""
-    each = texts.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    raw = each.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * F.col("idf"))  # a vocabulary has a set size
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
+def term_weights(text: Column, idf: dict[str, float], stop_words: Sequence[str] = STOP_WORDS) -> Column:
+    """[(term, weight)] of a text over a fitted vocabulary: counts times idf,
+    scaled to length 1. An expression over the row alone."""
+    names = list(idf)
+    known = F.filter(terms(text, stop_words), lambda t: t.isin(*names)) if names else F.array().cast("array<string>")
+    table = F.create_map(*[F.lit(x) for kv in idf.items() for x in kv]) if names else F.create_map().cast("map<string,double>")
+    raw = F.transform(counted(known), lambda t: F.struct(t["term"].alias("term"), (t["tf"] * F.element_at(table, t["term"])).alias("w")))
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, t: s + t["w"] * t["w"]))
+    return F.transform(raw, lambda t: F.struct(t["term"].alias("term"), (t["w"] / norm).alias("weight")))
+
+
+def weigh_terms(texts: DataFrame, key: str, text: str, vocabulary: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """(key, term, weight) for each text's terms of the vocabulary, which has a
+    set size and comes to the driver; no shuffle."""
+    idf = {r["term"]: r["idf"] for r in vocabulary.orderBy("term").collect()}
+    return texts.select(key, F.inline(term_weights(F.col(text), idf, stop_words)))
 
 
 def commit_code(patches: DataFrame, limit: int = 2000) -> DataFrame:

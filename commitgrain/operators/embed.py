@@ -97,6 +97,19 @@ def class_distances(df: DataFrame, key: str, array: str, label: str, per_class:
     return pairs.agg(mean((F.col("la") == 0) & (F.col("lb") == 1)).alias("between"), mean((F.col("la") == 0) & (F.col("lb") == 0)).alias("within_0"), mean((F.col("la") == 1) & (F.col("lb") == 1)).alias("within_1"))
 
 
+def _decisions(node: ast.AST) -> int:
+    """Ways that a node adds to those through its function."""
+    if isinstance(node, (ast.For, ast.AsyncFor, ast.While)):
+        return 1 + bool(node.orelse)
+    if isinstance(node, ast.comprehension):
+        return 1 + len(node.ifs)
+    if isinstance(node, ast.BoolOp):
+        return len(node.values) - 1
+    if isinstance(node, ast.Try):
+        return bool(node.orelse)
+    return int(isinstance(node, (ast.If, ast.IfExp, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Assert, ast.match_case)))
+
+
 def _structure(source: str | None, lines: set[int]) -> tuple[int, int, int]:
     """Nodes, decision points + 1 and longest span of functions that touch lines."""
     try:
@@ -104,20 +117,20 @@ def _structure(source: str | None, lines: set[int]) -> tuple[int, int, int]:
     except (SyntaxError, ValueError, RecursionError):
         return 0, 0, 0
     nodes = complexity = longest = 0
-    branch = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Assert, ast.comprehension, ast.IfExp)
     for f in ast.walk(tree):
         if isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)) and any(f.lineno <= i <= (f.end_lineno or f.lineno) for i in lines):
             inner = list(ast.walk(f))
-            nodes += len(inner)
-            complexity += 1 + sum(isinstance(x, branch) for x in inner) + sum(len(x.values) - 1 for x in inner if isinstance(x, ast.BoolOp))
+            nodes += 1 + len(inner)  # a module of its own
+            complexity += 1 + sum(map(_decisions, inner))
             longest = max(longest, (f.end_lineno or f.lineno) - f.lineno + 1)
     return nodes, complexity, longest
 
 
 def structural_delta(patches: DataFrame) -> DataFrame:
     """(repo, commit, ast_delta, complexity_delta, max_func_change) over .py
-    files: sums of absolute differences between both sides' changed functions."""
-    py = patches.filter(F.col("path").endswith(".py")).select("repo", "commit", "old_text", "new_text", changed_lines(F.col("patch")).alias("lines"))
+    files that are still there: sums of absolute differences between both
+    sides' changed functions, and the longest changed function of the new side."""
+    py = patches.filter(F.col("path").endswith(".py") & F.col("new_text").isNotNull()).select("repo", "commit", "old_text", "new_text", changed_lines(F.col("patch")).alias("lines"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -125,7 +138,7 @@ def structural_delta(patches: DataFrame) -> DataFrame:
             for old, new, lines in zip(b.old_text, b.new_text, b.lines):
                 touched = set() if lines is None else set(map(int, lines))
                 o, n = _structure(old, touched), _structure(new, touched)
-                rows.append((abs(n[0] - o[0]), abs(n[1] - o[1]), max(n[2], o[2])))
+                rows.append((abs(n[0] - o[0]), abs(n[1] - o[1]), n[2]))
             yield pd.DataFrame({"repo": b["repo"], "commit": b["commit"]} | {c: [r[i] for r in rows] for i, c in enumerate(("a", "c", "m"))})
 
     each = py.mapInPandas(run, "repo string, commit string, a long, c long, m long")
