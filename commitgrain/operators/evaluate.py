@@ -22,9 +22,13 @@ def score_counts(df: DataFrame) -> DataFrame:
 
 def cumulated(df: DataFrame) -> DataFrame:
     """(model, threshold, tp, fp, pos, neg) at each distinct score."""
+    return _cumulated(score_counts(df))
+
+
+def _cumulated(counts: DataFrame) -> DataFrame:
     down = Window.partitionBy("model").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy("model")
-    return score_counts(df).select("model", F.col("score").alias("threshold"), F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(every).alias("pos"), F.sum("n").over(every).alias("neg"))
+    return counts.select("model", F.col("score").alias("threshold"), F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(every).alias("pos"), F.sum("n").over(every).alias("neg"))
 
 
 def roc_curve(df: DataFrame) -> DataFrame:
@@ -68,17 +72,21 @@ def mcc(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
 def best_mcc_threshold(df: DataFrame, steps: int = 100) -> DataFrame:
     """(model, threshold, mcc) over `steps` thresholds from 0 to 1; the lowest of the best.
 
-    Scores fall into steps + 1 cells, so one small table of cumulated counts a
-    model serves all thresholds."""
-    cells = F.broadcast(df.sparkSession.range(steps).select(F.col("id").alias("k")))  # `steps` rows
-    cell = F.least(F.floor(F.col("score") * (steps - 1) + TINY), F.lit(steps - 1)).cast("long")
-    n = df.groupBy("model", cell.alias("k")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
+    Scores fall into steps + 1 cells, those below 0 into a cell of their own,
+    so one small table of cumulated counts a model serves all thresholds."""
+    return _best_mcc(score_counts(df), steps)
+
+
+def _best_mcc(counts: DataFrame, steps: int = 100) -> DataFrame:
+    cells = F.broadcast(counts.sparkSession.range(-1, steps).select(F.col("id").alias("k")))  # steps + 1 rows
+    cell = F.greatest(F.lit(-1), F.least(F.floor(F.col("score") * (steps - 1) + TINY), F.lit(steps - 1))).cast("long")
+    n = counts.groupBy("model", cell.alias("k")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     full = n.select("model").distinct().join(cells).join(n, ["model", "k"], "left").na.fill(0, ["p", "n"])
     up = Window.partitionBy("model").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy("model")
     c = full.select("model", "k", F.sum("p").over(up).alias("tp"), F.sum("n").over(up).alias("fp"), F.sum("p").over(every).alias("pos"), F.sum("n").over(every).alias("neg"))
     m = F.round(mcc(F.col("tp"), F.col("fp"), F.col("pos") - F.col("tp"), F.col("neg") - F.col("fp")), 12)
-    each = c.select("model", (F.col("k") / (steps - 1)).alias("threshold"), m.alias("mcc"))
+    each = c.filter("k >= 0").select("model", (F.col("k") / (steps - 1)).alias("threshold"), m.alias("mcc"))
     return each.groupBy("model").agg(F.max_by(F.struct("threshold", "mcc"), F.struct("mcc", -F.col("threshold"))).alias("b")).select("model", "b.threshold", "b.mcc")
 
 
@@ -103,8 +111,22 @@ def report(df: DataFrame, predicted: str = "predicted") -> DataFrame:
 
 def evaluate_models(df: DataFrame) -> DataFrame:
     """Per model: AUC, best F1, F2 and MCC with their thresholds, and the
-    weighted F1 at the best F2 threshold, which is the one applied."""
-    f1, f2, m = (best_f_threshold(df, 1).toDF("model", "f1_threshold", "f1"), best_f_threshold(df, 2).toDF("model", "f2_threshold", "f2"), best_mcc_threshold(df).toDF("model", "mcc_threshold", "mcc"))
-    applied = df.join(F.broadcast(f2.select("model", "f2_threshold")), "model").withColumn("predicted", (F.col("score") >= F.col("f2_threshold")).cast("int"))  # a row a model
-    weighted = report(applied).filter(F.col("class") == "weighted").select("model", F.col("f1").alias("weighted_f1"))
-    return roc_auc(df).join(f1, "model").join(f2, "model").join(m, "model").join(weighted, "model")
+    weighted F1 at the best F2 threshold, which is the one applied.
+
+    Rows are counted by model and score once, in one pass over df; everything
+    else comes from these counts, whose exchange Spark uses again."""
+    counts = score_counts(df)
+    w = Window.partitionBy("model").orderBy(F.desc("threshold"))
+    tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
+    area = (fp - F.coalesce(F.lag(fp).over(w), F.lit(0))) * (tp + F.coalesce(F.lag(tp).over(w), F.lit(0))) / 2
+    precision, recall = tp / (tp + fp), F.try_divide(tp, pos)
+    f = {b: F.round((1 + b * b) * precision * recall / (b * b * precision + recall + TINY), 12) for b in (1, 2)}
+    points = _cumulated(counts).select("model", "threshold", "tp", "fp", "pos", "neg", area.alias("area"), *[x.alias(f"f{b}") for b, x in f.items()])
+    best = lambda b: F.max_by(F.struct("threshold", f"f{b}", "tp", "fp"), F.struct(f"f{b}", -F.col("threshold")))
+    one = points.groupBy("model").agg(F.try_divide(F.sum("area"), F.first("pos") * F.first("neg")).alias("auc"), best(1).alias("b1"), best(2).alias("b2"), F.first("pos").alias("pos"), F.first("neg").alias("neg"))
+    m = _best_mcc(counts).toDF("model", "mcc_threshold", "mcc")
+    part = lambda hit, wrong, n: F.coalesce(F.try_divide(2 * hit.cast("double"), hit + n + wrong), F.lit(0.0))  # noqa: E731  2tp / (2tp + fp + fn)
+    yes, no = part(F.col("b2.tp"), F.col("b2.fp"), pos), part(neg - F.col("b2.fp"), pos - F.col("b2.tp"), neg)
+    weighted = F.coalesce(F.try_divide(yes * pos + no * neg, pos + neg), F.lit(0.0))
+    return one.join(m, "model").select("model", "auc", F.col("b1.threshold").alias("f1_threshold"), F.col("b1.f1").alias("f1"), F.col("b2.threshold").alias("f2_threshold"), F.col("b2.f2").alias("f2"),
+                                       "mcc_threshold", "mcc", weighted.alias("weighted_f1"))

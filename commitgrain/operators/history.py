@@ -35,8 +35,15 @@ def recent_activity(df: DataFrame, keys: list[str], ts: str, ties: list[str], da
     return sliding(df, F.lit(1).cast("long"), keys, ts, ties, days, out)
 
 
-def recent_churn(df: DataFrame, keys: list[str], ts: str, ties: list[str], days: int = 30, added: str = "loc_added", deleted: str = "loc_deleted", out: str = "recent_churn") -> DataFrame:
-    """Added and deleted lines of the same keys in the `days` days before."""
+def recent_churn(df: DataFrame, keys: list[str], ts: str, ties: list[str], days: int = 30, added: str = "loc_added", deleted: str = "loc_deleted", out: str = "recent_churn", distinct_commits: bool = False) -> DataFrame:
+    """Added and deleted lines of the same keys in the `days` days before. With
+    distinct_commits a commit counts once, by its first row in order of ties,
+    and all its rows get that row's sum."""
+    if distinct_commits:
+        first = Window.partitionBy(*keys, "commit").orderBy(ts, *ties)
+        one = df.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+        sums = recent_churn(one, keys, ts, ties, days, added, deleted, out).select(*keys, "commit", out)
+        return df.join(sums, [*keys, "commit"], "left")
     return sliding(df, (F.col(added) + F.col(deleted)).cast("long"), keys, ts, ties, days, out)
 
 
@@ -53,8 +60,17 @@ def earlier_file_churn(df: DataFrame, ts: str = "canonical_datetime", changes: i
 
 
 def capped_experience(df: DataFrame, ts: str = "canonical_datetime", last: int = 10_000, out: str = "author_exp_capped") -> DataFrame:
-    """The author's rows among the `last` rows of the repo before this one."""
-    df = df.withColumn("_n", F.row_number().over(Window.partitionBy("repo").orderBy(ts, "commit", "filepath")))
+    """The author's rows among the `last` rows of the repo before this one.
+
+    A repo's rows are numbered day by day: a table of a row a repo and day says
+    how many come before, so no task orders a whole repo."""
+    df = df.withColumn("_day", F.floor(micros(ts) / DAY))
+    days = df.groupBy("repo", "_day").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy("repo").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(F.col("repo").alias("_repo"), F.col("_day").alias("_d"), F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("repo", "_day").orderBy(ts, "commit", "filepath"))
+    df = df.withColumn("_n", within).join(days, F.col("repo").eqNullSafe(F.col("_repo")) & F.col("_day").eqNullSafe(F.col("_d"))).drop("_repo", "_d")
+    df = df.withColumn("_n", F.col("_n") + F.col("_before")).drop("_day", "_before")
     w = Window.partitionBy("repo", "author_email").orderBy("_n").rangeBetween(-last, -1)
     return df.withColumn(out, F.count(F.lit(1)).over(w).cast("long")).drop("_n")
 

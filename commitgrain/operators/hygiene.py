@@ -32,9 +32,14 @@ def _predicates(df: DataFrame, rules: dict[str, Callable[[Column], Column]]) ->
     return {c: rule(F.col(c)) for c, rule in rules.items()}
 
 
-def drop_invalid(df: DataFrame, rules: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """Rows for which every rule holds; an unknown (null) does not hold."""
-    return df.filter(reduce(lambda a, b: a & b, _predicates(df, rules).values(), F.lit(True)))
+def drop_invalid(df: DataFrame, rules: dict[str, Callable[[Column], Column]], recheck: bool = False) -> DataFrame:
+    """Rows for which every rule holds; an unknown (null) does not hold. With
+    recheck, rows that are left are counted against the rules once more, and
+    any that a rule drops is an error."""
+    out = df.filter(reduce(lambda a, b: a & b, _predicates(df, rules).values(), F.lit(True)))
+    if recheck and (left := [r["rule"] for r in invalid_counts(out, rules).filter("dropped > 0").collect()]):  # a row a rule
+        raise ValueError(f"rows are left that break the rules of {sorted(left)}")
+    return out
 
 
 def invalid_counts(df: DataFrame, rules: dict[str, Callable[[Column], Column]]) -> DataFrame:

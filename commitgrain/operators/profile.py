@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,13 @@ BATCH = 20
 PERCENTS = [0.25, 0.5, 0.75]
 
 
+def percentile(c: str, at: float | Sequence[float], approx: int | None = None) -> Column:
+    """Exact percentiles keep a count for each distinct value in one task; with
+    approx, an accuracy such as 10000, a sketch of fixed size takes their place."""
+    p = F.lit(at) if isinstance(at, float) else F.array(*[F.lit(x) for x in at])
+    return F.percentile(c, p) if approx is None else F.percentile_approx(F.col(c).cast("double"), p, approx)
+
+
 def _rows(df: DataFrame, names: Sequence[str], stats: dict[str, Column | str], by: Sequence[str] = ()) -> DataFrame:
     """One row a column (and group): stats are functions of the column's name,
     gathered in one aggregation and turned to rows."""
@@ -41,16 +50,16 @@ def value_shares(df: DataFrame, name: Column, by: Sequence[str] = ()) -> DataFra
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
 
-def range_scan(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return _rows(df, names, {"min": lambda c: F.min(c).cast("double"), "median": lambda c: F.percentile(c, F.lit(0.5)), "mean": lambda c: F.avg(c), "max": lambda c: F.max(c).cast("double")})
+def range_scan(df: DataFrame, names: Sequence[str], approx: int | None = None) -> DataFrame:
+    return _rows(df, names, {"min": lambda c: F.min(c).cast("double"), "median": lambda c: percentile(c, 0.5, approx), "mean": lambda c: F.avg(c), "max": lambda c: F.max(c).cast("double")})
 
 
 def negative_shares(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return _rows(df, names, {"negatives": lambda c: F.count_if(F.col(c) < 0), "share": lambda c: F.try_divide(F.count_if(F.col(c) < 0), F.count(c))})
 
 
-def outlier_scan(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.count_if(F.col(name) < 0).alias("negatives"), F.percentile(name, F.lit(0.999)).alias("p999"), F.min(name).alias("min"), F.max(name).alias("max"))
+def outlier_scan(df: DataFrame, name: str, approx: int | None = None) -> DataFrame:
+    return df.agg(F.count_if(F.col(name) < 0).alias("negatives"), percentile(name, 0.999, approx).alias("p999"), F.min(name).alias("min"), F.max(name).alias("max"))
 
 
 def not_binary(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -73,11 +82,11 @@ def constant_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return _rows(df, names, {"one": lambda c: F.min(c) == F.max(c)}).filter("one").select("column")
 
 
-def describe(df: DataFrame, values: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+def describe(df: DataFrame, values: dict[str, Column], by: Sequence[str] = (), approx: int | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max of each named expression."""
     named = df.select(*by, *[v.cast("double").alias(k) for k, v in values.items()])
     out = _rows(named, list(values), {"count": lambda c: F.count(c), "mean": lambda c: F.avg(c), "std": lambda c: F.stddev_samp(c), "min": lambda c: F.min(c),
-                                      "q": lambda c: F.percentile(c, F.array(*[F.lit(p) for p in PERCENTS])), "max": lambda c: F.max(c)}, by)
+                                      "q": lambda c: percentile(c, PERCENTS, approx), "max": lambda c: F.max(c)}, by)
     return out.select(*by, "column", "count", "mean", "std", "min", *[F.get("q", F.lit(i)).alias(f"p{int(p * 100)}") for i, p in enumerate(PERCENTS)], "max")
 
 
@@ -103,9 +112,9 @@ def sample_shape(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return s.select("column", skew.alias("skew"), kurt.alias("kurtosis"))
 
 
-def fences(df: DataFrame, names: Sequence[str], by: Sequence[str] = (), width: float = 1.5) -> DataFrame:
+def fences(df: DataFrame, names: Sequence[str], by: Sequence[str] = (), width: float = 1.5, approx: int | None = None) -> DataFrame:
     """(column, lo, hi) beyond which a value is an outlier, and the quartiles."""
-    q = _rows(df, names, {"q": lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))}, by)
+    q = _rows(df, names, {"q": lambda c: percentile(c, PERCENTS, approx)}, by)
     a, m, b = (F.get("q", F.lit(i)) for i in range(3))
     return q.select(*by, "column", a.alias("q1"), m.alias("median"), b.alias("q3"), (a - width * (b - a)).alias("lo"), (b + width * (b - a)).alias("hi"))
 
@@ -114,20 +123,32 @@ def long_form(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> Da
     return df.select(*by, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(list(by), list(names), "column", "value")
 
 
-def outlier_report(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def outlier_report(df: DataFrame, names: Sequence[str], by: Sequence[str] = (), width: float = 1.5, approx: int | None = None) -> DataFrame:
     """Outliers by quartile fences, of all rows or of each group's: two passes,
-    the second over the table as it is; the fences are a row a column."""
-    lim = fences(df, names, by)
-    keys = [*by, "column"]
-    out = long_form(df, names, by).join(F.broadcast(lim), keys)  # a row for each column and group of the label
-    beyond = F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")))
-    return out.groupBy(*keys).agg(beyond.alias("outliers"), F.try_divide(beyond, F.count("value")).alias("share"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-                                  F.first("median").alias("median"), (F.first("q3") - F.first("q1")).alias("iqr"), F.min("value").alias("min"), F.max("value").alias("max"),
-                                  F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-
-
-def zero_shares(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    out = _rows(df, names, {"q": lambda c: F.percentile(c, F.array(*[F.lit(p) for p in PERCENTS])), "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double"),
+    BATCH columns at a time. The fences come to the second pass as one row, or
+    as a row a group, and each pass is one aggregation of the rows as they are."""
+    parts = []
+    for i in range(0, len(names), BATCH):
+        some = names[i : i + BATCH]
+        q = df.groupBy(*by).agg(*[percentile(c, PERCENTS, approx).alias(f"_q{k}") for k, c in enumerate(some)])
+        q = q.withColumnsRenamed({b: f"_{b}" for b in by})
+        both = df.join(q, reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])) if by else df.join(F.broadcast(q))  # one row
+        both = both.select(*by, *[F.col(c).cast("double").alias(f"_c{k}") for k, c in enumerate(some)], *[f"_q{k}" for k in range(len(some))])
+        one = both.groupBy(*by).agg(*[_outliers(c, F.col(f"_c{k}"), F.col(f"_q{k}"), width).alias(f"_{k}") for k, c in enumerate(some)])
+        parts.append(one.select(*by, F.explode(F.array(*[F.col(f"_{k}") for k in range(len(some))])).alias("r")).select(*by, "r.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _outliers(name: str, value: Column, quartiles: Column, width: float) -> Column:
+    q1, median, q3 = (F.get(quartiles, F.lit(i)) for i in range(3))
+    lo, hi = q1 - width * (q3 - q1), q3 + width * (q3 - q1)
+    beyond = F.count_if((value < lo) | (value > hi))
+    return F.struct(F.lit(name).alias("column"), beyond.alias("outliers"), F.try_divide(beyond, F.count(value)).alias("share"), F.first(lo).alias("lo"), F.first(hi).alias("hi"), F.first(median).alias("median"),
+                    F.first(q3 - q1).alias("iqr"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+
+
+def zero_shares(df: DataFrame, names: Sequence[str], approx: int | None = None) -> DataFrame:
+    out = _rows(df, names, {"q": lambda c: percentile(c, PERCENTS, approx), "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double"),
                             "zero_share": lambda c: F.try_divide(F.count_if(F.col(c) == 0), F.count(c))})
     return out.select("column", F.get("q", F.lit(1)).alias("median"), (F.get("q", F.lit(2)) - F.get("q", F.lit(0))).alias("iqr"), "min", "max", "zero_share")
 
@@ -163,8 +184,21 @@ def bin_of(value: str, lo: str, hi: str, bins: int) -> Column:
     return F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("long")
 
 
-def class_overlap(df: DataFrame, name: str, label: str, bins: int = 30) -> DataFrame:
-    """Overlap of the two classes' histograms over shared bins, 0 to 1."""
+def auto_bins(df: DataFrame, name: str, approx: int | None = None) -> int:
+    """Bins of equal width for a column: the finer of Sturges' rule, log2(n) + 1
+    bins, and Freedman and Diaconis', a width of 2 * IQR / cube root of n."""
+    v = df.filter(F.col(name).isNotNull())
+    r = v.agg(F.count(F.lit(1)).alias("n"), (F.max(name) - F.min(name)).cast("double").alias("span"), percentile(name, PERCENTS, approx).alias("q")).first()  # one row
+    if not r["n"] or not r["span"]:
+        return 1
+    widths = [r["span"] / (math.log2(r["n"]) + 1), 2 * (r["q"][2] - r["q"][0]) / r["n"] ** (1 / 3)]
+    return max(1, math.ceil(r["span"] / min(w for w in widths if w > 0)))
+
+
+def class_overlap(df: DataFrame, name: str, label: str, bins: int | str = "auto") -> DataFrame:
+    """Overlap of the two classes' histograms over shared bins, 0 to 1; the
+    number of bins is given, or found by `auto_bins`."""
+    bins = auto_bins(df, name) if bins == "auto" else int(bins)
     v = df.select(F.col(name).cast("double").alias("v"), F.col(label).alias("y")).filter("v is not null")
     edges = F.broadcast(v.agg(F.min("v").alias("lo"), F.max("v").alias("hi")))  # one row
     n = v.join(edges).groupBy(bin_of("v", "lo", "hi", bins).alias("bin")).agg(F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b"))
@@ -205,11 +239,15 @@ def repeated_keys(df: DataFrame, keys: Sequence[str], top: int = 5) -> DataFrame
     return n.orderBy(F.desc("n"), *keys).limit(top)
 
 
-def family(name: Column) -> Column:
-    return F.when(F.regexp_like(name, F.lit(r"emb_\d+$")), "embedding").when(F.regexp_like(name, F.lit("^tfidf_.+")), "tfidf").otherwise("structural")
+def family(name: Column, kind: Column) -> Column:
+    named = F.when(F.regexp_like(name, F.lit(r"emb_\d+$")), "embedding").when(F.regexp_like(name, F.lit("^tfidf_.+")), "tfidf")
+    return F.when(kind.isin("string", "binary"), "categorical").otherwise(named.otherwise("structural"))
 
 
 def family_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Per family of numeric columns: columns, share of nulls and of zeros."""
-    one = _rows(df, names, {"n": lambda c: F.count(F.lit(1)), "nulls": lambda c: F.count_if(F.col(c).isNull()), "zeros": lambda c: F.count_if(F.col(c) == 0)})
-    return one.groupBy(family(F.col("column")).alias("family")).agg(F.count(F.lit(1)).alias("columns"), F.try_divide(F.sum("nulls"), F.sum("n")).alias("null_share"), F.try_divide(F.sum("zeros"), F.sum("n")).alias("zero_share"))
+    """Per family of columns: how many, which, share of nulls and of zeros."""
+    types = dict(df.dtypes)
+    zeros = lambda c: F.count_if(F.col(c) == 0) if types[c] not in ("string", "binary") else F.lit(0).cast("long")
+    one = _rows(df, names, {"kind": lambda c: F.lit(types[c]), "n": lambda c: F.count(F.lit(1)), "nulls": lambda c: F.count_if(F.col(c).isNull()), "zeros": zeros})
+    return one.groupBy(family(F.col("column"), F.col("kind")).alias("family")).agg(
+        F.count(F.lit(1)).alias("columns"), F.array_sort(F.collect_list("column")).alias("names"), F.try_divide(F.sum("nulls"), F.sum("n")).alias("null_share"), F.try_divide(F.sum("zeros"), F.sum("n")).alias("zero_share"))

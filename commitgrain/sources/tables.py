@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,10 +32,14 @@ def convert_tree(spark: SparkSession, source: str, target: str, kind: str = "orc
 
 
 def latest_version(spark: SparkSession, path: str) -> int | None:
-    try:
-        return spark.read.parquet(path).agg(F.max("version")).first()[0]
-    except AnalysisException:  # nothing written yet
+    """The highest version among the folders below path; no file is opened."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
         return None
+    names = [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()]
+    found = [int(n.removeprefix("version=")) for n in names if re.fullmatch(r"version=\d+", n)]
+    return max(found, default=None)
 
 
 def write_next(df: DataFrame, path: str) -> int:
