@@ -43,8 +43,16 @@ def labels_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("doc_id % 13 <> 0")
-    return d.select(F.col("source").alias("repo"), F.md5(F.col("text").cast("binary")).alias("commit"), F.substring("text", 1, 500).alias("message"), "doc_id")
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("repo"), F.md5(F.col("text").cast("binary")).alias("commit"), F.col("text").alias("message"), "doc_id")
+
+
+def message_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, commit, doc_id): two commits for each document, of which only the
+    first has a message."""
+    d = table(spark, sf_dir, "documents")
+    both = F.array(F.md5(F.col("text").cast("binary")), md5_of(F.col("doc_id")))
+    return d.select(F.col("source").alias("repo"), F.explode(both).alias("commit"), "doc_id")
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +94,8 @@ CTE = {
         FROM commits WINDOW w AS (PARTITION BY repo ORDER BY event_id))""",
     "labels_map": """labels_map AS (SELECT repo, "commit" AS fix_commit, CASE WHEN event_id % 15 <> 0 THEN prev END AS inducing FROM
         (SELECT *, lag("commit") OVER (PARTITION BY repo ORDER BY event_id) AS prev FROM commits) WHERE event_id % 5 = 0)""",
-    "messages": """messages AS (SELECT source AS repo, md5(text) AS "commit", substring(text, 1, 500) AS message, doc_id FROM documents WHERE doc_id % 13 <> 0)""",
+    "messages": """messages AS (SELECT source AS repo, md5(text) AS "commit", text AS message, doc_id FROM documents)""",
+    "message_keys": """message_keys AS (SELECT source AS repo, unnest([md5(text), md5(CAST(doc_id AS VARCHAR))]) AS "commit", doc_id FROM documents)""",
     "patches": r"""patches AS (SELECT source AS repo, md5(text) AS "commit", 'src/d' || doc_id % 9 || CASE WHEN doc_id % 5 = 0 THEN '.md' ELSE '.py' END AS path,
         '@@ -1,' || len(l) || ' +1,' || len(l) || ' @@' || chr(10) || array_to_string(list_transform(l, lambda x, i: ['+', ' ', '-'][CAST((i - 1) % 3 + 1 AS INT)] || x || CASE WHEN (i - 1) % 4 = 0 THEN ' try TODO' ELSE '' END), chr(10)) AS patch,
         CASE WHEN doc_id % 11 <> 0 THEN text END AS old_text, text AS new_text, doc_id FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents))""",

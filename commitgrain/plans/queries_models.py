@@ -34,7 +34,8 @@ def f1(spark, d):
 
 
 def f2(spark, d):
-    return fx.numbers(spark, d).select("k1", "k2", "price", F.round(F.log1p("qty"), D).alias("qty"), F.round(F.log1p("disc"), D).alias("disc"))
+    fitted = features.Fitted({"qty": (float("-inf"), float("inf"))}, ["disc"])  # without fences
+    return rounded(fitted.transform(fx.numbers(spark, d)).select("k1", "k2", "price", "qty", "disc"), "qty", "disc")
 
 
 def f3(spark, d):
@@ -64,12 +65,12 @@ def f9(spark, d):
 
 
 def f10(spark, d):
-    return features.bucketize(fx.commits(spark, d).withColumn("loc_added", F.col("loc_added") - 1)).select(*KEYS, "loc_added_bucket")
+    return features.bucketize(engineered(spark, d).withColumn("loc_added", F.col("loc_added") - 1)).select(*KEYS, "loc_added_bucket", "author_exp_pre_bucket")
 
 
 def f11(spark, d):
-    c = features.one_hot(features.bucketize(fx.commits(spark, d).withColumn("loc_added", F.col("loc_added") - 1)))
-    return c.select(*KEYS, *[f"loc_added_bucket_{x}" for x in ("small", "medium", "large", "huge")])
+    c = features.one_hot(features.bucketize(engineered(spark, d).withColumn("loc_added", F.col("loc_added") - 1)))
+    return c.select(*KEYS, *[x for x in c.columns if "_bucket_" in x])
 
 
 def f12(spark, d):
@@ -82,8 +83,7 @@ def f13(spark, d):
 
 
 def small(spark, d):
-    """A part of the rows by key, for queries that fit many models: which rows
-    is a feature of training on a fold, not of the data read."""
+    """All rows without nulls in the discount, and a fold of ten for each."""
     return models.with_folds(fx.numbers(spark, d).withColumn("disc", F.coalesce("disc", F.lit(0.0))), KEY, 10)
 
 
@@ -93,7 +93,7 @@ def forest():
 
 def m2(spark, d):
     n = models.split(small(spark, d), KEY)
-    model = models.fit(n.filter("is_test = 0"), NUM, forest())
+    model = models.fit(n.filter("is_test = 0"), NUM, models.random_forest(100, 10))
     return models.predict(model, n.filter("is_test = 1")).groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("score"))
 
 
@@ -196,7 +196,9 @@ CLIP = lambda c: f"CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, (SELECT lo
 K = 'repo, "commit", filepath'
 ENGINEERED = """x AS (SELECT *, row_number() OVER (PARTITION BY repo, author_email ORDER BY canonical_datetime, "commit", filepath) - 1 AS e,
     count(*) OVER (PARTITION BY author_email ORDER BY canonical_datetime RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY author_email, canonical_datetime ORDER BY "commit", filepath ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM commits)"""
-BUCKET = "CASE WHEN l < 0 THEN NULL WHEN l < 3 THEN 'small' WHEN l < 6 THEN 'medium' WHEN l < 10 THEN 'large' ELSE 'huge' END"
+BUCKETS = """CASE WHEN l < 0 THEN NULL WHEN l < 3 THEN 'very_small' WHEN l < 6 THEN 'small' WHEN l < 10 THEN 'medium' WHEN l < 20 THEN 'large' ELSE 'very_large' END AS loc_added_bucket,
+    CASE WHEN e < 1 THEN 'junior' WHEN e < 5 THEN 'mid' ELSE 'senior' END AS author_exp_pre_bucket"""
+LABELS = {"loc_added": ("very_small", "small", "medium", "large", "very_large"), "author_exp_pre": ("junior", "mid", "senior")}
 
 QUERIES = {
     "f1_winsorize": (f1, sql("numbers", f"WITH {', '.join(f'l_{c} AS ({LIMITS(c)})' for c in NUM)} SELECT grp, {', '.join(f'round(min({CLIP(c)}), 6) AS {c}_min, round(max({CLIP(c)}), 6) AS {c}_max' for c in NUM)}, count(disc) AS n FROM numbers GROUP BY grp")),
@@ -206,8 +208,9 @@ QUERIES = {
     "f8_fit_apply": (f8, sql("numbers", f"""WITH {', '.join(f'l_{c} AS ({LIMITS(c)})' for c in ('qty', 'price', 'tax'))} SELECT k1, k2, grp, label, {', '.join(f'round(ln(1 + {CLIP(c)}), 6) AS {c}' for c in ('qty', 'price', 'tax'))},
         round(ln(1 + k1 % 4), 6) AS todo, round(ln(1 + k2), 6) AS fixme FROM numbers WHERE k1 % 5 = 0""")),
     "f9_derived": (f9, sql("commits", f"WITH {ENGINEERED} SELECT {K}, round(loc_added / (loc_deleted + 1), 6) AS loc_churn_ratio, round(a / (e + 1), 6) AS activity_per_exp FROM x")),
-    "f10_buckets": (f10, sql("commits", f"SELECT {K}, {BUCKET} AS loc_added_bucket FROM (SELECT *, loc_added - 1 AS l FROM commits)")),
-    "f11_one_hot": (f11, sql("commits", f"SELECT {K}, " + ", ".join(f"coalesce(CAST(b = '{x}' AS INT), 0) AS loc_added_bucket_{x}" for x in ("small", "medium", "large", "huge")) + f" FROM (SELECT *, {BUCKET} AS b FROM (SELECT *, loc_added - 1 AS l FROM commits))")),
+    "f10_buckets": (f10, sql("commits", f"WITH {ENGINEERED} SELECT {K}, {BUCKETS} FROM (SELECT *, loc_added - 1 AS l FROM x)")),
+    "f11_one_hot": (f11, sql("commits", f"WITH {ENGINEERED} SELECT {K}, " + ", ".join(f"coalesce(CAST({c}_bucket = '{x}' AS INT), 0) AS {c}_bucket_{x}" for c, ls in LABELS.items() for x in ls)
+        + f" FROM (SELECT *, {BUCKETS} FROM (SELECT *, loc_added - 1 AS l FROM x))")),
     "f12_ratios": (f12, sql("numbers", "SELECT k1, k2, price, k1 % 4 + k2 AS line_token_total, round(k1 % 4 / (qty + 1), 6) AS todo_ratio, round(k2 / (qty + 1), 6) AS fixme_ratio FROM numbers")),
     "f13_interactions": (f13, sql("numbers", "SELECT k1, k2, price, round(qty * disc, 6) AS qty_x_disc, round(qty * tax, 6) AS qty_x_tax, round(disc * tax, 6) AS disc_x_tax FROM numbers")),
     "m2_forest": (m2, None), "m3_boosted": (m3, None), "m5_cross_validate": (m5, None), "m6_grid_forest": (m6, None), "m7_grid_boosted": (m7, None),

@@ -64,8 +64,10 @@ def p5(spark, d):
     v = fx.vectors(spark, d)
     from commitgrain.operators.embed import expand_array
 
-    wide = expand_array(v.withColumn("embedding", F.slice("embedding", 1, 3)), "embedding", "code_emb", 3).withColumn("tfidf_x", F.nullif(F.col("vec_id") % 4, F.lit(1)))
-    return rounded(pf.family_profile(wide, ["label", "code_emb_0", "code_emb_1", "code_emb_2", "tfidf_x"]), "null_share", "zero_share")
+    v = v.withColumns({"embedding": F.when(F.col("vec_id") % 7 != 0, F.transform("embedding", lambda x: F.when(x > 0, x).otherwise(0.0))), "repo": F.when(F.col("label") == 1, "one")})
+    wide = expand_array(v, "embedding", "code_emb", 64).withColumn("tfidf_x", F.nullif(F.col("vec_id") % 4, F.lit(1)))
+    p = pf.family_profile(wide, [c for c in wide.columns if c != "vec_id"])
+    return rounded(p.withColumn("names", F.array_join("names", ",")), "null_share", "zero_share")
 
 
 def a1(spark, d):
@@ -168,8 +170,8 @@ def a23(spark, d):
     return rounded(pf.target_correlations(n(spark, d), NUM, "label", 0.0001, 3), "r")
 
 
-def a24(spark, d):
-    return rounded(pf.class_overlap(n(spark, d), "price", "label"), "overlap")
+def a24(bins):
+    return lambda spark, d: rounded(pf.class_overlap(n(spark, d), "price", "label", bins), "overlap")
 
 
 def a25(spark, d):
@@ -188,10 +190,17 @@ def a31(spark, d):
     return pf.repeated_keys(n(spark, d), ["k1", "k2"])
 
 
+def overlap_sql(bins):
+    return sql("numbers", f"""WITH e AS (SELECT min(price) AS lo, max(price) AS hi, {bins} AS k FROM numbers), b AS (SELECT least(floor((price - lo) / (hi - lo) * k), k - 1) AS bin, count(*) FILTER (label = 0) AS a, count(*) FILTER (label = 1) AS b FROM numbers, e GROUP BY 1)
+        SELECT round(sum(least(a / ta, b / tb)), 6) AS overlap FROM b, (SELECT sum(a) AS ta, sum(b) AS tb FROM b) t""")
+
+
 QUERIES = {
-    "p5_families": (p5, sql("vectors", """SELECT 'structural' AS family, CAST(1 AS BIGINT) AS columns, 0.0 AS null_share, round(count(*) FILTER (label = 0) / count(*), 6) AS zero_share FROM vectors
-        UNION ALL SELECT 'embedding', 3, 0.0, round(sum((embedding[1] = 0)::INT + (embedding[2] = 0)::INT + (embedding[3] = 0)::INT) / (3 * count(*)), 6) FROM vectors
-        UNION ALL SELECT 'tfidf', 1, round(count(*) FILTER (vec_id % 4 = 1) / count(*), 6), round(count(*) FILTER (vec_id % 4 = 0) / count(*), 6) FROM vectors""")),
+    "p5_families": (p5, sql("vectors", """WITH e AS (SELECT vec_id % 7 <> 0 AS there, list_filter(embedding, lambda x: x <= 0) AS z FROM vectors)
+        SELECT 'structural' AS family, CAST(1 AS BIGINT) AS columns, 'label' AS names, round(count(*) FILTER (label IS NULL) / count(*), 6) AS null_share, round(count(*) FILTER (label = 0) / count(*), 6) AS zero_share FROM vectors
+        UNION ALL SELECT 'embedding', 64, (SELECT string_agg('code_emb_' || i, ',' ORDER BY 'code_emb_' || i) FROM range(64) r(i)), round(count(*) FILTER (NOT there) / count(*), 6), round(sum(len(z)) FILTER (there) / (64 * count(*)), 6) FROM e
+        UNION ALL SELECT 'tfidf', 1, 'tfidf_x', round(count(*) FILTER (vec_id % 4 = 1) / count(*), 6), round(count(*) FILTER (vec_id % 4 = 0) / count(*), 6) FROM vectors
+        UNION ALL SELECT 'categorical', 1, 'repo', round(count(*) FILTER (label <> 1) / count(*), 6), 0.0 FROM vectors""")),
     "a1_nulls": (a1, sql("numbers", """SELECT 'disc' AS "column", count(*) - count(disc) AS nulls FROM numbers HAVING count(*) > count(disc)""")),
     "a2_key_duplicates": (a2, sql("numbers", "SELECT count(*) - count(DISTINCT (k1, k2)) AS duplicates FROM numbers")),
     "a3_label_shares": (a3, sql("numbers", "SELECT grp, label AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY grp), 6) AS share FROM numbers GROUP BY grp, label")),
@@ -204,7 +213,7 @@ QUERIES = {
         UNION ALL SELECT 'flag', count(*) FILTER (disc IS NULL OR disc > 0.05::DOUBLE OR disc <= 0.02::DOUBLE) FROM numbers""")),
     "a9_array_sizes": (a9, sql("vectors", "SELECT CAST(CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 5 = 0 THEN 3 ELSE len(embedding) END AS INT) AS size, count(*) AS n FROM vectors GROUP BY 1")),
     "a10_times": (a10, sql("commits", "SELECT count(*) - count(canonical_datetime) AS nulls, min(canonical_datetime) AS first, max(canonical_datetime) AS last FROM commits")),
-    "a11_constant": (a11, """SELECT unnest(['one', 'holes']) AS "column" """),
+    "a11_constant": (a11, sql("numbers", each(lambda c: f"""SELECT '{c[0]}' AS "column" FROM numbers HAVING count(DISTINCT {c[1]}) = 1""", [*zip(NUM, NUM), ("one", "qty * 0 + 1"), ("holes", "CASE WHEN qty > 9 THEN 3 END")]))),
     "a12_lengths": (a12, sql("messages", describe_sql("message", "length(message)", "messages"))),
     "a12_empty": (a12_empty, sql("messages", "WITH x AS (SELECT length(trim(regexp_replace(message, '[a-zA-Z]', '', 'g'), ' ')) AS n FROM messages) SELECT count(*) FILTER (n = 0) AS empty, round(count(*) FILTER (n = 0) / count(*), 6) AS share FROM x")),
     "a13_sizes": (a13, sql("patches", describe_sql("lines", "len(string_split(patch, chr(10)))", "patches"))),
@@ -220,8 +229,9 @@ QUERIES = {
     "a21_zero_shares": (a21, sql("numbers", each(lambda c: f"""SELECT '{c}' AS "column", median({c}) AS median, round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS iqr, min({c}) AS min, max({c}) AS max, round(count(*) FILTER ({c} = 0) / count({c}), 6) AS zero_share FROM numbers""", ["qty", "tax"]))),
     "a22_correlations": (a22, sql("numbers", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM numbers" for i, a in enumerate(NUM) for b in NUM[i + 1 :]))),
     "a23_target": (a23, sql("numbers", f"""WITH c AS ({each(lambda c: f"SELECT '{c}' AS col, corr({c}, label) AS r FROM numbers")}) SELECT col AS "column", round(r, 6) AS r FROM c WHERE abs(r) >= 0.0001 ORDER BY abs(r) DESC, col LIMIT 3""")),
-    "a24_overlap": (a24, sql("numbers", """WITH e AS (SELECT min(price) AS lo, max(price) AS hi FROM numbers), b AS (SELECT least(floor((price - lo) / (hi - lo) * 30), 29) AS bin, count(*) FILTER (label = 0) AS a, count(*) FILTER (label = 1) AS b FROM numbers, e GROUP BY 1)
-        SELECT round(sum(least(a / ta, b / tb)), 6) AS overlap FROM b, (SELECT sum(a) AS ta, sum(b) AS tb FROM b) t""")),
+    "a24_overlap": (a24(30), overlap_sql("30")),
+    "a24_overlap_auto": (a24("auto"), overlap_sql("""(SELECT ceil((max(price) - min(price)) / least((max(price) - min(price)) / (log2(count(*)) + 1),
+        2 * (quantile_cont(price, 0.75) - quantile_cont(price, 0.25)) / pow(count(*), 1 / 3.0))) FROM numbers WHERE price IS NOT NULL)""")),
     "a25_histogram": (a25, sql("numbers", each(lambda c: f"""SELECT '{c}' AS "column", CAST(least(floor(({c} - lo) / (hi - lo) * 50), 49) AS BIGINT) AS bin, count(*) AS n FROM numbers, (SELECT min({c}) AS lo, max({c}) AS hi FROM numbers) e WHERE {c} IS NOT NULL GROUP BY 2"""))),
     "a29_bad_groups": (a29, sql("commits", "SELECT repo, count(*) FILTER (loc_added < 2) AS n, round(count(*) FILTER (loc_added < 2) / sum(count(*)) OVER (), 6) AS share FROM commits GROUP BY repo QUALIFY n > 0")),
     "a30_profile": (a30, sql("numbers", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS present, count(*) - count({c}) AS nulls, '{t}' AS type FROM numbers""" for c, t in (("k1", "bigint"), ("grp", "string"), ("qty", "double"), ("disc", "double"))))),

@@ -167,13 +167,11 @@ def j3(spark, d):
 
 
 def j4(spark, d):
-    all_ = fx.table(spark, d, "documents").select(F.col("source").alias("repo"), F.md5(F.col("text").cast("binary")).alias("commit"), "doc_id")
-    return hygiene.attach_messages(all_, hygiene.first_of(fx.messages(spark, d), ["repo", "commit"], ["doc_id"])).withColumn("message", F.md5(F.col("message").cast("binary")))
+    return hygiene.attach_messages(fx.message_keys(spark, d), hygiene.first_of(fx.messages(spark, d), ["repo", "commit"], ["doc_id"])).withColumn("message", F.md5(F.col("message").cast("binary")))
 
 
 def j5(spark, d):
-    all_ = fx.table(spark, d, "documents").select(F.col("source").alias("repo"), F.md5(F.col("text").cast("binary")).alias("commit"))
-    return hygiene.work_list(all_, fx.messages(spark, d))
+    return hygiene.work_list(fx.message_keys(spark, d), fx.messages(spark, d))
 
 
 def j6(spark, d):
@@ -207,8 +205,8 @@ def w5(spark, d):
     return history.earlier_file_churn(fx.commits(spark, d)).select(*KEYS, "earlier_file_churn")
 
 
-def w6(spark, d):
-    return history.capped_experience(fx.commits(spark, d), last=200).select(*KEYS, "author_exp_capped")
+def w6(last):
+    return lambda spark, d: history.capped_experience(fx.commits(spark, d), last=last).select(*KEYS, "author_exp_capped")
 
 
 def m1(spark, d):
@@ -225,12 +223,18 @@ _peers = lambda value, days, by: f"""
 _churn = "sum(loc_added + loc_deleted)"
 K = 'repo, "commit", filepath'
 
+
+def _capped(last: int) -> str:
+    return sql("commits", f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY canonical_datetime, "commit", filepath) AS k FROM commits)
+        SELECT {K}, count(*) OVER (PARTITION BY repo, author_email ORDER BY k RANGE BETWEEN {last} PRECEDING AND 1 PRECEDING) AS author_exp_capped FROM n""")
+
+
 QUERIES = {
     "flagship": (flagship, sql("commits", f"""
         WITH x AS (SELECT *, row_number() OVER (PARTITION BY repo, author_email ORDER BY canonical_datetime, "commit", filepath) - 1 AS e,
             count(*) OVER (PARTITION BY author_email ORDER BY canonical_datetime RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY author_email, canonical_datetime ORDER BY "commit", filepath ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a,
             {_churn} OVER (PARTITION BY repo, author_email ORDER BY canonical_datetime RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) - {_churn} OVER (PARTITION BY repo, author_email, canonical_datetime ORDER BY "commit", filepath ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM commits)
-        SELECT repo, CASE WHEN e < 3 THEN 'new' WHEN e < 6 THEN 'junior' WHEN e < 10 THEN 'mid' WHEN e < 20 THEN 'senior' ELSE 'expert' END AS bucket, count(*) AS n,
+        SELECT repo, CASE WHEN e < 1 THEN 'junior' WHEN e < 5 THEN 'mid' ELSE 'senior' END AS bucket, count(*) AS n,
             round(avg(r), 4) AS mean_churn, round(avg(a / (e + 1)), 4) AS mean_activity FROM x GROUP BY ALL""")),
     "s1_load": (s1, "SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns FROM events"),
     "s2_save": (s2, sql("commits", "SELECT repo, count(*) AS n, CAST(sum(loc_added) AS BIGINT) AS loc_added FROM commits GROUP BY repo")),
@@ -261,10 +265,9 @@ QUERIES = {
     "j1_attach_features": (j1, sql("commits", f"SELECT {K}, author_email, loc_added FROM commits WHERE event_id % 3 = 0")),
     "j2_not_done": (j2, sql("commits", f"SELECT {K} FROM commits WHERE event_id % 3 <> 0")),
     "j3_label": (j3, sql("commits labels_map", f"""SELECT {K}, CAST(EXISTS (SELECT 1 FROM labels_map l WHERE l.repo = c.repo AND l.inducing = c."commit") AS INT) AS label FROM commits c""")),
-    "j4_messages": (j4, sql("messages", """WITH d AS (SELECT source AS repo, md5(text) AS "commit", doc_id FROM documents),
-        m AS (SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY repo, "commit" ORDER BY doc_id) = 1)
-        SELECT d.repo, d."commit", d.doc_id, md5(coalesce(m.message, '')) AS message FROM d LEFT JOIN m USING (repo, "commit")""")),
-    "j5_work_list": (j5, sql("messages", 'SELECT DISTINCT source AS repo, md5(text) AS "commit" FROM documents d WHERE NOT EXISTS (SELECT 1 FROM messages m WHERE m.repo = d.source AND m."commit" = md5(d.text))')),
+    "j4_messages": (j4, sql("messages message_keys", """WITH m AS (SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY repo, "commit" ORDER BY doc_id) = 1)
+        SELECT d.repo, d."commit", d.doc_id, md5(coalesce(m.message, '')) AS message FROM message_keys d LEFT JOIN m USING (repo, "commit")""")),
+    "j5_work_list": (j5, sql("messages message_keys", 'SELECT DISTINCT repo, "commit" FROM message_keys d WHERE NOT EXISTS (SELECT 1 FROM messages m WHERE m.repo = d.repo AND m."commit" = d."commit")')),
     "j6_parent_gap": (j6, sql("commits parents", """SELECT c.repo, c."commit", CAST(epoch(c.canonical_datetime) - epoch(p.canonical_datetime) AS BIGINT) AS time_since_last_change
         FROM commits c JOIN parents x USING (repo, "commit") LEFT JOIN commits p ON p.repo = c.repo AND p."commit" = x.parent""")),
     "j7_authors": (j7, sql("commits", f"SELECT {K}, author_email, canonical_datetime FROM commits WHERE event_id % 9 <> 0 AND event_id % 11 <> 0")),
@@ -275,8 +278,8 @@ QUERIES = {
     "w3_churn_7": (w3(7), sql("commits", _peers(_churn, 7, "repo, author_email") + " AS recent_churn FROM commits")),
     "w4_file_gap": (w4, sql("commits", f'SELECT {K}, CAST(epoch(canonical_datetime) - epoch(lag(canonical_datetime) OVER (PARTITION BY repo, filepath ORDER BY canonical_datetime, "commit")) AS BIGINT) AS seconds_since_file_change FROM commits')),
     "w5_file_churn": (w5, sql("commits", f'SELECT {K}, CAST(coalesce({_churn} OVER (PARTITION BY repo, filepath ORDER BY canonical_datetime, "commit" ROWS BETWEEN 6 PRECEDING AND 2 PRECEDING), 0) AS BIGINT) AS earlier_file_churn FROM commits')),
-    "w6_capped": (w6, sql("commits", f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY canonical_datetime, "commit", filepath) AS k FROM commits)
-        SELECT {K}, count(*) OVER (PARTITION BY repo, author_email ORDER BY k RANGE BETWEEN 200 PRECEDING AND 1 PRECEDING) AS author_exp_capped FROM n""")),
+    "w6_capped": (w6(10_000), _capped(10_000)),
+    "w6_capped_200": (w6(200), _capped(200)),
     "m1_split": (m1, sql("commits", f"""SELECT {K}, CAST(CAST('0x' || substring(md5(repo || '|' || "commit" || '|' || filepath || '|42'), 1, 8) AS BIGINT) % 100 < 20 AS INT) AS is_test FROM commits""")),
     "m4_weights": (m4, sql("numbers", """SELECT label, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS balanced,
         round(sum(CASE WHEN label = 0 THEN count(*) ELSE 0 END) OVER () / sum(CASE WHEN label = 1 THEN count(*) ELSE 0 END) OVER (), 6) AS scale_pos_weight FROM numbers GROUP BY label""")),

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from commitgrain.functions import patches as pt
 from commitgrain.functions import text as tx
-from commitgrain.operators import embed, profile
+from commitgrain.operators import embed, features, profile
 from commitgrain.plans import fixtures as fx
 from commitgrain.plans.fixtures import sql
+from commitgrain.plans.queries_rows import work_dir
 
 ROUND = 6
 
@@ -43,8 +44,24 @@ def t5(spark, d):
 
 def t6(spark, d):
     m = ascii_messages(spark, d).withColumn("clean", tx.clean_message(F.col("message")))
-    train, others = m.filter("doc_id % 5 <> 0"), m.filter("doc_id % 5 = 0")
-    return tx.weigh_terms(others, "doc_id", "clean", tx.fit_vocabulary(train, "clean")).withColumn("weight", F.round("weight", ROUND))
+    return tx.weigh_terms(m, "doc_id", "clean", tx.fit_vocabulary(m.filter("doc_id % 5 <> 0"), "clean")).withColumn("weight", F.round("weight", ROUND))
+
+
+def f8_text(spark, d):
+    """The text branch of the fitted transformer, learnt from the train rows,
+    saved, loaded and applied to all."""
+    at, m = work_dir(spark, "f8-text"), ascii_messages(spark, d).select("doc_id", "message")
+    features.fit(m.filter("doc_id % 5 <> 0"), [], [], "message").save(spark, at)
+    out = features.Fitted.load(spark, at).transform(m)
+    long = out.unpivot(["doc_id"], [f"`{c}`" for c in out.columns if c != "doc_id"], "term", "weight").filter("weight > 0")
+    return long.select("doc_id", F.regexp_replace("term", "^tfidf_", "").alias("term"), F.round("weight", ROUND).alias("weight"))
+
+
+def f8_arrays(spark, d):
+    """The array branches: as many components as asked for or as there are places."""
+    at, v = work_dir(spark, "f8-arrays"), fx.vectors(spark, d).withColumnRenamed("embedding", "code_embed").withColumn("msg_embed", F.reverse("code_embed"))
+    features.fit(v.filter("vec_id % 5 <> 0"), [], [], arrays=features.ARRAYS).save(spark, at)
+    return features.Fitted.load(spark, at).transform(v)
 
 
 def t7(spark, d):
@@ -53,19 +70,22 @@ def t7(spark, d):
 
 
 def t8(spark, d):
-    """The texts as bodies of Python functions, whose lengths then differ."""
-    body = lambda c, k: F.concat(F.lit("def f(a):\n"), F.array_join(F.transform(F.slice(F.split(c, "\n"), 1, k), lambda x, i: F.concat(F.lit("    if a > "), F.length(x).cast("string"), F.lit(":\n        a += 1"))), "\n"), F.lit("\n    return a\n"))
-    p = fx.patches(spark, d)
-    return embed.structural_delta(p.withColumns({"new_text": body(F.col("new_text"), 6), "old_text": body(F.col("old_text"), 2)}))
+    """The texts as Python functions, an `if` for each line; every third line
+    came with the change, and each seventh file is gone."""
+    body = lambda parts: F.concat(F.lit("def f(a):\n"), F.array_join(F.transform(parts, lambda x: F.concat(F.lit("    if a > "), F.length(x).cast("string"), F.lit(":\n        a += 1"))), "\n"), F.lit("\n    return a\n"))
+    p, lines = fx.patches(spark, d), F.split("new_text", "\n")
+    before = F.when(F.col("old_text").isNotNull(), body(F.filter(lines, lambda x, i: i % 3 != 2)))
+    return embed.structural_delta(p.withColumns({"new_text": F.when(F.col("doc_id") % 7 != 0, body(lines)), "old_text": before}))
 
 
 def t9(spark, d):
-    defs = F.concat(F.col("patch"), F.lit("\n+def f():\n+class A:\n-def g():\n+def h():"))
+    some = lambda line, n: F.repeat(F.lit(line), (F.col("doc_id") % n).cast("int"))
+    defs = F.concat(F.col("patch"), some("\n+def f():", 4), some("\n-def g():", 3), some("\n+class A:", 5), some("\n-class B:", 2))
     return fx.patches(spark, d).select("doc_id", pt.definition_delta(defs).alias("delta"), pt.longest_changed_line(F.col("patch")).alias("longest"))
 
 
 def t10(spark, d):
-    return tx.commit_code(fx.patches(spark, d), 50)
+    return tx.commit_code(fx.patches(spark, d))
 
 
 def hashed(spark, d, offset):
@@ -116,16 +136,16 @@ def f5(spark, d):
 def f6(spark, d):
     v = fx.vectors(spark, d)
     train = v.filter("vec_id % 5 <> 0")
-    return embed.apply_pca(v, embed.fit_pca(train, "embedding", 8), "embedding", "code_emb")
+    return embed.apply_pca(v, embed.fit_pca(train, "embedding", 60), "embedding", "code_emb")
 
 
 def f7(spark, d):
-    model = embed.fit_pca(fx.vectors(spark, d), "embedding", 8)
+    model = embed.fit_pca(fx.vectors(spark, d), "embedding", 60)
     return fx.vectors(spark, d).agg(F.count(F.lit(1)).alias("n"), F.lit(embed.explained_variance(model)).alias("explained"))
 
 
 def j8(spark, d):
-    return embed.class_distances(fx.vectors(spark, d), "vec_id", "embedding", "label", 300).select(*[F.round(c, ROUND).alias(c) for c in ("between", "within_0", "within_1")])
+    return embed.class_distances(fx.vectors(spark, d), "vec_id", "embedding", "label").select(*[F.round(c, ROUND).alias(c) for c in ("between", "within_0", "within_1")])
 
 
 def a26(spark, d):
@@ -141,7 +161,7 @@ def a28(spark, d):
     v = fx.vectors(spark, d)
     model = embed.fit_pca(v, "embedding", 2)
     flat = embed.apply_pca(v, model, "embedding", "pc").select("vec_id", "label", F.array("pc_0", "pc_1").alias("pc"))
-    return embed.class_distances(flat, "vec_id", "pc", "label", 300).withColumn("explained", F.lit(embed.explained_variance(model)))
+    return embed.class_distances(flat, "vec_id", "pc", "label").withColumn("explained", F.lit(embed.explained_variance(model)))
 
 
 def occ(text, part):
@@ -156,7 +176,7 @@ ASCII = r"regexp_replace(message, '[^\x00-\x7F]', ' ', 'g')"
 
 def cleaned(message):
     out = f"lower({message})"
-    for pattern, to in ((r"git-svn-id:[^\n]*", ""), (r"https?://\S+|www\.\S+", ""), (r"\b[0-9a-f]{4,}\b", ""), (r"#\d+", ""), (r"\.py|\.c|\.cpp|\.h", " "), (r"[^a-z\s]", " "), (r"\s+", " "), (r"^\s+|\s+$", "")):
+    for pattern, to in (*tx.CLEANING, (r"^\s+|\s+$", "")):
         out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
     return out
 
@@ -166,6 +186,13 @@ TERMS = f"""m AS (SELECT doc_id, list_filter(regexp_extract_all({cleaned(ASCII)}
 EMB = lambda first: f"CAST('0x' || substring(sha256(text), {first} + 2 * pos, 2) AS INT) / 255.0"
 Q = "SELECT"
 
+#: Nodes of the function without a branch, and of each branch.
+NODES, EACH = 7, 11
+TFIDF = sql("messages", f"""WITH {TERMS}, train AS (SELECT * FROM t WHERE doc_id % 5 <> 0), n AS (SELECT count(*) AS n FROM messages WHERE doc_id % 5 <> 0),
+        v AS (SELECT term, count(*) AS c, count(DISTINCT doc_id) AS df FROM train GROUP BY term ORDER BY c DESC, term LIMIT 100),
+        w AS (SELECT doc_id, term, count(*) * (ln((1 + any_value(n)) / (1 + any_value(df))) + 1) AS w FROM t JOIN v USING (term), n GROUP BY doc_id, term)
+        SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), {ROUND}) AS weight FROM w""")
+
 QUERIES = {
     "t1_churn": (t1, sql("patches", f"""SELECT repo, "commit", CAST(sum({occ('patch', NL + "'+'")} - {occ('patch', NL + "'+++'")}) AS BIGINT) AS loc_added,
         CAST(sum({occ('patch', NL + "'-'")} - {occ('patch', NL + "'---'")}) AS BIGINT) AS loc_deleted, count(*) AS files_changed, CAST(sum({occ('patch', "'@@'")}) AS BIGINT) AS hunks_count
@@ -174,18 +201,21 @@ QUERIES = {
     "t3_tokens": (t3, sql("patches", f"""WITH a AS (SELECT repo, "commit", {ADDED} AS a FROM patches) SELECT repo, "commit", {', '.join(f"CAST(sum({occ('a', chr(39) + t + chr(39))}) AS BIGINT) AS {t}" for t in pt.TOKENS)} FROM a GROUP BY repo, "commit" """)),
     "t4_flags": (t4, sql("messages", "SELECT doc_id, CAST(length(message) AS INT) AS msg_len, CAST(contains(lower(message), 'fix') AS INT) AS has_fix_kw, CAST(contains(lower(message), 'bug') AS INT) AS has_bug_kw FROM messages")),
     "t5_clean": (t5, sql("messages", f"""SELECT doc_id, {cleaned("('Fix #12 in a.py http://x.y/z deadbeef' || chr(10) || 'git-svn-id: 77' || chr(10) || " + ASCII + ")")} AS clean FROM messages""")),
-    "t6_tfidf": (t6, sql("messages", f"""WITH {TERMS}, train AS (SELECT * FROM t WHERE doc_id % 5 <> 0), n AS (SELECT count(*) AS n FROM messages WHERE doc_id % 5 <> 0),
-        v AS (SELECT term, count(*) AS c, count(DISTINCT doc_id) AS df FROM train GROUP BY term ORDER BY c DESC, term LIMIT 100),
-        w AS (SELECT doc_id, term, count(*) * (ln((1 + any_value(n)) / (1 + any_value(df))) + 1) AS w FROM t JOIN v USING (term), n WHERE doc_id % 5 = 0 GROUP BY doc_id, term)
-        SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), {ROUND}) AS weight FROM w""")),
+    "t6_tfidf": (t6, TFIDF), "f8_text": (f8_text, TFIDF), "f8_arrays": (f8_arrays, None),
     "t7_lines": (t7, sql("patches", r"""WITH h AS (SELECT doc_id, generate_subscripts(s, 1) AS k, unnest(s) AS s, unnest(c) AS c FROM
         (SELECT doc_id, regexp_extract_all(p, '(?m)^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@', 1) AS s, regexp_extract_all(p, '(?m)^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@', 2) AS c
          FROM (SELECT doc_id, patch || chr(10) || '@@ -3 +7 @@ x' || chr(10) || '+y' || chr(10) || '@@ -1,2 +9,0 @@' AS p FROM patches))),
         r AS (SELECT doc_id, k, unnest(range(CAST(s AS BIGINT), CAST(s AS BIGINT) + CAST(coalesce(nullif(c, ''), '1') AS BIGINT))) AS line FROM h)
         SELECT doc_id, string_agg(line, ',' ORDER BY k, line) AS lines FROM r GROUP BY doc_id""")),
-    "t8_structure": (t8, None),
-    "t9_definitions": (t9, sql("patches", """SELECT doc_id, CAST(1 AS BIGINT) + 1 AS delta, CAST(list_max(list_transform(list_filter(string_split(patch, chr(10)), lambda x: starts_with(x, '+') OR starts_with(x, '-')), lambda x: length(x))) AS INT) AS longest FROM patches""")),
-    "t10_code": (t10, sql("patches", """SELECT repo, "commit", string_agg(substring(new_text, 1, 50), chr(10) ORDER BY path, substring(new_text, 1, 50)) AS code FROM patches GROUP BY repo, "commit" """)),
+    # a function of k branches: NODES + EACH * k nodes, 1 + k ways, 2 + 2 * k lines
+    "t8_structure": (t8, sql("patches", f"""WITH x AS (SELECT repo, "commit", len(l) AS k, CASE WHEN old_text IS NOT NULL THEN len(l) - len(l) // 3 END AS o
+        FROM (SELECT *, string_split(new_text, chr(10)) AS l FROM patches) WHERE path LIKE '%.py' AND doc_id % 7 <> 0)
+        SELECT repo, "commit", CAST(sum(coalesce({EACH} * (k - o), {NODES} + {EACH} * k)) AS BIGINT) AS ast_delta, CAST(sum(coalesce(k - o, 1 + k)) AS BIGINT) AS complexity_delta, max(2 + 2 * k) AS max_func_change
+        FROM x GROUP BY repo, "commit" """)),
+    "t9_definitions": (t9, sql("patches", f"""WITH p AS (SELECT *, patch || repeat(chr(10) || '+def f():', doc_id % 4) || repeat(chr(10) || '-def g():', doc_id % 3) || repeat(chr(10) || '+class A:', doc_id % 5)
+        || repeat(chr(10) || '-class B:', doc_id % 2) AS p FROM patches)
+        SELECT doc_id, {occ('p', NL + "'+def '")} - {occ('p', NL + "'-def '")} + {occ('p', NL + "'+class '")} - {occ('p', NL + "'-class '")} AS delta, CAST(list_max(list_transform(list_filter(string_split(patch, chr(10)), lambda x: starts_with(x, '+') OR starts_with(x, '-')), lambda x: length(x))) AS INT) AS longest FROM p""")),
+    "t10_code": (t10, sql("patches", """SELECT repo, "commit", string_agg(substring(new_text, 1, 2000), chr(10) ORDER BY path, substring(new_text, 1, 2000)) AS code FROM patches GROUP BY repo, "commit" """)),
     "t11_hash": (t11, f"SELECT doc_id, CAST(pos AS INT) AS pos, round({EMB(1)}, {ROUND}) AS x FROM documents, range(8) r(pos) UNION ALL SELECT doc_id, CAST(pos + 100 AS INT), round({EMB(17)}, {ROUND}) FROM documents, range(8) r(pos)"),
     "t12_embed": (t12, f"SELECT doc_id, CAST(pos AS INT) AS pos, round({EMB(1)}, {ROUND}) AS x FROM documents, range(8) r(pos)"),
     "t12_embed_python": (t12_python, f"SELECT doc_id, CAST(pos AS INT) AS pos, round({EMB(1)}, {ROUND}) AS x FROM documents, range(8) r(pos)"),
@@ -198,7 +228,7 @@ QUERIES = {
     "f5_expand": (f5, sql("vectors", f"SELECT vec_id, label, {', '.join(f'round(embedding[{i + 1}], {ROUND}) AS emb_{i}' for i in (0, 1, 31, 63))} FROM vectors")),
     "f6_pca": (f6, None),
     "f7_explained": (f7, None),
-    "j8_distances": (j8, sql("vectors", f"""WITH s AS (SELECT * FROM vectors QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) <= 300),
+    "j8_distances": (j8, sql("vectors", f"""WITH s AS (SELECT * FROM vectors QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) <= 2000),
         p AS (SELECT a.label AS la, b.label AS lb, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM s a, s b)
         SELECT round(avg(d) FILTER (la = 0 AND lb = 1), {ROUND}) AS between, round(avg(d) FILTER (la = 0 AND lb = 0), {ROUND}) AS within_0, round(avg(d) FILTER (la = 1 AND lb = 1), {ROUND}) AS within_1 FROM p""")),
     "a26_dimensions": (a26, sql("vectors", """WITH x AS (SELECT CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos, unnest(embedding) AS v FROM vectors),

@@ -66,15 +66,21 @@ def test_patch_counts(spark):
 
 def test_message_cleaning_keeps_its_side_effects(spark):
     df = spark.createDataFrame([("Fixes #12: added a.cpp http://x/y\r\ngit-svn-id: z",)], "m string")
-    assert df.select(text.clean_message(F.col("m"))).first()[0] == "fixes a pp"
+    assert df.select(text.clean_message(F.col("m"))).first()[0] == "fixes    a pp"
+    cases = {"See www.example.org/x": "see www example org x", "A\tB\n\nC": "a\tb\n\nc", "x git-svn-id: a\rb\nc": "x \nc", "ÉTÉ 12 #7 deadbeef https://u/v w": "t" + " " * 8 + "w"}
+    for raw, want in cases.items():
+        assert spark.createDataFrame([(raw,)], "m string").select(text.clean_message(F.col("m"))).first()[0] == want
 
 
 def test_buckets_are_left_closed(spark):
-    df = spark.createDataFrame([(-1.0,), (0.0,), (3.0,), (10.0,), (None,)], "loc_added double")
-    b = [r["loc_added_bucket"] for r in features.bucketize(df).collect()]
-    assert b == [None, "small", "medium", "huge", None]
-    hot = features.one_hot(features.bucketize(df)).drop("loc_added").collect()
-    assert [sum(r) for r in hot] == [0, 1, 1, 1, 0]
+    edges = {"loc_added": {-1.0: None, 0.0: "very_small", 2.9: "very_small", 3.0: "small", 6.0: "medium", 9.9: "medium", 10.0: "large", 19.9: "large", 20.0: "very_large", 1e9: "very_large", None: None},
+             "author_exp_pre": {-0.1: None, 0.0: "junior", 0.9: "junior", 1.0: "mid", 4.9: "mid", 5.0: "senior", 1e9: "senior", None: None}}
+    for name, want in edges.items():
+        df = spark.createDataFrame([(x,) for x in want], f"{name} double")
+        assert [r[1] for r in features.bucketize(df).collect()] == list(want.values())
+        hot = features.one_hot(features.bucketize(df)).drop(name)
+        assert hot.columns == [f"{name}_bucket_{x}" for x in dict.fromkeys(v for v in want.values() if v)]
+        assert [sum(r) for r in hot.collect()] == [v is not None for v in want.values()]
 
 
 def test_fit_ignores_what_it_is_applied_to(spark, tmp_path):
@@ -93,6 +99,42 @@ def test_missing_token_column(spark):
     with pytest.raises(ValueError):
         features.token_ratios(spark.createDataFrame([(1,)], "loc_added int"), ["todo"])
     assert features.derive(spark.createDataFrame([(1,)], "loc_added int")).columns == ["loc_added"]
+    out = features.token_ratios(spark.createDataFrame([(2, 3)], "todo int, fixme int"), ["todo", "fixme"])
+    assert out.columns == ["todo", "fixme", "line_token_total"] and out.first()[2] == 5
+
+
+def test_subsets_share_what_train_gave(spark, tmp_path):
+    words = ["parser", "socket", "cache", "loader"]
+    rows = [(i, float(i % 9), i % 3, f"{words[i % 4]} {words[(i + 1) % 4]} the {'fix ' * (i % 2)}", [float(i % 5), float(i % 7), 1.0], [float(i % 2), float(i % 3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, x double, tok int, message string, code_embed array<double>, msg_embed array<double>")
+    at_ = f"{tmp_path}/f"
+    run = lambda d, subset: features.transform_subset(d, subset, at_, ["x"], ["tok"])
+    train = run(df, "train")
+    assert {"k", "x", "tok", "tfidf_fix", "tfidf_parser socket", "code_emb_0", "code_emb_2", "msg_emb_1"} <= set(train.columns) and not {"message", "code_embed", "msg_embed"} & set(train.columns)
+    other = run(df.filter("k = 3"), "val")
+    assert other.columns == train.columns and other.collect() == train.filter("k = 3").collect()
+    norm = sum(v * v for c, v in other.first().asDict().items() if c.startswith("tfidf_"))
+    assert norm == pytest.approx(1)
+    unseen = run(df.filter("k = 3").withColumn("message", F.lit("unknown words")), "test").first().asDict()
+    assert all(v == 0 for c, v in unseen.items() if c.startswith("tfidf_"))
+    with pytest.raises(ValueError):
+        run(df, "holdout")
+
+
+def test_approximate_percentiles(spark):
+    df = spark.range(1, 2001).select((F.col("id") % 1000).cast("double").alias("x"), (F.col("id") % 2).alias("g"))
+    exact, close = (profile.outlier_report(df, ["x"], ["g"], approx=a).orderBy("g").collect() for a in (None, 10_000))
+    for a, b in zip(exact, close):
+        assert b["median"] == pytest.approx(a["median"], abs=2) and b["outliers"] == a["outliers"] and b["mean"] == a["mean"]
+    assert profile.describe(df, {"x": F.col("x")}, approx=10_000).first()["p50"] == pytest.approx(499.5, abs=2)
+
+
+def test_rows_are_rechecked(spark):
+    df = spark.createDataFrame([(1.0,), (-1.0,), (None,)], "v double")
+    assert hygiene.drop_invalid(df, {"v": lambda c: c >= 0}, recheck=True).count() == 1
+    answers = iter([lambda c: F.lit(True), lambda c: c >= 0])  # a rule that does not hold what it lets through
+    with pytest.raises(ValueError):
+        hygiene.drop_invalid(df, {"v": lambda c: next(answers)(c)}, recheck=True)
 
 
 def test_constant_and_empty_statistics(spark):
@@ -141,11 +183,19 @@ def test_structure_of_changed_functions(spark):
                               "repo string, commit string, path string, patch string, old_text string, new_text string")
     got = {r["commit"]: tuple(r)[2:] for r in embed.structural_delta(p).collect()}
     assert got["c"][1:] == (2, 4) and got["c"][0] > 0 and got["d"] == (0, 0, 0)
+    gone = p.limit(1).withColumns({"new_text": F.lit(None).cast("string"), "path": F.lit("gone.py")})
+    assert embed.structural_delta(gone).count() == 0  # a file that is gone does not count
+    shrunk = p.filter("path = 'x.py'").withColumns({"old_text": F.col("new_text"), "new_text": F.col("old_text")})
+    assert embed.structural_delta(shrunk).first()["max_func_change"] == 2  # the new side's function
+    code = "def f(a):\n    for i in a:\n        pass\n    else:\n        pass\n    b = [x for x in a if x if not x]\n    match a:\n        case 1:\n            pass\n        case 2:\n            pass\n"
+    assert embed._structure(code, {1})[1] == 1 + 2 + 3 + 2
 
 
 def test_versions_and_resume(spark, tmp_path):
     at_ = f"{tmp_path}/v"
     assert tables.latest_version(spark, at_) is None
+    spark.range(1).write.parquet(f"{tmp_path}/odd/version=x")
+    assert tables.latest_version(spark, f"{tmp_path}/odd") is None
     assert [tables.write_next(spark.range(n), at_) for n in (3, 5)] == [1, 2]
     assert tables.read_latest(spark, at_).count() == 5
 
@@ -171,7 +221,45 @@ def test_importance_numbers_rows_in_ranges(spark, monkeypatch):
     got = models.numbered(keyed, "key", ["good"], "n")
     assert [r["n"] for r in got.orderBy("key", "good").collect()] == list(range(1, 201))
     assert models.numbered(keyed.limit(0), "key", ["good"], "n").count() == 0
-    model = models.fit(df, ["good", "noise"], models.random_forest(5, 3, "all"))
-    imp = models.permutation_importance(model, df, ["k"])
-    windows = re.findall(r"windowspecdefinition\((\w+)", imp._jdf.queryExecution().analyzed().toString() + imp._jdf.queryExecution().executedPlan().toString())
+    plan = models.numbered(keyed, "key", ["good"], "n")._jdf.queryExecution()
+    windows = re.findall(r"windowspecdefinition\((\w+)", plan.analyzed().toString() + plan.executedPlan().toString())
     assert windows and set(windows) == {"_b"}
+    model = models.fit(df, ["good", "noise"], models.random_forest(5, 3, "all"))
+    assert models.permutation_importance(model, df, ["k"]).first()["feature"] == "good"
+
+
+def test_cross_validation_and_search(spark):
+    df = spark.createDataFrame([(i, float(i % 2) + (i % 10 == 0), float(i % 7), i % 2) for i in range(300)], "k int, x double, noise double, label int")
+    rows = models.cross_validate(df, ["x", "noise"], models.boosted_trees(3, 2), ["k"], 3, validation=df.filter("k < 30"))
+    got = {r["fold"]: r for r in rows.collect()}
+    assert set(got) == {-1, 0, 1, 2} and got[-1]["auc"] == pytest.approx(sum(got[k]["auc"] for k in range(3)) / 3) and got[-1]["auc"] > 0.8
+    # each fold again by hand
+    folded = models.with_folds(df, ["k"], 3)
+    forest = models.random_forest(3, 2)
+    plain = {r["fold"]: r for r in models.cross_validate(df, ["x", "noise"], forest, ["k"], 3).collect()}
+    for k in range(3):
+        p = models.predict(models.fit(folded.filter(F.col("fold") != k), ["x", "noise"], forest), folded.filter(F.col("fold") == k)).collect()
+        tp, fp, fn = (sum(r["label"] == a and r["predicted"] == b for r in p) for a, b in ((1, 1), (0, 1), (1, 0)))
+        assert (plain[k]["precision"], plain[k]["recall"]) == (pytest.approx(tp / (tp + fp)), pytest.approx(tp / (tp + fn)))
+    best = models.grid_search(df, ["x", "noise"], forest, {"maxDepth": [1, 2], "numTrees": [1, 3]}, ["k"], 2).collect()
+    assert len(best) == 4 and [r["score"] for r in best] == sorted((r["score"] for r in best), reverse=True)
+    sizes = lambda g: math.prod(len(v) for v in g.values())
+    assert sizes(models.FOREST_GRID) == 36 and sizes(models.BOOSTED_GRID) == 48
+
+
+def test_mcc_evaluator(spark):
+    pairs = [(1, 1)] * 6 + [(1, 0)] * 2 + [(0, 1)] * 3 + [(0, 0)] * 4
+    df = spark.createDataFrame([(float(y), float(p)) for y, p in pairs], "label double, prediction double")
+    assert models.MccEvaluator().evaluate(df) == pytest.approx((6 * 4 - 3 * 2) / math.sqrt(9 * 8 * 7 * 6))
+
+
+def test_scores_below_zero_count(spark):
+    df = spark.createDataFrame([("m", 0, -0.5), ("m", 0, -0.1), ("m", 1, 0.7), ("m", 0, 0.8)], "model string, y int, score double")
+    best = evaluate.best_mcc_threshold(df).first()
+    assert best["mcc"] == pytest.approx((1 * 2 - 1 * 0) / math.sqrt(2 * 1 * 3 * 2))
+
+
+def test_commits_count_once(spark):
+    c = commits(spark, [("r", "a", "f", "u", at(0), 1, 0), ("r", "a", "g", "u", at(0), 2, 0), ("r", "b", "f", "u", at(1), 4, 0), ("r", "b", "g", "u", at(1), 8, 0)])
+    got = history.recent_churn(c, ["repo", "author_email"], "canonical_datetime", ["commit", "filepath"], 30, distinct_commits=True)
+    assert {(r["commit"], r["filepath"]): r["recent_churn"] for r in got.collect()} == {("a", "f"): 0, ("a", "g"): 0, ("b", "f"): 1, ("b", "g"): 1}

@@ -1,5 +1,7 @@
 """Every query of the library against its SQL, or at least against its shape."""
 
+import sys
+
 import pytest
 
 from commitgrain.plans import registry
@@ -19,6 +21,16 @@ def test_query(spark, name):
         assert len(got)
 
 
+@pytest.mark.parametrize("absent", ["public_tokenizers", "ahocorasick", "commitgrain.llm", "corpus_pipeline"])
+def test_entry_module_without_a_dependency(monkeypatch, absent):
+    import __spark_entry__ as e
+
+    for name in [m for m in sys.modules if m.startswith("commitgrain.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, absent, None)  # importing it fails
+    assert set(Q) <= set(e.queries()) and set(SQL) <= set(e.oracle_sql())
+
+
 def test_entry_module_has_all(spark):
     import __spark_entry__ as e
 
