@@ -357,7 +357,7 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k:
     base = columns(docs, key, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stored(base.mapInArrow(_sets(k), SETS), "sets")
     each = found.filter("n >= 0").select("doc_id", "n", "c1", "c2")
-    classes = each.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    classes = stored(each.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     weight = spark.sparkContext.broadcast(frequencies(found))
     fronts = stored(base.select("text").mapInArrow(_fronts(weight, pct, k), "tok long, c1 long"), "fronts")
     lists = fronts.groupBy("tok").agg(F.min("c1").alias("lead"), F.max("c1").alias("last")).filter("lead < last").select("tok")

@@ -63,9 +63,12 @@ def shares(index: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return 1 / size[group.ravel()]
 
 
-def screened(index: np.ndarray, firsts: np.ndarray, grades: np.ndarray, share: np.ndarray, least: int = 8, z: float = 5.0) -> np.ndarray:
-    """Features whose frequency differs between grades by z deviations."""
+def screened(index: np.ndarray, firsts: np.ndarray, grades: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Features whose frequency differs between grades by z deviations: 3.5 for
+    up to 400 documents, 5 from 4000 on, between them by the logarithm; fewer
+    documents name fewer features by chance."""
     n, size = share.sum(), 1 << BITS
+    z = float(np.clip(3.5 + 1.5 * np.log10(max(n, 1) / 400), 3.5, 5.0))
     own, each = np.repeat(grades, np.diff(firsts)), np.repeat(share, np.diff(firsts))
     df = np.bincount(index, each, size)
     score = np.zeros(size)
@@ -73,7 +76,7 @@ def screened(index: np.ndarray, firsts: np.ndarray, grades: np.ndarray, share: n
         p = share[grades == g].sum() / n
         spread = np.sqrt(np.maximum(df * p * (1 - p) * (1 - df / n), 1e-9))
         score = np.maximum(score, np.abs(np.bincount(index[own == g], each[own == g], size) - df * p) / spread)
-    return np.flatnonzero((score >= z) & (df >= min(least, n / 20)) & (df < n))
+    return np.flatnonzero((score >= z) & (df >= min(8, 4 + n / 1000, n / 20)) & (df < n))
 
 
 def loss_and_slope(params: np.ndarray, x: tuple[np.ndarray, np.ndarray], grades: np.ndarray, share: np.ndarray, top: int, penalty: float) -> tuple[float, np.ndarray]:
