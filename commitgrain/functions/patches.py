@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from commitgrain.functions.text import once
+
 #: Fixed value: the line ends that count, a pair of carriage return and line feed as one.
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
 #: Tokens that are counted, and the pattern of a hunk header.
@@ -71,6 +73,9 @@ def longest_changed_line(patch: Column) -> Column:
 
 def line_contexts(patch: Column, reach: int = 3) -> Column:
     """For each added line, itself with `reach` lines either side, newline-joined."""
-    all_ = F.split(patch, "\n")
-    where = F.filter(F.sequence(F.lit(1), F.size(all_)), lambda i: F.get(all_, i - 1).startswith("+") & ~F.get(all_, i - 1).startswith("+++"))
-    return F.transform(where, lambda i: F.array_join(F.slice(all_, F.greatest(i - reach, F.lit(1)), i + reach - F.greatest(i - reach, F.lit(1)) + 1), "\n"))
+    def contexts(all_: Column) -> Column:
+        added = lambda i: F.get(all_, i - 1).startswith("+") & ~F.get(all_, i - 1).startswith("+++")
+        from_ = lambda i: F.greatest(i - reach, F.lit(1))
+        return F.transform(F.filter(F.sequence(F.lit(1), F.size(all_)), added), lambda i: F.array_join(F.slice(all_, from_(i), i + reach - from_(i) + 1), "\n"))
+
+    return once(F.split(patch, "\n"), contexts)

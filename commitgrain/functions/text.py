@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,12 @@ def clean_message(message: Column) -> Column:
     return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, also where use has it inside a
+    function over an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def terms(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Words of two characters or more without stop words, and their pairs."""
     words = F.filter(F.regexp_extract_all(text, F.lit(r"\w\w+"), F.lit(0)), lambda w: ~w.isin(*stop_words))
@@ -47,20 +53,13 @@ def terms(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     return F.concat(words, pairs)
 
 
-def counted(found: Column) -> Column:
-    """[(term, tf)] of a list of terms, without a shuffle: the list in order,
-    each run of equals counted by its borders."""
-    ordered = F.array_sort(found)
-    starts = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(ordered) + 1))
-    runs = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a - 1).alias("term"), (b - a).cast("long").alias("tf")))
-    return F.when(F.size(ordered) > 0, runs).otherwise(F.slice(runs, 1, 0))
-
-
 def fit_vocabulary(texts: DataFrame, text: str, size: int = 100, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """(term, idf) of the `size` terms with the highest count in the corpus."""
-    each = texts.select(F.explode(counted(terms(F.col(text), stop_words))).alias("t"))
-    stats = each.groupBy("t.term").agg(F.sum("t.tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    """(term, idf) of the `size` terms with the highest count in the corpus.
+    Terms are summed in each task before the shuffle."""
+    found = texts.select(terms(F.col(text), stop_words).alias("_terms"))
+    marked = lambda t, once: F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(once).alias("once")))
+    each = found.select(F.explode(F.concat(marked(F.col("_terms"), False), marked(F.array_distinct("_terms"), True))).alias("t"))
+    stats = each.groupBy("t.term").agg(F.count_if(~F.col("t.once")).alias("n"), F.count_if("t.once").alias("df"))
     total = texts.agg(F.count(F.lit(1)).alias("docs"))
     top = stats.orderBy(F.desc("n"), "term").limit(size)
     return top.join(F.broadcast(total)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # total is one row
@@ -69,12 +68,13 @@ def fit_vocabulary(texts: DataFrame, text: str, size: int = 100, stop_words: Seq
 def term_weights(text: Column, idf: dict[str, float], stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """[(term, weight)] of a text over a fitted vocabulary: counts times idf,
     scaled to length 1. An expression over the row alone."""
-    names = list(idf)
-    known = F.filter(terms(text, stop_words), lambda t: t.isin(*names)) if names else F.array().cast("array<string>")
-    table = F.create_map(*[F.lit(x) for kv in idf.items() for x in kv]) if names else F.create_map().cast("map<string,double>")
-    raw = F.transform(counted(known), lambda t: F.struct(t["term"].alias("term"), (t["tf"] * F.element_at(table, t["term"])).alias("w")))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, t: s + t["w"] * t["w"]))
-    return F.transform(raw, lambda t: F.struct(t["term"].alias("term"), (t["w"] / norm).alias("weight")))
+    if not idf:
+        return F.slice(F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("weight"))), 1, 0)
+    table = F.create_map(*[F.lit(x) for kv in idf.items() for x in kv])
+    known = F.filter(terms(text, stop_words), lambda t: t.isin(*idf))
+    raw = once(known, lambda k: F.transform(F.array_distinct(k), lambda t: F.struct(t.alias("term"), (F.size(F.filter(k, lambda x: x == t)) * F.element_at(table, t)).alias("w"))))
+    norm = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, t: s + t["w"] * t["w"]))
+    return once(raw, lambda r: once(norm(r), lambda n: F.transform(r, lambda t: F.struct(t["term"].alias("term"), (t["w"] / n).alias("weight")))))
 
 
 def weigh_terms(texts: DataFrame, key: str, text: str, vocabulary: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
