@@ -211,10 +211,10 @@ def _contexts(buckets: int):
                 at = np.repeat(offsets[:-1], np.diff(lists.offsets.to_numpy()))
                 found = lists.flatten()
                 wanted, rounds = found.field("place").to_numpy() + at, found.field("rounds").to_numpy()
-                order = np.argsort(wanted, kind="stable")
+                order = np.lexsort((rounds, wanted))
                 wanted, rounds = wanted[order], rounds[order]
                 places, heads, first, last = parse(data, offsets)
-                spot = np.minimum(np.searchsorted(wanted, places), max(len(wanted) - 1, 0))
+                spot = np.maximum(np.searchsorted(wanted, places, "right") - 1, 0)  # the most rounds that a place was given
                 keep = wanted[spot] == places if len(wanted) else np.zeros(len(places), bool)
                 places, heads, first, last, rounds = places[keep], heads[keep], first[keep], last[keep], rounds[spot[keep]]
                 doc = np.searchsorted(offsets, places, "right") - 1
@@ -356,11 +356,11 @@ def parse_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", hot
     buckets = max(partitions(spark), int(size * 2 / REACH / BUCKET) + 1)
     counted = base.filter("doc_id is not null").select("digest", "text").mapInArrow(_count(buckets, size / (2 * B.SLICE_BYTES), hot), COUNTED)
     found = counted.groupBy("bucket").applyInArrow(_repeated(hot), FOUND)
-    lists = found.groupBy("digest", "place").agg(F.max("rounds").alias("rounds")).groupBy("digest").agg(F.collect_list(F.struct("place", "rounds")).alias("places"))
+    lists = found.groupBy("digest").agg(F.collect_set(F.struct("place", "rounds")).alias("places"))
     lists = lists.join(firsts.select("digest", F.col("first").alias("doc_id")), "digest")
     touched = stored(base.join(lists, ["doc_id", "digest"]).select("doc_id", "digest", "text", "places"), "touched-texts")
     contexts = touched.mapInArrow(_contexts(buckets), CONTEXTS)
-    resolved = stored(contexts.groupBy("bucket").applyInArrow(_resolve(buckets), RESOLVED), "resolved")
+    resolved = contexts.groupBy("bucket").applyInArrow(_resolve(buckets), RESOLVED)  # read twice, from one exchange
     met = resolved.filter("bucket is not null").select(*_names(CONTEXTS)).groupBy("bucket").applyInArrow(_resolve(buckets), RESOLVED)
     cuts = resolved.filter("bucket is null").select(*_names(CUTS)).unionByName(met.select(*_names(CUTS)))
     cuts = cuts.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
