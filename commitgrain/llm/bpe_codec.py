@@ -53,7 +53,7 @@ class Codec:
             self.after.setdefault(a, {})[b] = r
         self.halves = {a + b: (a, b, r) for (a, b), r in reversed(self.ranks.items())}
         self.left_edge, self.right_edge = _bpe.Memo(lambda t: self._edge(t, 0)), _bpe.Memo(lambda t: self._edge(t, 1))
-        self.pairs = _bpe.Memo(self._compatible, 150_000)
+        self.pairs = _bpe.Memo(self._compatible, 300_000)
         # a token that merging does not produce from its own bytes never occurs
         self.ids = {t: i for t, i in vocab.items() if len(t) == 1 or t in self.halves and self._whole(t)}
         self.shorter = {t: next((t[:n] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), None) for t in self.ids}
@@ -63,7 +63,7 @@ class Codec:
         self.match.make_automaton()
         self.pieces = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special_ids) + ")")
-        self.memo = _bpe.Memo(self._piece, 250_000)
+        self.memo = _bpe.Memo(self._piece, 500_000)
         # the offset table for decoding
         size = max([*vocab.values(), *self.special_ids.values()]) + 1
         every = [b""] * size
