@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark import keyword_only
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from itertools import product
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
+from pyspark import inheritable_thread_target, keyword_only
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from commitgrain.operators import evaluate
+from commitgrain.sources import tables
 
 SEED = 42
-#: Rows that one task numbers, about.
-BUCKET_ROWS = 1 << 16
+#: Rows among which values change places, about: one row of an aggregation.
+BLOCK_ROWS = 1 << 10
+#: A setting of forests that Spark's do not have: rows that a node needs to be split.
+MIN_SPLIT = "minRowsToSplit"
+#: Spark's own limit, for trees without one.
+DEEPEST = 30
 
 
 def key_number(keys: Sequence[str], seed: int | str = SEED) -> Column:
@@ -53,17 +61,88 @@ def random_forest(trees: int = 300, depth: int = 20, features: str = "log2", min
 
 
 def boosted_trees(rounds: int = 300, depth: int = 6, rate: float = 0.1, sample: float = 0.8, features: str = "0.8", validation: str | None = None, weight: str | None = None) -> GBTClassifier:
-    """Early stopping is by the loss on rows that `validation` marks; Spark
-    stops by tolerance, not after a number of rounds without gain."""
+    """With `validation`, Spark itself stops by a tolerance of the loss on the
+    rows that it marks; `fit_with_patience` stops after rounds without gain."""
     gbt = GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=sample, featureSubsetStrategy=features, seed=SEED)
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
     return gbt.setWeightCol(weight) if weight else gbt
 
 
+def assembler(names: Sequence[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep")
+
+
+def without_summary(model):
+    """The model without its training summary. A summary holds the session, and
+    a model that holds it cannot be sent to tasks once the session observes
+    metrics."""
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
+
+
+@contextmanager
+def dealt(df: DataFrame, names: Sequence[str], estimator, also: Sequence[str] = ()) -> Iterator[DataFrame]:
+    """label, features and what the estimator reads besides, dealt to all tasks
+    and kept for the passes of a fit, whatever files the rows come from."""
+    read = [estimator.getOrDefault(p) for p in (estimator.getParam(n) for n in ("weightCol", "validationIndicatorCol") if estimator.hasParam(n)) if estimator.isDefined(p)]
+    ready = assembler(names).transform(df).select("label", "features", *dict.fromkeys([*read, *also]))
+    spark = df.sparkSession
+    ready = ready.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))).persist()
+    try:
+        yield ready
+    finally:
+        ready.unpersist()
+
+
 def fit(df: DataFrame, names: Sequence[str], estimator) -> PipelineModel:
-    """A fitted model that knows its columns."""
-    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep"), estimator]).fit(df)
+    """A fitted model that knows its columns, and keeps no training summary."""
+    with dealt(df, names, estimator) as ready:
+        return PipelineModel([assembler(names), without_summary(estimator.fit(ready))])
+
+
+def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """(rounds up to the least loss, whether `patience` rounds without a smaller
+    one followed it). What comes after those rounds is not looked at."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def truncated(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The ensemble of the first `rounds` trees."""
+    sc, j = SparkSession.active().sparkContext, model._java_obj
+    spark_ml = sc._jvm.org.apache.spark.ml
+    trees = sc._gateway.new_array(spark_ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = sc._gateway.new_array(sc._jvm.double, rounds)
+    for i, (tree, weight) in enumerate(zip(j.trees()[:rounds], model.treeWeights)):
+        trees[i], weights[i] = tree, weight
+    return GBTClassificationModel(spark_ml.classification.GBTClassificationModel(model.uid, trees, weights, model.numFeatures, 2))
+
+
+def fit_with_patience(df: DataFrame, names: Sequence[str], estimator: GBTClassifier, validation: DataFrame, patience: int = 20, first: int = 50) -> PipelineModel:
+    """A boosted ensemble that ends at the round with the least loss on the
+    validation rows, once `patience` rounds have brought no smaller one.
+
+    The losses of all prefixes of an ensemble come from one pass over the
+    validation rows. Rounds depend on the seed and on the rounds before alone,
+    so an ensemble of twice the rounds begins with the same trees: `first`
+    rounds are fitted, then twice as many, until the patience is spent or the
+    estimator's rounds are done."""
+    with dealt(df, names, estimator) as ready, dealt(validation, names, estimator) as held:
+        most = estimator.getMaxIter()
+        rounds = min(first, most)
+        while True:
+            model = estimator.copy({estimator.maxIter: rounds}).fit(ready)
+            best, spent = best_round(model.evaluateEachIteration(held), patience)
+            if spent or rounds == most:
+                return PipelineModel([assembler(names), truncated(model, best)])
+            rounds = min(2 * rounds, most)
 
 
 def model_columns(model: PipelineModel) -> list[str]:
@@ -88,33 +167,28 @@ def with_folds(df: DataFrame, keys: Sequence[str], folds: int = 10, seed: int =
     return df.withColumn("fold", (key_number(keys, seed) % folds).cast("int"))
 
 
-def cross_validate(df: DataFrame, names: Sequence[str], estimator, keys: Sequence[str], folds: int = 10, validation: DataFrame | None = None) -> DataFrame:
+def cross_validate(df: DataFrame, names: Sequence[str], estimator, keys: Sequence[str], folds: int = 10, validation: DataFrame | None = None, patience: int = 20) -> DataFrame:
     """(fold, auc, precision, recall, f1) of the positive class for each fold,
     and the means as fold -1. With validation, a boosted ensemble stops early
     by the loss on that one table in all folds."""
     df = with_folds(df, keys, folds).persist()
-    if validation is not None:
-        estimator = estimator.copy().setValidationIndicatorCol("_early")
-    parts = []
-    for k in range(folds):
-        train = df.filter(F.col("fold") != k)
-        if validation is not None:
-            used = [c for c in train.columns if c != "fold"]
-            train = train.select(*used, F.lit(False).alias("_early")).unionByName(validation.select(*used, F.lit(True).alias("_early")))
-        model = fit(train, names, estimator)
-        parts.append(predict(model, df.filter(F.col("fold") == k)).select(F.lit(k).alias("model"), F.col("label").alias("y"), "predicted", "score"))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    good = evaluate.report(scored).filter(F.col("class") == "1").select("model", "precision", "recall", "f1")
-    each = evaluate.roc_auc(scored).join(good, "model").select(F.col("model").alias("fold"), "auc", "precision", "recall", "f1")
-    rows = each.unionByName(each.agg(F.lit(-1).alias("fold"), *[F.avg(c).alias(c) for c in ("auc", "precision", "recall", "f1")])).collect()  # a row a fold
-    df.unpersist()
+    try:
+        scored = None
+        for k in range(folds):
+            train = df.filter(F.col("fold") != k)
+            model = fit(train, names, estimator) if validation is None else fit_with_patience(train, names, estimator, validation, patience)
+            part = predict(model, df.filter(F.col("fold") == k)).select(F.lit(k).alias("model"), F.col("label").alias("y"), "predicted", "score")
+            scored = part if scored is None else scored.unionByName(part)
+        good = evaluate.report(scored).filter(F.col("class") == "1").select("model", "precision", "recall", "f1")
+        each = evaluate.roc_auc(scored).join(good, "model").select(F.col("model").alias("fold"), "auc", "precision", "recall", "f1")
+        rows = each.unionByName(each.agg(F.lit(-1).alias("fold"), *[F.avg(c).alias(c) for c in ("auc", "precision", "recall", "f1")])).collect()  # a row a fold
+    finally:
+        df.unpersist()
     return df.sparkSession.createDataFrame(rows, "fold int, auc double, precision double, recall double, f1 double")
 
 
 #: The settings that a search tries by default.
-FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [10, 20], "minInstancesPerNode": [2, 5, 10], "featureSubsetStrategy": ["sqrt", "log2"]}
+FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [10, 20], MIN_SPLIT: [2, 5, 10], "featureSubsetStrategy": ["sqrt", "log2"]}
 BOOSTED_GRID = {"maxIter": [200, 300], "maxDepth": [4, 6, 8], "stepSize": [0.05, 0.1], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"]}
 
 
@@ -135,73 +209,111 @@ class MccEvaluator(Evaluator, HasLabelCol, HasPredictionCol, DefaultParamsReadab
         return True
 
 
+def prune_nodes(nodes: DataFrame, least: int) -> DataFrame:
+    """A saved node table (treeID, nodeData) in which a node with fewer rows
+    than `least` is a leaf of its own class counts; what was below it goes, and
+    the rest is numbered anew in the same order. A tree is one group."""
+    def walk(tree):
+        tree = tree.sort_values("id")
+        n, left, right = len(tree), tree["left"].to_numpy(), tree["right"].to_numpy()
+        splits = (left >= 0) & (tree["rows"].to_numpy() >= least)
+        alive = np.zeros(n, bool)
+        alive[:1] = True
+        for i in range(n):  # parents come before children
+            if alive[i] and splits[i]:
+                alive[left[i]] = alive[right[i]] = True
+        number = np.cumsum(alive) - 1
+        out = tree[["treeID", "id"]].assign(new=number, new_left=np.where(splits, number[left], -1), new_right=np.where(splits, number[right], -1))
+        return out[alive]
+
+    light = nodes.select("treeID", "nodeData.id", F.col("nodeData.rawCount").alias("rows"), F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"))
+    places = light.groupBy("treeID").applyInPandas(walk, "treeID int, id int, new int, new_left int, new_right int")
+    old, leaf = F.col("nodeData"), F.col("new_left") < 0
+    gone = F.struct(F.lit(-1).alias("featureIndex"), F.array().cast("array<double>").alias("leftCategoriesOrThreshold"), F.lit(-1).alias("numCategories"))
+    node = old.withField("id", F.col("new")).withField("leftChild", F.col("new_left")).withField("rightChild", F.col("new_right"))
+    node = node.withField("gain", F.when(leaf, -1.0).otherwise(old["gain"])).withField("split", F.when(leaf, gone).otherwise(old["split"]))
+    return nodes.withColumn("id", old["id"]).join(places, ["treeID", "id"]).select("treeID", node.cast(nodes.schema["nodeData"].dataType).alias("nodeData"))
+
+
+def pruned(model: RandomForestClassificationModel, leasts: Sequence[int]) -> list[RandomForestClassificationModel]:
+    """The forest with nodes of fewer rows than each of `leasts` as leaves, by
+    its saved node table, which is written once for all of them."""
+    spark, at = SparkSession.active(), tables.work_dir(SparkSession.active(), "forest")
+    model.write().save(f"{at}/whole")
+    out = []
+    for least in leasts:
+        to = f"{at}/least-{least}"
+        model.write().save(to)
+        prune_nodes(spark.read.parquet(f"{at}/whole/data"), least).write.mode("overwrite").parquet(f"{to}/data")
+        out.append(RandomForestClassificationModel.load(to))
+    return out
+
+
 def grid_search(df: DataFrame, names: Sequence[str], estimator, grid: dict[str, Sequence] | None = None, keys: Sequence[str] = (), folds: int | None = None, metric: str | None = None, parallelism: int = 4) -> DataFrame:
     """(setting, score) for every combination, best first. By default a forest
     is searched over FOREST_GRID by mcc in 5 folds, a boosted ensemble over
-    BOOSTED_GRID by auc in 3."""
+    BOOSTED_GRID by auc in 3. Values of MIN_SPLIT share one fit: its trees are
+    pruned by their nodes' rows. A maxDepth of None is as deep as Spark goes."""
     boosted = isinstance(estimator, GBTClassifier)
-    grid = grid or (BOOSTED_GRID if boosted else FOREST_GRID)
+    grid = dict(grid or (BOOSTED_GRID if boosted else FOREST_GRID))
     folds, metric = folds or (3 if boosted else 5), metric or ("auc" if boosted else "mcc")
-    ready = VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep").transform(with_folds(df, keys, folds)).select("label", "features", "fold").persist()
-    build = ParamGridBuilder()
-    for name, values in grid.items():
-        build = build.addGrid(estimator.getParam(name), list(values))
-    settings = build.build()
     judge = MccEvaluator() if metric == "mcc" else BinaryClassificationEvaluator(labelCol="label", numBins=0)
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=settings, evaluator=judge, foldCol="fold", numFolds=folds, parallelism=parallelism).fit(ready)
-    ready.unpersist()
-    rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(s.items(), key=lambda x: x[0].name)), float(m)) for s, m in zip(settings, cv.avgMetrics)]
+    leasts = grid.pop(MIN_SPLIT, None)
+    settings = [dict(zip(grid, values)) for values in product(*grid.values())]
+    scores: dict[str, list[float]] = {}
+
+    with dealt(with_folds(df, keys, folds), names, estimator, ["fold"]) as ready:
+        def run(job: tuple[int, dict]) -> list[tuple[str, float]]:
+            k, setting = job
+            given = {estimator.getParam(p): DEEPEST if p == "maxDepth" and v is None else v for p, v in setting.items()}
+            model = without_summary(estimator.copy(given).fit(ready.filter(F.col("fold") != k)))
+            held = ready.filter(F.col("fold") == k)
+            found = [(setting, model)] if leasts is None else [(setting | {MIN_SPLIT: n}, m) for n, m in zip(leasts, pruned(model, leasts))]
+            return [(", ".join(f"{p}={v}" for p, v in sorted(s.items())), float(judge.evaluate(m.transform(held)))) for s, m in found]
+
+        with ThreadPool(parallelism) as pool:
+            for part in pool.imap_unordered(inheritable_thread_target(df.sparkSession)(run), product(range(folds), settings)):
+                for setting, score in part:
+                    scores.setdefault(setting, []).append(score)
+    rows = [(s, sum(sorted(v)) / len(v)) for s, v in scores.items()]
     return df.sparkSession.createDataFrame(rows, "setting string, score double").orderBy(F.desc("score"), "setting")
 
 
-def numbered(df: DataFrame, number: str, ties: Sequence[str], out: str) -> DataFrame:
-    """df with out: 1, 2, ... in order of number, a `key_number`, and ties.
+def permuted(df: DataFrame, names: Sequence[str], keys: Sequence[str], repeats: int, seed: str = "0") -> DataFrame:
+    """(label, feature, features): each row once for each feature and repeat,
+    with that feature from another row, and once as it is, for feature -1.
 
-    Rows are numbered within ranges of the number; only a row a range comes to
-    the driver, to count what lies before it. Rows of one key share a range."""
-    buckets = df.count() // BUCKET_ROWS + 1
-    ranged = df.withColumn("_b", F.floor(F.col(number) * buckets / F.lit(1 << 32)))
-    before, offsets = 0, []
-    for r in ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).orderBy("_b").collect():
-        offsets.append((r["_b"], before))
-        before += r["n"]
-    table = F.broadcast(df.sparkSession.createDataFrame(offsets, "_b long, _before long"))  # a row a range
-    within = F.row_number().over(Window.partitionBy("_b").orderBy(number, *ties))
-    return ranged.withColumn(out, within).join(table, "_b").withColumn(out, F.col(out) + F.col("_before")).drop("_b", "_before")
+    Rows are dealt by md5 of their key into blocks of about BLOCK_ROWS; in a
+    block the i-th row of one md5 order takes the value of the i-th row of
+    another, each repeat by orders of its own. One exchange of the rows, however
+    many features there are. Keys should tell rows apart: rows of one key share
+    a block."""
+    blocks = F.lit(df.count() // BLOCK_ROWS + 1)
+    values = F.array(*[F.col(n).cast("double") for n in names])
+    row = lambda order: F.struct(key_number(keys, f"{seed}/{order}").alias("k"), values.alias("x"), F.col("label").alias("y"))
+    block = df.groupBy(F.pmod(key_number(keys, f"{seed}/block"), blocks).alias("block"))
+    orders = [f"{r}{s}" for r in range(repeats) for s in "ab"]
+    each = block.agg(*[F.array_sort(F.collect_list(row(o))).alias(f"o{o}") for o in orders])
+    meet = lambda r: lambda a, b: F.struct(a["y"].alias("label"), F.lit(r).alias("r"), a["x"].alias("x"), b["x"].alias("z"))
+    pair = each.select(F.explode(F.flatten(F.array(*[F.zip_with(f"o{r}a", f"o{r}b", meet(r)) for r in range(repeats)]))).alias("p"))
+    mixed = pair.select("p.label", "p.x", "p.z", F.explode(F.sequence(F.when(F.col("p.r") == 0, -1).otherwise(0), F.lit(len(names) - 1))).alias("feature"))
+    return mixed.select("label", "feature", array_to_vector(F.transform("x", lambda v, i: F.when(i == F.col("feature"), F.get("z", i)).otherwise(v))).alias("features"))
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, keys: Sequence[str], repeats: int = 2, sample: int | None = None) -> DataFrame:
     """(feature, importance): mean loss of accuracy when the feature's values
-    change rows, by two orders of the rows that md5 of the key gives.
-
-    Each (feature, repeat) is one join of row numbers; rows may be limited to
-    the `sample` smallest key hashes, as the option is meant."""
+    change rows. All features and repeats are scored from one exchange of the
+    rows; they may be limited to the `sample` smallest key hashes, as the
+    option is meant."""
     names = model_columns(model)
-    plain = [k for k in keys if k not in names]
-    base = df.select(*plain, "label", *names)
+    base = df.select(*[k for k in keys if k not in names], "label", *names)
     if sample:
         base = base.orderBy(key_number(keys, "sample"), *keys).limit(sample)
-    base = base.withColumns({f"_k{r}{s}": key_number(keys, f"{r}/{s}") for r in range(repeats) for s in "ab"}).persist()
-    placed = base
-    for r in range(repeats):
-        for s in "ab":
-            placed = numbered(placed, f"_k{r}{s}", names, f"_n{r}{s}")
-    placed = placed.persist()
-    right = lambda d: predict(model, d).agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("acc"))
-    parts = []
-    for name in names:
-        for r in range(repeats):
-            other = placed.select(F.col(f"_n{r}b").alias("_n"), F.col(name).alias("_x"))
-            mixed = placed.withColumnRenamed(f"_n{r}a", "_n").drop(name).join(other, "_n").withColumnRenamed("_x", name)
-            parts.append(right(mixed).select(F.lit(name).alias("feature"), "acc"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    whole = F.broadcast(right(base).withColumnRenamed("acc", "base"))  # one row
-    rows = out.join(whole).groupBy("feature").agg(F.avg(F.col("base") - F.col("acc")).alias("importance")).collect()  # a row a feature
-    placed.unpersist()
-    base.unpersist()
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    scored = model.stages[1].transform(permuted(base, names, keys, repeats))
+    rows = scored.groupBy("feature").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("acc")).collect()  # a row a feature
+    acc = {r["feature"]: r["acc"] for r in rows}
+    out = [(n, acc[-1] - acc[i]) for i, n in enumerate(names)] if acc else []
+    return df.sparkSession.createDataFrame(out, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 def refine(importance: DataFrame, least: float = 1e-4) -> list[str]:

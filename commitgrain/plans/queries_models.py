@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from commitgrain.operators import evaluate, features, history, models
 from commitgrain.plans import fixtures as fx
 from commitgrain.plans.fixtures import KEYS, sql
-from commitgrain.plans.queries_rows import work_dir
+from commitgrain.sources.tables import work_dir
 
 NUM = ["qty", "price", "disc", "tax"]
 D = 6
@@ -98,8 +98,8 @@ def m2(spark, d):
 
 
 def m3(spark, d):
-    n = models.with_weights(small(spark, d)).withColumn("early", F.col("fold") == 0)
-    model = models.fit(n, NUM, models.boosted_trees(10, 3, validation="early", weight="weight"))
+    n = models.with_weights(small(spark, d))
+    model = models.fit_with_patience(n.filter("fold <> 0"), NUM, models.boosted_trees(weight="weight"), n.filter("fold = 0"))
     return models.predict(model, n).groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("score"))
 
 
@@ -108,7 +108,7 @@ def m5(spark, d):
 
 
 def m6(spark, d):
-    return models.grid_search(small(spark, d).drop("fold"), NUM, models.random_forest(5, 4), {"maxDepth": [2, 4], "minInstancesPerNode": [1, 5]}, KEY, 2)
+    return models.grid_search(small(spark, d).drop("fold"), NUM, models.random_forest(5, 4), {"maxDepth": [2, 4], models.MIN_SPLIT: [2, 5, 10]}, KEY, 2)
 
 
 def m7(spark, d):

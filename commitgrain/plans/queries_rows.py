@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +9,12 @@ from commitgrain.operators import features, history, hygiene, models
 from commitgrain.plans import fixtures as fx
 from commitgrain.plans.fixtures import KEYS, sql
 from commitgrain.sources import tables
+from commitgrain.sources.tables import work_dir
 from commitgrain.streaming.resume import process_new_files
 
 REPOS = ["click", "view"]
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    import uuid
-
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="commitgrain-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def experience(spark: SparkSession, d: str) -> DataFrame:
     c = history.prior_experience(fx.commits(spark, d), ["repo", "author_email"], "canonical_datetime", ["commit", "filepath"])
     c = history.recent_activity(c, ["author_email"], "canonical_datetime", ["commit", "filepath"], 7)

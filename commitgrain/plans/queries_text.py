@@ -9,7 +9,7 @@ from commitgrain.functions import text as tx
 from commitgrain.operators import embed, features, profile
 from commitgrain.plans import fixtures as fx
 from commitgrain.plans.fixtures import sql
-from commitgrain.plans.queries_rows import work_dir
+from commitgrain.sources.tables import work_dir
 
 ROUND = 6
 

@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, in spark.checkpoint.dir;
+    a local session without that setting gets a temporary one."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="commitgrain-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def load(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(path)
@@ -50,8 +63,11 @@ def write_next(df: DataFrame, path: str) -> int:
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version; the filter prunes partitions."""
-    return spark.read.parquet(path).filter(F.col("version") == latest_version(spark, path)).drop("version")
+    """The newest version; the filter prunes partitions. A path without any is an error."""
+    newest = latest_version(spark, path)
+    if newest is None:
+        raise ValueError(f"no version below {path}")
+    return spark.read.parquet(path).filter(F.col("version") == newest).drop("version")
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:

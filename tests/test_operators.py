@@ -4,6 +4,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from commitgrain.functions import patches, text
@@ -214,18 +215,72 @@ def test_refine_and_importance(spark):
     assert imp.first()["feature"] == "good" and models.refine(imp, 0.1) == ["good"]
 
 
-def test_importance_numbers_rows_in_ranges(spark, monkeypatch):
-    monkeypatch.setattr(models, "BUCKET_ROWS", 30)
-    df = spark.createDataFrame([(i, float(i % 2), float(i % 7), i % 2) for i in range(200)], "k int, good double, noise double, label int")
-    keyed = df.withColumn("key", models.key_number(["k"], "0/a"))
-    got = models.numbered(keyed, "key", ["good"], "n")
-    assert [r["n"] for r in got.orderBy("key", "good").collect()] == list(range(1, 201))
-    assert models.numbered(keyed.limit(0), "key", ["good"], "n").count() == 0
-    plan = models.numbered(keyed, "key", ["good"], "n")._jdf.queryExecution()
-    windows = re.findall(r"windowspecdefinition\((\w+)", plan.analyzed().toString() + plan.executedPlan().toString())
-    assert windows and set(windows) == {"_b"}
-    model = models.fit(df, ["good", "noise"], models.random_forest(5, 3, "all"))
-    assert models.permutation_importance(model, df, ["k"]).first()["feature"] == "good"
+def test_importance_scores_all_features_from_one_exchange(spark, monkeypatch):
+    monkeypatch.setattr(models, "BLOCK_ROWS", 30)
+    df = spark.createDataFrame([(i, float(i % 2), float(i % 7), float(i), i % 2) for i in range(200)], "k int, good double, noise double, place double, label int")
+    names = ["good", "noise", "place"]
+    rows = models.permuted(df, names, ["k"], 2)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r["feature"], []).append((r["label"], *r["features"].toArray()))
+    want = sorted((i % 2, i % 2, i % 7, i) for i in range(200))
+    assert sorted(got[-1]) == want
+    for i, name in enumerate(names):
+        assert len(got[i]) == 400
+        kept = lambda r, i=i: (r[0], *[x for j, x in enumerate(r[1:]) if j != i])
+        assert sorted(map(kept, got[i])) == sorted([kept(w) for w in want] * 2)  # only the feature changed rows
+        assert sorted(r[1 + i] for r in got[i]) == sorted([w[1 + i] for w in want] * 2)
+    assert sum(r[3] % 2 != r[0] for r in got[2]) > 100  # values came from other rows
+    model = models.fit(df, names, models.random_forest(5, 3, "all"))
+    imp = models.permutation_importance(model, df, ["k"])
+    assert imp.first()["feature"] == "good" and imp.count() == 3
+    # brute force over the same rows
+    acc = {i: sum(p["prediction"] == p["label"] for p in model.stages[1].transform(rows.filter(F.col("feature") == i)).collect()) / len(got[i]) for i in got}
+    for r in imp.collect():
+        assert r["importance"] == pytest.approx(acc[-1] - acc[names.index(r["feature"])])
+    assert models.permutation_importance(model, df.limit(0), ["k"]).count() == 0
+
+
+def test_patience_ends_at_the_round_a_loop_finds(spark):
+    df = spark.createDataFrame([(i, (i * 37 % 101) / 101, (i * 53 % 97) / 97, int((i * 37 % 101) + (i * 7919 % 83) > 90)) for i in range(600)], "k int, a double, b double, label int")
+    train, held, names = df.filter("k % 3 <> 0"), df.filter("k % 3 = 0"), ["a", "b"]
+    made = models.boosted_trees(3000, 3, 0.3)
+    model = models.fit_with_patience(train, names, made, held, patience=5, first=4)
+    whole = models.fit(train, names, made.copy({made.maxIter: 32}))
+    losses = []
+    for k in range(1, 33):  # each prefix by itself
+        margin = models.truncated(whole.stages[1], k).transform(whole.stages[0].transform(held)).select("label", "rawPrediction").collect()
+        losses.append(sum(2 * math.log1p(math.exp(-2 * (2 * r["label"] - 1) * r["rawPrediction"][1])) for r in margin) / len(margin))
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        if i - best >= 5:
+            break
+    assert model.stages[1].getNumTrees == best + 1 < 27
+    a, b = (sorted((r["k"], r["score"]) for r in models.predict(m, held).select("k", "score").collect()) for m in (model, models.PipelineModel([whole.stages[0], models.truncated(whole.stages[1], best + 1)])))
+    assert a == b
+    assert models.best_round([3, 2, 2, 2, 1], 2) == (2, True) and models.best_round([3, 2, 1], 2) == (3, False) and models.best_round([1.0], 1) == (1, False)
+
+
+def test_pruned_forest_is_the_tree_cut_by_hand(spark, tmp_path):
+    node = "struct<id: int, prediction: double, impurity: double, impurityStats: array<double>, rawCount: bigint, gain: double, leftChild: int, rightChild: int, split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>>"
+    leaf = lambda i, n: (i, float(i), 0.1, [float(n), 0.0], n, -1.0, -1, -1, (-1, [], -1))
+    inner = lambda i, n, a, b: (i, float(i), 0.2, [n / 2, n / 2], n, 0.5, a, b, (0, [0.5], -1))
+    tree = [inner(0, 100, 1, 6), inner(1, 9, 2, 3), leaf(2, 4), inner(3, 5, 4, 5), leaf(4, 2), leaf(5, 3), inner(6, 91, 7, 8), leaf(7, 40), leaf(8, 51)]
+    table = spark.createDataFrame([(0, n) for n in tree] + [(1, leaf(0, 3))], f"treeID int, nodeData {node}")
+    got = lambda least: [(r["treeID"], r["nodeData"]["rawCount"], r["nodeData"]["leftChild"], r["nodeData"]["rightChild"], r["nodeData"]["split"]["featureIndex"]) for r in models.prune_nodes(table, least).orderBy("treeID", "nodeData.id").collect()]
+    assert got(5) == [(0, 100, 1, 6, 0), (0, 9, 2, 3, 0), (0, 4, -1, -1, -1), (0, 5, 4, 5, 0), (0, 2, -1, -1, -1), (0, 3, -1, -1, -1), (0, 91, 7, 8, 0), (0, 40, -1, -1, -1), (0, 51, -1, -1, -1), (1, 3, -1, -1, -1)]
+    assert got(6) == [(0, 100, 1, 4, 0), (0, 9, 2, 3, 0), (0, 4, -1, -1, -1), (0, 5, -1, -1, -1), (0, 91, 5, 6, 0), (0, 40, -1, -1, -1), (0, 51, -1, -1, -1), (1, 3, -1, -1, -1)]
+    assert got(101) == [(0, 100, -1, -1, -1), (1, 3, -1, -1, -1)]
+    df = spark.createDataFrame([(i, float(i % 13), float(i % 7), int(i % 13 > i % 7)) for i in range(400)], "k int, a double, b double, label int")
+    whole = models.fit(df, ["a", "b"], models.random_forest(4, 8))
+    few, none = models.pruned(whole.stages[1], [40, 10_000])
+    assert few.totalNumNodes < whole.stages[1].totalNumNodes and none.totalNumNodes == 4
+    ready = whole.stages[0].transform(df)
+    assert few.transform(ready).filter("prediction = label").count() > 300
+    table.unpersist()
 
 
 def test_cross_validation_and_search(spark):
@@ -263,3 +318,19 @@ def test_commits_count_once(spark):
     c = commits(spark, [("r", "a", "f", "u", at(0), 1, 0), ("r", "a", "g", "u", at(0), 2, 0), ("r", "b", "f", "u", at(1), 4, 0), ("r", "b", "g", "u", at(1), 8, 0)])
     got = history.recent_churn(c, ["repo", "author_email"], "canonical_datetime", ["commit", "filepath"], 30, distinct_commits=True)
     assert {(r["commit"], r["filepath"]): r["recent_churn"] for r in got.collect()} == {("a", "f"): 0, ("a", "g"): 0, ("b", "f"): 1, ("b", "g"): 1}
+
+
+def test_forests_after_a_session_has_observed(spark):
+    """A session that observes metrics cannot send what holds the session."""
+    rows = spark.createDataFrame([(i, i % 7 / 7, i * 31 % 11 / 11, int(i % 7 > 3)) for i in range(300)], "id long, a double, b double, label int")
+    before = models.fit(rows, ["a", "b"], models.random_forest(5, 3))
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 300
+    assert models.predict(before, rows).filter("predicted = label").count() > 290
+    after = models.fit(rows, ["a", "b"], models.random_forest(5, 3))
+    assert not after.stages[1].hasSummary
+    assert models.predict(after, rows).filter("predicted = label").count() > 290
+    assert models.cross_validate(rows, ["a", "b"], models.random_forest(5, 3), ["id"], 2).count() == 3
+    assert models.permutation_importance(after, rows, ["id"]).first()["feature"] == "a"
+    assert models.grid_search(rows, ["a", "b"], models.random_forest(5, 3), {"maxDepth": [1, 3]}, ["id"], 2).count() == 2
