@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitgrain.llm._common import forget, stored
@@ -27,10 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("to"), F.col("root").alias("jump"))
         least = F.least("to", "jump", "hook")  # hook is null below the roots, which least ignores
         moved = step.join(jump, "to").join(hook, "node", "left").select("node", least.alias("root"), (F.col("root") != least).alias("moved"))
-        seen = Observation()
-        moved = stored(moved.observe(seen, F.count_if("moved").alias("moved")), "labels")
+        moved = stored(moved, "labels")
         forget(labels)
         labels = moved
-        if not seen.get["moved"]:
+        if labels.filter("moved").isEmpty():
             forget(both)
             return labels.select("node", "root")

@@ -100,3 +100,46 @@ def test_mix_stage_counts_repeated_rows_once(spark):
     assert out.columns == [*docs.columns, "key"]
     assert Counter((r["doc_id"], r["source"], hashlib.md5((r["text"] or "").encode()).hexdigest()) for r in out.collect()) == +want
     assert set(out.select("n_chars").distinct().toPandas()["n_chars"]) <= set(range(61))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASH = ["keep_id", "keep_sha", "kept", "key", "row", "gone", "digest", "number", "sha", "component_id"]
+PROSE = " ".join(f"word{i}" for i in range(40))
+OTHER = " ".join(f"thing{i * i}" for i in range(40))
+
+
+def near_ids(spark, rows, stage=2):
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = corpus_pipeline.STAGES[stage][1](spark, df, SF)
+    assert out.columns == df.columns
+    return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+
+def test_near_drops_texts_not_ids(spark):
+    rows = [(1, PROSE, "en", "a", 1), (5, PROSE + " more", "en", "a", 1), (5, OTHER, "en", "a", 1)]
+    assert near_ids(spark, rows) == [(1, PROSE), (5, OTHER)]
+    # equal rows go or stay together
+    assert near_ids(spark, rows + rows) == [(1, PROSE), (1, PROSE), (5, OTHER), (5, OTHER)]
+
+
+def test_near_keeps_one_of_copies_without_ids(spark):
+    rows = [(None, PROSE, "en", "a", 1), (None, PROSE + " more", "en", "a", 1), (None, OTHER, "en", "a", 1), (None, None, "en", "a", 1)]
+    kept = near_ids(spark, rows)
+    assert len(kept) == 3 and (None, OTHER) in kept and (None, None) in kept
+    assert near_ids(spark, [*rows, (9, PROSE + " again", "en", "a", 1)]) == sorted([(9, PROSE + " again"), (None, OTHER), (None, None)], key=str)
+
+
+def test_stages_pass_clashing_columns(spark):
+    rows = [(1, PROSE, "en", "a", 1), (2, PROSE, "en", None, 1), (3, PROSE + " more", "en", "b", 1), (4, OTHER, "en", "b", 1), (5, "", None, "a", 0), (6, None, None, "a", 0), (7, " ".join(f"z{i}" for i in range(40_000)), "en", "a", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(f"mine-{c}") for c in CLASH})
+    want = {"quality": None, "exact": [1, 3, 4, 5, 7], "near": [1, 4, 5, 6, 7], "mix": None}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for some in (df, df.limit(0)):
+            out = stage(spark, some, SF)
+            assert out.columns == df.columns
+            got = out.collect()
+            assert all(r[c] == f"mine-{c}" for r in got for c in CLASH)
+            if want[name] is not None and some is df:
+                assert sorted(r["doc_id"] for r in got) == want[name], name
+    encoded = corpus_pipeline.encode(spark, df, SF).collect()
+    assert sorted(r["doc_id"] for r in encoded) == [1, 2, 3, 4, 5, 6, 7]
