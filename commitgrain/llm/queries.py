@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitgrain.llm import bpe_codec, exact_dedup, line_quality, mixing, ngram_join, ordinal_quality, parse_dedup, sentence_spans, token_counts, warc_zstd
+from commitgrain.llm import bpe_codec, exact_dedup, fingerprints, line_quality, mixing, ngram_join, ordinal_quality, parse_dedup, sentence_spans, token_counts, warc_zstd
 from commitgrain.llm._common import table
 
 
@@ -53,6 +53,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_exact_dedup": op2_exact_dedup,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_zstd": op8_warc_zstd,
     "op9_ngram_join": op9_ngram_join,
     "op10_bpe_codec": op10_bpe_codec,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 #: The ASCII letters, for lower case as the contracts have it.
