@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitgrain.llm import bpe_codec, exact_dedup, fingerprints, line_quality, mixing, ngram_join, ordinal_quality, parse_dedup, sentence_spans, token_counts, warc_zstd, whitening
+from commitgrain.llm import bpe_codec, exact_dedup, fingerprints, line_quality, mixing, ngram_join, ordinal_quality, parse_dedup, sentence_spans, spelling, token_counts, warc_zstd, whitening
 from commitgrain.llm._common import table
 
 
@@ -53,6 +53,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_zstd": op8_warc_zstd,
     "op9_ngram_join": op9_ngram_join,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_whitening": op12_whitening,
     "op13_fingerprints": op13_fingerprints,
 }
