@@ -23,6 +23,8 @@ from commitgrain.llm._common import columns, forget, stored
 
 #: Letters of a run, and those that get lower case.
 RUN = r"[A-Za-zÀ-ÿ]+"
+#: Stands before words that are spelt backwards; no letter.
+BACKWARD = "\x01"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,13 +50,12 @@ def _common(a: Column, b: Column) -> Column:
 def _edges(alive: DataFrame) -> DataFrame:
     """The edges below the nodes of a level: (p, c) with the number of words
     under the child, the child itself, which is what those words have in
-    common, the shortest's and longest's lengths, and the letters that follow c.
-    A node has an edge a letter; the first and last word in order have in common
-    what all have."""
+    common, and the shortest's and longest's lengths. A node has an edge a letter;
+    the first and last word in order have in common what all have."""
     e = alive.filter(F.length("word") > F.length("p")).groupBy("p", F.col("word").substr(F.length("p") + 1, F.lit(1)).alias("c"))
-    e = e.agg(F.count(F.lit(1)).alias("under"), F.collect_set(F.col("word").substr(F.length("p") + 2, F.lit(1))).alias("following"), F.min("word").alias("first"), F.max("word").alias("last"), F.min(F.length("word")).alias("short"), F.max(F.length("word")).alias("long"))
+    e = e.agg(F.count(F.lit(1)).alias("under"), F.min("word").alias("first"), F.max("word").alias("last"), F.min(F.length("word")).alias("short"), F.max(F.length("word")).alias("long"))
     child = F.when(F.col("under") == 1, F.col("first")).otherwise(_common(F.col("first"), F.col("last")))
-    return e.select("p", "c", "under", child.alias("child"), "short", "long", "following")
+    return e.select("p", "c", "under", child.alias("child"), "short", "long")
 
 
 def _step(moved: DataFrame) -> DataFrame:
@@ -65,8 +66,7 @@ def _step(moved: DataFrame) -> DataFrame:
     level with near null."""
     after = F.col("child").substr(F.length("p") + 2, F.length("child"))
     target = F.length("word") + F.length("p") + 1 - F.col("position")  # the length of a word that this state can end in
-    followed = F.array_contains("following", F.col("word").substr(F.col("position") + 1, F.lit(1)))  # '' at the end of a word
-    moved = moved.filter((target >= F.col("short")) & (target <= F.col("long")) & followed).withColumn("after", after)
+    moved = moved.filter((target >= F.col("short")) & (target <= F.col("long"))).withColumn("after", after)
     moved = moved.filter(F.col("word").substr(F.col("position") + 1, F.length("after")) == F.col("after")).withColumn("position", F.col("position") + F.length("after"))
     ended = F.col("position") == F.length("word")
     near = F.when(ended, F.col("child"))
@@ -77,15 +77,26 @@ def _step(moved: DataFrame) -> DataFrame:
 def near_words(words: DataFrame) -> DataFrame:
     """(word, near) for all pairs of words that differ by one code point
     inserted, deleted or replaced, in both directions. words has distinct
-    `word`s. The walk ends at the first level at which no beginning is shared
+    `word`s, which are in the trie forwards and, behind a mark, backwards: a
+    state makes an edit only where as many letters lie before it as after it,
+    since any pair has such a place in one of the two directions. There nodes
+    have few edges, while each word would take nearly every edge of the first
+    levels. (Of places at which the same letter may be put in, the walk takes
+    the last in its direction, so what is early forwards is late backwards.)
+    The walk ends at the first level at which no beginning is shared
     and no state waits."""
-    alive, states, levels = stored(words.select("word", F.lit("").alias("p")), "trie"), None, []
+    both = words.select("word").unionByName(words.select(F.concat(F.lit(BACKWARD), F.reverse("word")).alias("word")))
+    alive, states, levels = stored(both.withColumn("p", F.lit("")), "trie"), None, []
     while True:
         edges, at = _edges(alive), F.length("p")
+        backward = F.startswith("word", F.lit(BACKWARD)).cast("int")
         own = alive.select("word", "p", F.col("word").substr(at + 1, F.lit(1)).alias("own"))  # '' at the word's end
-        left = own.join(edges, "p").filter("c <> own")
-        edits = F.when((F.col("own") != "") & (F.col("c") > F.col("own")), F.array(at, at + 1)).otherwise(F.array(at))
-        moved = left.select("word", F.explode(edits).alias("position"), "p", "c", "under", "child", "short", "long", "following")
+        before, length = at - backward, F.length("word") - backward  # letters before the edit, and of the word
+        late = own.filter(2 * before >= length - 1)
+        left = late.join(edges, "p").filter((F.col("c") != F.col("own")) & (F.col("c") != BACKWARD))
+        insert = F.when(2 * before >= length, F.array(at)).otherwise(F.array().cast("array<int>"))
+        replace = F.when((F.col("own") != "") & (F.col("c") > F.col("own")), F.array(at + 1)).otherwise(F.array().cast("array<int>"))
+        moved = left.select("word", F.explode(F.concat(insert, replace)).alias("position"), "p", "c", "under", "child", "short", "long")
         if states is not None:
             went = states.select("word", F.col("position") + 1, F.col("node").alias("p"), F.col("word").substr(F.col("position") + 1, F.lit(1)).alias("c")).toDF("word", "position", "p", "c")
             moved = moved.unionByName(went.join(edges, ["p", "c"]).select(*moved.columns))
@@ -100,7 +111,8 @@ def near_words(words: DataFrame) -> DataFrame:
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
-    found = found.filter("near is not null").select("word", "near")
+    ahead = lambda w: F.when(F.startswith("word", F.lit(BACKWARD)), F.reverse(F.substring(w, 2, 1 << 30))).otherwise(F.col(w)).alias(w)
+    found = found.filter("near is not null").select(ahead("word"), ahead("near"))
     return found.unionByName(found.select(F.col("near").alias("word"), F.col("word").alias("near"))).distinct()
 
 
