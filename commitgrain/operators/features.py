@@ -120,7 +120,7 @@ def winsorize(df: DataFrame, fitted_on: DataFrame, names: Sequence[str], approx:
 
 def quantile_flag(df: DataFrame, fitted_on: DataFrame, name: str, q: float = 0.95, out: str = "extreme_churn_flag", approx: int | None = None) -> DataFrame:
     """1 above the quantile that fitted_on has."""
-    limit = F.broadcast(fitted_on.agg(profile.percentile(name, q, approx).alias("_limit")))  # one row
+    limit = F.broadcast(profile.quantiles(fitted_on, [name], [q], approx=approx).agg(F.max(F.get("q", F.lit(0))).alias("_limit")))  # one row
     return df.join(limit).withColumn(out, F.coalesce((F.col(name) > F.col("_limit")).cast("int"), F.lit(0))).drop("_limit")
 
 

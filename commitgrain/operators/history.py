@@ -2,32 +2,76 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86_400_000_000
+HOUR = 3_600_000_000
+#: Rows of a repo that one bucket of numbers has.
+NUMBERS = 1 << 16
 
 
 def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def prior_experience(df: DataFrame, keys: list[str], ts: str, ties: list[str], out: str = "author_exp_pre") -> DataFrame:
-    """Rows of the same keys that come earlier, in order of time and ties."""
-    return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(ts, *ties)) - 1).cast("long"))
+def _same(names: list[str]) -> Column:
+    """Equal keys, nulls alike; the other side has them with a mark in front."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in names])
+
+
+def _marked(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"_r{c}" for c in names})
+
+
+def _before(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _b, _sum) -> (keys, _b, _before): what all earlier buckets have.
+    The only window over whole keys; it sees a row a bucket."""
+    w = Window.partitionBy(*keys).orderBy("_b")
+    return sums.select(*keys, "_b", (F.sum("_sum").over(w) - F.col("_sum")).alias("_before"))
+
+
+def prior_experience(df: DataFrame, keys: list[str], ts: str, ties: list[str], out: str = "author_exp_pre", bucket: int = HOUR) -> DataFrame:
+    """Rows of the same keys that come earlier, in order of time and ties. Rows
+    are numbered inside buckets of time; earlier buckets are summed."""
+    df = df.withColumn("_b", F.floor(micros(ts) / bucket))
+    at = [*keys, "_b"]
+    sums = df.groupBy(*at).agg(F.count(F.lit(1)).alias("_sum"))
+    inside = F.row_number().over(Window.partitionBy(*at).orderBy(ts, *ties)) - 1
+    return df.withColumn(out, inside).join(_marked(_before(sums, keys), at), _same(at)).withColumn(out, (F.col(out) + F.col("_before")).cast("long")).drop("_b", "_before", *[f"_r{c}" for c in at])
+
+
+def trailing(df: DataFrame, value: Column, keys: list[str], place: Column, ties: list[str], span: int, bucket: int, out: str) -> DataFrame:
+    """Sum of value over rows of the same keys that come before this one and
+    whose place, a long, is at most `span` smaller, bound included; 0 for none.
+    Null values count 0.
+
+    No task sees a whole key: a row's sum is what comes before it less what
+    comes before place - span. Each of the two is the sum of whole buckets,
+    from a table of a row a key and bucket, and a running sum inside one
+    bucket. The bounds place - span are points of that table, so they find
+    their bucket by an equal key."""
+    df = df.withColumns({"_x": place, "_v": F.coalesce(value, F.lit(0)).cast("long")}).withColumn("_b", F.floor(F.col("_x") / bucket))
+    at = [*keys, "_b"]
+    instants = df.groupBy(*keys, "_x").agg(F.sum("_v").alias("_v"))
+    points = instants.select(*keys, (F.col("_x") - span).alias("_x"), F.lit(0).cast("long").alias("_v"))
+    both = instants.unionByName(points).groupBy(*keys, "_x").agg(F.sum("_v").alias("_v")).withColumn("_b", F.floor(F.col("_x") / bucket))
+    before = _marked(_before(both.groupBy(*at).agg(F.sum("_v").alias("_sum")), keys), at)
+    drop = [f"_r{c}" for c in at]
+    inside = F.sum("_v").over(Window.partitionBy(*at).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v")
+    bounds = both.withColumn("_in", inside).join(before, _same(at)).select(*keys, (F.col("_x") + span).alias("_x"), (F.col("_in") + F.col("_before")).alias("_gone"))
+    mine = F.sum("_v").over(Window.partitionBy(*at).orderBy("_x", *ties).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v")
+    df = df.withColumn("_in", mine).join(before, _same(at)).drop(*drop).join(_marked(bounds, [*keys, "_x"]), _same([*keys, "_x"]))
+    return df.withColumn(out, F.col("_in") + F.col("_before") - F.col("_gone")).drop("_x", "_v", "_b", "_in", "_before", "_gone", *drop, "_r_x")
 
 
 def sliding(df: DataFrame, value: Column, keys: list[str], ts: str, ties: list[str], days: int, out: str) -> DataFrame:
     """Sum of value over rows of the same keys that come before this one and at
-    most `days` days earlier, bound included.
-
-    A range frame takes in all rows of the same instant; those at or after this
-    one in order of ties are taken off again. Both frames are sliding sums.
-    """
-    df = df.withColumn("_us", micros(ts)).withColumn("_v", value)
-    span = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-days * DAY, 0)
-    rest = Window.partitionBy(*keys, "_us").orderBy(*ties).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(out, F.sum("_v").over(span) - F.sum("_v").over(rest)).drop("_us", "_v")
+    most `days` days earlier, bound included. Rows of the same instant come in
+    order of ties."""
+    return trailing(df, value, keys, micros(ts), ties, days * DAY, HOUR, out)
 
 
 def recent_activity(df: DataFrame, keys: list[str], ts: str, ties: list[str], days: int = 30, out: str = "author_recent_activity_pre") -> DataFrame:
@@ -71,8 +115,7 @@ def capped_experience(df: DataFrame, ts: str = "canonical_datetime", last: int =
     within = F.row_number().over(Window.partitionBy("repo", "_day").orderBy(ts, "commit", "filepath"))
     df = df.withColumn("_n", within).join(days, F.col("repo").eqNullSafe(F.col("_repo")) & F.col("_day").eqNullSafe(F.col("_d"))).drop("_repo", "_d")
     df = df.withColumn("_n", F.col("_n") + F.col("_before")).drop("_day", "_before")
-    w = Window.partitionBy("repo", "author_email").orderBy("_n").rangeBetween(-last, -1)
-    return df.withColumn(out, F.count(F.lit(1)).over(w).cast("long")).drop("_n")
+    return trailing(df, F.lit(1), ["repo", "author_email"], F.col("_n").cast("long"), [], last, NUMBERS, out).drop("_n")
 
 
 def seconds_since_parent(meta: DataFrame, out: str = "time_since_last_change") -> DataFrame:

@@ -9,16 +9,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Exact percentiles keep a count for each value; so many columns go in one pass.
+from commitgrain.operators import gram, selection
+
+#: So many columns are gathered in one aggregation.
 BATCH = 20
 PERCENTS = [0.25, 0.5, 0.75]
 
 
-def percentile(c: str, at: float | Sequence[float], approx: int | None = None) -> Column:
-    """Exact percentiles keep a count for each distinct value in one task; with
-    approx, an accuracy such as 10000, a sketch of fixed size takes their place."""
-    p = F.lit(at) if isinstance(at, float) else F.array(*[F.lit(x) for x in at])
-    return F.percentile(c, p) if approx is None else F.percentile_approx(F.col(c).cast("double"), p, approx)
+def quantiles(df: DataFrame, names: Sequence[str], at: Sequence[float], by: Sequence[str] = (), approx: int | None = None) -> DataFrame:
+    """(by..., column, q): exact by selection; with approx, an accuracy such as
+    10000, by a sketch of fixed size."""
+    if approx is None:
+        return selection.percentiles(df, names, at, by)
+    return _rows(df, names, {"q": lambda c: F.percentile_approx(F.col(c).cast("double"), F.array(*[F.lit(x) for x in at]), approx)}, by)
+
+
+def with_quantiles(stats: DataFrame, q: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """stats, a row a column and group, with q."""
+    q = q.withColumnsRenamed({c: f"_{c}" for c in (*by, "column")})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "column")])
+    return stats.join(q, same, "left").drop(*[f"_{c}" for c in (*by, "column")])
 
 
 def _rows(df: DataFrame, names: Sequence[str], stats: dict[str, Column | str], by: Sequence[str] = ()) -> DataFrame:
@@ -51,7 +61,8 @@ def value_shares(df: DataFrame, name: Column, by: Sequence[str] = ()) -> DataFra
 
 
 def range_scan(df: DataFrame, names: Sequence[str], approx: int | None = None) -> DataFrame:
-    return _rows(df, names, {"min": lambda c: F.min(c).cast("double"), "median": lambda c: percentile(c, 0.5, approx), "mean": lambda c: F.avg(c), "max": lambda c: F.max(c).cast("double")})
+    stats = _rows(df, names, {"min": lambda c: F.min(c).cast("double"), "mean": lambda c: F.avg(c), "max": lambda c: F.max(c).cast("double")})
+    return with_quantiles(stats, quantiles(df, names, [0.5], approx=approx)).select("column", "min", F.get("q", F.lit(0)).alias("median"), "mean", "max")
 
 
 def negative_shares(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -59,7 +70,8 @@ def negative_shares(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def outlier_scan(df: DataFrame, name: str, approx: int | None = None) -> DataFrame:
-    return df.agg(F.count_if(F.col(name) < 0).alias("negatives"), percentile(name, 0.999, approx).alias("p999"), F.min(name).alias("min"), F.max(name).alias("max"))
+    stats = df.agg(F.lit(name).alias("column"), F.count_if(F.col(name) < 0).alias("negatives"), F.min(name).alias("min"), F.max(name).alias("max"))
+    return with_quantiles(stats, quantiles(df, [name], [0.999], approx=approx)).select("negatives", F.get("q", F.lit(0)).alias("p999"), "min", "max")
 
 
 def not_binary(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -85,8 +97,8 @@ def constant_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def describe(df: DataFrame, values: dict[str, Column], by: Sequence[str] = (), approx: int | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max of each named expression."""
     named = df.select(*by, *[v.cast("double").alias(k) for k, v in values.items()])
-    out = _rows(named, list(values), {"count": lambda c: F.count(c), "mean": lambda c: F.avg(c), "std": lambda c: F.stddev_samp(c), "min": lambda c: F.min(c),
-                                      "q": lambda c: percentile(c, PERCENTS, approx), "max": lambda c: F.max(c)}, by)
+    out = _rows(named, list(values), {"count": lambda c: F.count(c), "mean": lambda c: F.avg(c), "std": lambda c: F.stddev_samp(c), "min": lambda c: F.min(c), "max": lambda c: F.max(c)}, by)
+    out = with_quantiles(out, quantiles(named, list(values), PERCENTS, by, approx), by)
     return out.select(*by, "column", "count", "mean", "std", "min", *[F.get("q", F.lit(i)).alias(f"p{int(p * 100)}") for i, p in enumerate(PERCENTS)], "max")
 
 
@@ -114,7 +126,7 @@ def sample_shape(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 def fences(df: DataFrame, names: Sequence[str], by: Sequence[str] = (), width: float = 1.5, approx: int | None = None) -> DataFrame:
     """(column, lo, hi) beyond which a value is an outlier, and the quartiles."""
-    q = _rows(df, names, {"q": lambda c: percentile(c, PERCENTS, approx)}, by)
+    q = with_quantiles(_rows(df, names, {"rows": lambda c: F.count(F.lit(1))}, by), quantiles(df, names, PERCENTS, by, approx), by)
     a, m, b = (F.get("q", F.lit(i)) for i in range(3))
     return q.select(*by, "column", a.alias("q1"), m.alias("median"), b.alias("q3"), (a - width * (b - a)).alias("lo"), (b + width * (b - a)).alias("hi"))
 
@@ -124,32 +136,20 @@ def long_form(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> Da
 
 
 def outlier_report(df: DataFrame, names: Sequence[str], by: Sequence[str] = (), width: float = 1.5, approx: int | None = None) -> DataFrame:
-    """Outliers by quartile fences, of all rows or of each group's: two passes,
-    BATCH columns at a time. The fences come to the second pass as one row, or
-    as a row a group, and each pass is one aggregation of the rows as they are."""
-    parts = []
-    for i in range(0, len(names), BATCH):
-        some = names[i : i + BATCH]
-        q = df.groupBy(*by).agg(*[percentile(c, PERCENTS, approx).alias(f"_q{k}") for k, c in enumerate(some)])
-        q = q.withColumnsRenamed({b: f"_{b}" for b in by})
-        both = df.join(q, reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])) if by else df.join(F.broadcast(q))  # one row
-        both = both.select(*by, *[F.col(c).cast("double").alias(f"_c{k}") for k, c in enumerate(some)], *[f"_q{k}" for k in range(len(some))])
-        one = both.groupBy(*by).agg(*[_outliers(c, F.col(f"_c{k}"), F.col(f"_q{k}"), width).alias(f"_{k}") for k, c in enumerate(some)])
-        parts.append(one.select(*by, F.explode(F.array(*[F.col(f"_{k}") for k in range(len(some))])).alias("r")).select(*by, "r.*"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _outliers(name: str, value: Column, quartiles: Column, width: float) -> Column:
-    q1, median, q3 = (F.get(quartiles, F.lit(i)) for i in range(3))
-    lo, hi = q1 - width * (q3 - q1), q3 + width * (q3 - q1)
-    beyond = F.count_if((value < lo) | (value > hi))
-    return F.struct(F.lit(name).alias("column"), beyond.alias("outliers"), F.try_divide(beyond, F.count(value)).alias("share"), F.first(lo).alias("lo"), F.first(hi).alias("hi"), F.first(median).alias("median"),
-                    F.first(q3 - q1).alias("iqr"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    """Outliers by quartile fences, of all rows or of each group's. The fences
+    meet the rows as a row a column (and group); then one aggregation."""
+    f = fences(df, names, by, width, approx).withColumnsRenamed({c: f"_{c}" for c in (*by, "column")})
+    x = long_form(df, names, by)
+    both = x.join(f if by else F.broadcast(f), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "column")]))  # a row a column
+    beyond = F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")))
+    return both.groupBy(*by, "column").agg(
+        beyond.alias("outliers"), F.try_divide(beyond, F.count("value")).alias("share"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("median").alias("median"),
+        F.first(F.col("q3") - F.col("q1")).alias("iqr"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
 
 
 def zero_shares(df: DataFrame, names: Sequence[str], approx: int | None = None) -> DataFrame:
-    out = _rows(df, names, {"q": lambda c: percentile(c, PERCENTS, approx), "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double"),
-                            "zero_share": lambda c: F.try_divide(F.count_if(F.col(c) == 0), F.count(c))})
+    out = _rows(df, names, {"min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double"), "zero_share": lambda c: F.try_divide(F.count_if(F.col(c) == 0), F.count(c))})
+    out = with_quantiles(out, quantiles(df, names, PERCENTS, approx=approx))
     return out.select("column", F.get("q", F.lit(1)).alias("median"), (F.get("q", F.lit(2)) - F.get("q", F.lit(0))).alias("iqr"), "min", "max", "zero_share")
 
 
@@ -160,10 +160,9 @@ def correlation(a: str, b: str) -> Column:
 
 
 def correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(a, b, r) for all pairs of columns, in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    one = df.agg(*[correlation(a, b).alias(f"_{k}") for k, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{k}").alias("r")) for k, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+    """(a, b, r) for all pairs of columns, by masked cross products of blocks of
+    rows: one scan, however many columns there are (`gram.py`)."""
+    return gram.correlations(df, names)
 
 
 def target_correlations(df: DataFrame, names: Sequence[str], target: str, least: float = 0.0, top: int = 20) -> DataFrame:
@@ -188,10 +187,11 @@ def auto_bins(df: DataFrame, name: str, approx: int | None = None) -> int:
     """Bins of equal width for a column: the finer of Sturges' rule, log2(n) + 1
     bins, and Freedman and Diaconis', a width of 2 * IQR / cube root of n."""
     v = df.filter(F.col(name).isNotNull())
-    r = v.agg(F.count(F.lit(1)).alias("n"), (F.max(name) - F.min(name)).cast("double").alias("span"), percentile(name, PERCENTS, approx).alias("q")).first()  # one row
+    r = v.agg(F.count(F.lit(1)).alias("n"), (F.max(name) - F.min(name)).cast("double").alias("span")).first()  # one row
     if not r["n"] or not r["span"]:
         return 1
-    widths = [r["span"] / (math.log2(r["n"]) + 1), 2 * (r["q"][2] - r["q"][0]) / r["n"] ** (1 / 3)]
+    q = quantiles(v, [name], PERCENTS, approx=approx).first()["q"]  # one row
+    widths = [r["span"] / (math.log2(r["n"]) + 1), 2 * (q[2] - q[0]) / r["n"] ** (1 / 3)]
     return max(1, math.ceil(r["span"] / min(w for w in widths if w > 0)))
 
 
