@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
+from heapq import nlargest
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,19 +52,75 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 def terms(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Words of two characters or more without stop words, and their pairs."""
     words = F.filter(F.regexp_extract_all(text, F.lit(r"\w\w+"), F.lit(0)), lambda w: ~w.isin(*stop_words))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+    rest = lambda w, start: F.slice(w, start, F.greatest(F.size(w) - 1, F.lit(0)))
+    return once(words, lambda w: F.concat(w, F.zip_with(rest(w, 1), rest(w, 2), lambda a, b: F.concat_ws(" ", a, b))))
+
+
+#: Counters of a task's summary, for each term that is asked for.
+COUNTERS = 64
+
+
+def _summary(limit: int):
+    """Misra and Gries' summary of a task's terms: (term, low, null), each true
+    count being between low and low plus the task's error; (null, null, error)."""
+    def run(batches):
+        seen, error = Counter(), 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                seen.update(batch.column(0).slice(i, 256).flatten().to_pylist())
+                if len(seen) > 4 * limit:
+                    cut = nlargest(limit + 1, seen.values())[-1]
+                    seen, error = Counter({t: n - cut for t, n in seen.items() if n > cut}), error + cut
+        yield pa.RecordBatch.from_arrays([pa.array([*seen, None], pa.string()), pa.array([*seen.values(), None], pa.int64()), pa.array([None] * len(seen) + [error], pa.int64())], ["term", "low", "error"])
+    return run
+
+
+def _exact(candidates):
+    """(term, n, df) of a task, for the candidates alone."""
+    def run(batches):
+        known, n, df = candidates.value, Counter(), Counter()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                for found in batch.column(0).slice(i, 256).to_pylist():
+                    mine = Counter(filter(known.__contains__, found or ()))
+                    n.update(mine)
+                    df.update(mine.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([df[t] for t in n], pa.int64())], ["term", "n", "df"])
+    return run
+
+
+def heavy_terms(found: DataFrame, size: int, counters: int | None = None) -> DataFrame:
+    """(term, n, df) of the `size` terms of the highest count, exact, from one
+    column of arrays of terms.
+
+    A first pass keeps a summary of at most 4 * `counters` terms a task, so what
+    is shuffled follows tasks and counters, not distinct terms. Summed up, no
+    term is counted too low by more than the tasks' errors; terms that could
+    reach the last place by that are counted in a second pass. Where terms
+    outside all summaries could, the counters are too few and are made four
+    times as many. Ties are in order of terms."""
+    spark, limit = found.sparkSession, counters or COUNTERS * size
+    while True:
+        sums = found.mapInArrow(_summary(limit), "term string, low long, error long").groupBy("term").agg(F.sum("low").alias("low"), F.sum("error").alias("error")).persist()
+        try:
+            error = sums.filter("term is null").agg(F.coalesce(F.sum("error"), F.lit(0))).first()[0]  # one row
+            top = [r["low"] for r in sums.filter("term is not null").orderBy(F.desc("low")).select("low").limit(size).collect()]  # `size` rows
+            last = top[-1] if len(top) == size else 0
+            if error == 0 or error < last:
+                near = sums.filter((F.col("term").isNotNull()) & (F.col("low") >= last - error)).select("term")
+                candidates = spark.sparkContext.broadcast({r["term"] for r in near.collect()} if error else {r["term"] for r in sums.filter("term is not null").orderBy(F.desc("low"), "term").limit(size).collect()})  # at most what the summaries hold
+                break
+        finally:
+            sums.unpersist()
+        limit *= 4
+    exact = found.mapInArrow(_exact(candidates), "term string, n long, df long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    return exact.orderBy(F.desc("n"), "term").limit(size)
 
 
 def fit_vocabulary(texts: DataFrame, text: str, size: int = 100, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """(term, idf) of the `size` terms with the highest count in the corpus.
-    Terms are summed in each task before the shuffle."""
-    found = texts.select(terms(F.col(text), stop_words).alias("_terms"))
-    marked = lambda t, once: F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(once).alias("once")))
-    each = found.select(F.explode(F.concat(marked(F.col("_terms"), False), marked(F.array_distinct("_terms"), True))).alias("t"))
-    stats = each.groupBy("t.term").agg(F.count_if(~F.col("t.once")).alias("n"), F.count_if("t.once").alias("df"))
+    """(term, idf) of the `size` terms with the highest count in the corpus."""
+    top = heavy_terms(texts.select(terms(F.col(text), stop_words).alias("terms")), size)
     total = texts.agg(F.count(F.lit(1)).alias("docs"))
-    top = stats.orderBy(F.desc("n"), "term").limit(size)
     return top.join(F.broadcast(total)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # total is one row
 
 

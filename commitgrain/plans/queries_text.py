@@ -9,6 +9,7 @@ from commitgrain.functions import text as tx
 from commitgrain.operators import embed, features, profile
 from commitgrain.plans import fixtures as fx
 from commitgrain.plans.fixtures import sql
+from commitgrain.sources import tables
 from commitgrain.sources.tables import work_dir
 
 ROUND = 6
@@ -43,14 +44,14 @@ def t5(spark, d):
 
 
 def t6(spark, d):
-    m = ascii_messages(spark, d).withColumn("clean", tx.clean_message(F.col("message")))
+    m = tables.dealt(ascii_messages(spark, d)).withColumn("clean", tx.clean_message(F.col("message")))
     return tx.weigh_terms(m, "doc_id", "clean", tx.fit_vocabulary(m.filter("doc_id % 5 <> 0"), "clean")).withColumn("weight", F.round("weight", ROUND))
 
 
 def f8_text(spark, d):
     """The text branch of the fitted transformer, learnt from the train rows,
     saved, loaded and applied to all."""
-    at, m = work_dir(spark, "f8-text"), ascii_messages(spark, d).select("doc_id", "message")
+    at, m = work_dir(spark, "f8-text"), tables.dealt(ascii_messages(spark, d).select("doc_id", "message"))
     features.fit(m.filter("doc_id % 5 <> 0"), [], [], "message").save(spark, at)
     out = features.Fitted.load(spark, at).transform(m)
     long = out.unpivot(["doc_id"], [f"`{c}`" for c in out.columns if c != "doc_id"], "term", "weight").filter("weight > 0")

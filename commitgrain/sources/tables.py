@@ -27,6 +27,13 @@ def load(spark: SparkSession, path: str, schema: StructType | str | None = None)
     return reader.parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt to all tasks where its files are fewer: a file of one row group
+    is one task otherwise."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df
+
+
 def size_report(df: DataFrame) -> DataFrame:
     """(rows, columns)."""
     return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"))
