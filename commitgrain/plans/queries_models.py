@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitgrain.operators import evaluate, features, history, models
+from commitgrain.operators import evaluate, features, history, models, stages
 from commitgrain.plans import fixtures as fx
 from commitgrain.plans.fixtures import KEYS, sql
 from commitgrain.sources.tables import work_dir
@@ -55,6 +56,19 @@ def f8(spark, d):
     return rounded(out.drop("ts", "disc"), "qty", "price", "tax", "todo", "fixme")
 
 
+#: The columns of `numbers` that stand for those of the stages.
+STAGED = {"qty": "loc_added", "disc": "loc_deleted", "tax": "author_exp_pre", "price": "author_recent_activity_pre"}
+
+
+def f8_stages(spark, d):
+    """All stages in one model: fitted on one part, saved, loaded, applied."""
+    t = table(spark, d).withColumn("paid", F.col("price")).withColumnsRenamed(STAGED).drop("ts")
+    at = work_dir(spark, "f8-stages")
+    stages.preprocessing([*STAGED.values(), "same"], ["todo", "fixme"], interactions=["loc_added", "author_exp_pre"]).fit(train(t)).write().save(at)
+    out = PipelineModel.load(at).transform(t.filter("k1 % 5 = 0"))
+    return rounded(out, *[c for c, kind in out.dtypes if kind == "double" and c != "paid"])
+
+
 def engineered(spark, d):
     c = history.prior_experience(fx.commits(spark, d), ["repo", "author_email"], "canonical_datetime", ["commit", "filepath"])
     return history.recent_activity(c, ["author_email"], "canonical_datetime", ["commit", "filepath"], 7)
@@ -200,6 +214,15 @@ BUCKETS = """CASE WHEN l < 0 THEN NULL WHEN l < 3 THEN 'very_small' WHEN l < 6 T
     CASE WHEN e < 1 THEN 'junior' WHEN e < 5 THEN 'mid' ELSE 'senior' END AS author_exp_pre_bucket"""
 LABELS = {"loc_added": ("very_small", "small", "medium", "large", "very_large"), "author_exp_pre": ("junior", "mid", "senior")}
 
+#: Bucket edges and labels, as fixed values of the features; the last is open.
+EDGES = {"loc_added": (0, 3, 6, 10, 20), "author_exp_pre": (0, 1, 5)}
+HOT = ", ".join(f"coalesce(CAST({c} >= {a} AND {c} < {b} AS INT), 0) AS {c}_bucket_{x}" for c, e in EDGES.items() for a, b, x in zip(e, (*e[1:], "'inf'::DOUBLE"), LABELS[c]))
+STAGES = f"""WITH {', '.join(f'l_{c} AS ({LIMITS(c)})' for c in STAGED)},
+    x AS (SELECT k1, k2, grp, label, price AS paid, {', '.join(f'ln(1 + {CLIP(c)}) AS {n}' for c, n in STAGED.items())}, ln(1 + k1 % 4) AS todo, ln(1 + k2) AS fixme FROM numbers WHERE k1 % 5 = 0),
+    y AS (SELECT *, loc_added / (loc_deleted + 1) AS loc_churn_ratio, author_recent_activity_pre / (author_exp_pre + 1) AS activity_per_exp, todo + fixme AS line_token_total,
+        todo / (loc_added + 1) AS todo_ratio, fixme / (loc_added + 1) AS fixme_ratio, loc_added * author_exp_pre AS loc_added_x_author_exp_pre FROM x)
+    SELECT k1, k2, grp, label, paid, {HOT}, {', '.join(f'round({c}, 6) AS {c}' for c in (*STAGED.values(), 'todo', 'fixme', 'loc_churn_ratio', 'activity_per_exp', 'line_token_total', 'todo_ratio', 'fixme_ratio', 'loc_added_x_author_exp_pre'))} FROM y"""
+
 QUERIES = {
     "f1_winsorize": (f1, sql("numbers", f"WITH {', '.join(f'l_{c} AS ({LIMITS(c)})' for c in NUM)} SELECT grp, {', '.join(f'round(min({CLIP(c)}), 6) AS {c}_min, round(max({CLIP(c)}), 6) AS {c}_max' for c in NUM)}, count(disc) AS n FROM numbers GROUP BY grp")),
     "f2_log1p": (f2, sql("numbers", "SELECT k1, k2, price, round(ln(1 + qty), 6) AS qty, round(ln(1 + disc), 6) AS disc FROM numbers")),
@@ -207,6 +230,7 @@ QUERIES = {
     "f4_quantile_flag": (f4, sql("numbers", "WITH l AS (SELECT quantile_cont(price, 0.95) AS q FROM numbers WHERE k1 % 5 <> 0) SELECT grp, CAST(sum(CAST(price > q AS INT)) AS BIGINT) AS flagged, count(*) AS n FROM numbers, l GROUP BY grp")),
     "f8_fit_apply": (f8, sql("numbers", f"""WITH {', '.join(f'l_{c} AS ({LIMITS(c)})' for c in ('qty', 'price', 'tax'))} SELECT k1, k2, grp, label, {', '.join(f'round(ln(1 + {CLIP(c)}), 6) AS {c}' for c in ('qty', 'price', 'tax'))},
         round(ln(1 + k1 % 4), 6) AS todo, round(ln(1 + k2), 6) AS fixme FROM numbers WHERE k1 % 5 = 0""")),
+    "f8_stages": (f8_stages, sql("numbers", STAGES)),
     "f9_derived": (f9, sql("commits", f"WITH {ENGINEERED} SELECT {K}, round(loc_added / (loc_deleted + 1), 6) AS loc_churn_ratio, round(a / (e + 1), 6) AS activity_per_exp FROM x")),
     "f10_buckets": (f10, sql("commits", f"WITH {ENGINEERED} SELECT {K}, {BUCKETS} FROM (SELECT *, loc_added - 1 AS l FROM x)")),
     "f11_one_hot": (f11, sql("commits", f"WITH {ENGINEERED} SELECT {K}, " + ", ".join(f"coalesce(CAST({c}_bucket = '{x}' AS INT), 0) AS {c}_bucket_{x}" for c, ls in LABELS.items() for x in ls)
