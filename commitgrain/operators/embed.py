@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler
@@ -16,6 +17,9 @@ from commitgrain.functions.patches import changed_lines
 from commitgrain.functions.text import hash_embedding
 
 Encoder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
+#: Token ids of a text, and states (rows x tokens x width) of padded ids and their mask.
+Tokenize = Callable[[str], Sequence[int]]
+States = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def clean_array(c: str) -> Column:
@@ -37,6 +41,43 @@ def embed_texts(df: DataFrame, key: str, text: str, encoder_factory: Callable[[]
     return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {out} array<double>")
 
 
+def token_means(model: Callable[[], tuple[Tokenize, States]], max_tokens: int = 512, rows: int = 32, whole: bool = False) -> Callable[[], Encoder]:
+    """An encoder factory for `embed_texts` from a model of tokens: the mean of
+    the states of a text's first `max_tokens` tokens.
+
+    `model` is called once a task. With `whole`, texts go on in windows of
+    `max_tokens`, and the mean is over all tokens of all windows. Windows run in
+    order of their length, `rows` at a time, so that little is padding; padding
+    is masked and does not count. A text without tokens has an empty array."""
+    def factory() -> Encoder:
+        tokenize, states = model()
+
+        def encode(texts: Sequence[str]) -> list[Sequence[float]]:
+            windows: list[tuple[int, np.ndarray]] = []
+            for i, text in enumerate(texts):
+                ids = np.asarray(tokenize(text), np.int64)
+                for at in range(0, len(ids) if whole else min(len(ids), 1), max_tokens):
+                    windows.append((i, ids[at : at + max_tokens]))
+            windows.sort(key=lambda w: len(w[1]))
+            sums: list[np.ndarray | None] = [None] * len(texts)
+            counts = np.zeros(len(texts), np.int64)
+            for at in range(0, len(windows), rows):
+                some = windows[at : at + rows]
+                longest = len(some[-1][1])
+                mask = np.arange(longest) < np.array([len(ids) for _, ids in some])[:, None]
+                padded = np.zeros(mask.shape, np.int64)
+                padded[mask] = np.concatenate([ids for _, ids in some])
+                totals = np.where(mask[:, :, None], np.asarray(states(padded, mask), np.float64), 0.0).sum(1)
+                for (i, ids), total in zip(some, totals):
+                    sums[i] = total if sums[i] is None else sums[i] + total
+                    counts[i] += len(ids)
+            return [[] if total is None else total / n for total, n in zip(sums, counts)]
+
+        return encode
+
+    return factory
+
+
 def mean_pool(df: DataFrame, keys: Sequence[str], array: str, mask: str | None = None, out: str = "pooled") -> DataFrame:
     """Mean array of each key, place by place, weighted by the mask column."""
     weight = F.col(mask).cast("double") if mask else F.lit(1.0)

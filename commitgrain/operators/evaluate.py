@@ -50,7 +50,7 @@ def roc_auc(df: DataFrame) -> DataFrame:
 def pr_curve(df: DataFrame) -> DataFrame:
     """(model, threshold, precision, recall), with the end (1, 0) at a null threshold."""
     c = cumulated(df)
-    points = c.select("model", "threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "pos").alias("recall"))
+    points = c.select("model", "threshold", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", "pos").alias("recall"))
     end = c.select("model").distinct().select("model", F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return points.unionByName(end)
 
@@ -119,7 +119,7 @@ def evaluate_models(df: DataFrame) -> DataFrame:
     w = Window.partitionBy("model").orderBy(F.desc("threshold"))
     tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
     area = (fp - F.coalesce(F.lag(fp).over(w), F.lit(0))) * (tp + F.coalesce(F.lag(tp).over(w), F.lit(0))) / 2
-    precision, recall = tp / (tp + fp), F.try_divide(tp, pos)
+    precision, recall = F.try_divide(tp, tp + fp), F.try_divide(tp, pos)
     f = {b: F.round((1 + b * b) * precision * recall / (b * b * precision + recall + TINY), 12) for b in (1, 2)}
     points = _cumulated(counts).select("model", "threshold", "tp", "fp", "pos", "neg", area.alias("area"), *[x.alias(f"f{b}") for b, x in f.items()])
     best = lambda b: F.max_by(F.struct("threshold", f"f{b}", "tp", "fp"), F.struct(f"f{b}", -F.col("threshold")))

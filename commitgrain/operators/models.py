@@ -15,6 +15,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,9 +55,47 @@ def with_weights(df: DataFrame, label: str = "label", out: str = "weight") -> Da
     return df.join(F.broadcast(class_weights(df, label).select(label, F.col("balanced").alias(out))), label)  # a row a class
 
 
-def random_forest(trees: int = 300, depth: int = 20, features: str = "log2", min_rows: int = 1, weight: str | None = None) -> RandomForestClassifier:
+class LeafForest(RandomForestClassifier):
+    """A forest for labels 0 and 1 whose scores are the shares of its leaves.
+
+    Spark's classifiers make one leaf of two that have the same larger class, so
+    rows on both sides get one score. Forests of means do not, and for labels 0
+    and 1 they find the same cuts, variance being half of Gini's impurity. So
+    one of these is fitted, and its nodes get class counts for their moments."""
+
+    def _fit(self, dataset: DataFrame) -> RandomForestClassificationModel:
+        label = self.getLabelCol()
+        if dataset.filter(~F.col(label).isin(0, 1) | F.col(label).isNull()).limit(1).count():
+            raise ValueError(f"{label} has other values than 0 and 1")
+        means = RandomForestRegressor()
+        for p in means.params:
+            if p.name != "impurity" and self.hasParam(p.name) and self.isDefined(p.name):
+                means.set(p, self.getOrDefault(p.name))
+        fitted, spark = means.fit(dataset), dataset.sparkSession
+        nothing = array_to_vector(F.array_repeat(F.lit(0.0), fitted.numFeatures))
+        two = spark.range(0, 2, 1, 1).select(F.col("id").cast("double").alias(label), nothing.alias(self.getFeaturesCol()))
+        if self.isDefined("weightCol") and self.getWeightCol():
+            two = two.withColumn(self.getWeightCol(), F.lit(1.0))
+        at = tables.work_dir(spark, "leaf-forest")
+        fitted.write().save(f"{at}/means")
+        super()._fit(two).write().save(f"{at}/classes")
+        class_nodes(spark.read.parquet(f"{at}/means/data")).write.mode("overwrite").parquet(f"{at}/classes/data")
+        return RandomForestClassificationModel.load(f"{at}/classes")
+
+
+def class_nodes(nodes: DataFrame) -> DataFrame:
+    """A saved node table (treeID, nodeData) of means of labels 0 and 1, whose
+    moments are (count, sum, sum of squares), as that of classes."""
+    old = F.col("nodeData")
+    count, ones = old["impurityStats"][0], old["impurityStats"][1]
+    node = old.withField("impurityStats", F.array(count - ones, ones)).withField("prediction", (ones > count - ones).cast("double")).withField("impurity", old["impurity"] * 2)
+    node = node.withField("gain", F.when(old["leftChild"] < 0, old["gain"]).otherwise(old["gain"] * 2))
+    return nodes.select("treeID", node.cast(nodes.schema["nodeData"].dataType).alias("nodeData"))
+
+
+def random_forest(trees: int = 300, depth: int = 20, features: str = "log2", min_rows: int = 1, weight: str | None = None) -> LeafForest:
     """Spark has no minimum rows to split a node, but one for its children."""
-    rf = RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy=features, minInstancesPerNode=min_rows, seed=SEED)
+    rf = LeafForest(labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy=features, minInstancesPerNode=min_rows, seed=SEED)
     return rf.setWeightCol(weight) if weight else rf
 
 

@@ -153,6 +153,40 @@ def m11(spark, d):
     return models.predict(model, n.select(*KEY, *[c for c in models.model_columns(model) if c not in KEY])).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Columns with fewer values than Spark has bins, so that it tries every cut.
+STEPS = ["disc", "tax", "line", "half"]
+
+
+def steps(spark, d):
+    return small(spark, d).drop("fold").withColumns({"line": F.col("k2").cast("double"), "half": F.floor(F.col("qty") / 2).cast("double")})
+
+
+def one_tree(depth):
+    """A forest of one tree over all rows and columns: nothing is left to chance."""
+    return models.random_forest(1, depth, "all").setBootstrap(False)
+
+
+def m2_tree(spark, d):
+    """Fitted on one part, saved, loaded, applied to all."""
+    n, at = models.split(steps(spark, d), ["k1", "k2"]), work_dir(spark, "m2-tree")
+    models.save(models.fit(n.filter("is_test = 0"), STEPS, one_tree(2)), at)
+    return rounded(models.predict(models.load(at), n).select(*KEY, "is_test", "predicted", "score"), "score")
+
+
+def m3_rounds(spark, d):
+    n = models.split(steps(spark, d), ["k1", "k2"])
+    model = models.fit(n.filter("is_test = 0"), STEPS, models.boosted_trees(2, 2, sample=1.0, features="all"))
+    return rounded(models.predict(model, n).select(*KEY, "is_test", "predicted", "score"), "score")
+
+
+def m5_trees(spark, d):
+    return rounded(models.cross_validate(steps(spark, d), STEPS, one_tree(2), ["k1", "k2"], 3), "auc", "precision", "recall", "f1")
+
+
+def m6_depths(spark, d):
+    return rounded(models.grid_search(steps(spark, d), STEPS, one_tree(2), {"maxDepth": [1, 2]}, ["k1", "k2"], 2), "score")
+
+
 def scores(spark, d):
     return fx.predictions(spark, d)
 
@@ -223,6 +257,30 @@ STAGES = f"""WITH {', '.join(f'l_{c} AS ({LIMITS(c)})' for c in STAGED)},
         todo / (loc_added + 1) AS todo_ratio, fixme / (loc_added + 1) AS fixme_ratio, loc_added * author_exp_pre AS loc_added_x_author_exp_pre FROM x)
     SELECT k1, k2, grp, label, paid, {HOT}, {', '.join(f'round({c}, 6) AS {c}' for c in (*STAGED.values(), 'todo', 'fixme', 'loc_churn_ratio', 'activity_per_exp', 'line_token_total', 'todo_ratio', 'fixme_ratio', 'loc_added_x_author_exp_pre'))} FROM y"""
 
+STEP_ROWS = """s AS (SELECT k1, k2, price, label, CAST('0x' || substring(md5(k1 || '|' || k2 || '|42'), 1, 8) AS BIGINT) AS number,
+    [coalesce(disc, 0), tax, k2, floor(qty / 2)]::DOUBLE[] AS f FROM numbers)"""
+
+
+def tree(source, depth, name):
+    """Tables that end in `name`: source (model, train, f, t) with leaf, the mean
+    t of a row's leaf in a tree that cuts each node where squares fall most."""
+    out = [f"{name}_0 AS (SELECT *, 1 AS node FROM {source})"]
+    for k in range(depth):
+        out.append(f"""{name}_v{k} AS (SELECT model, node, i, f[i] AS cut, count(*) AS n, sum(t) AS s FROM {name}_{k}, range(1, 5) r(i) WHERE train GROUP BY ALL),
+    {name}_c{k} AS (SELECT model, node, i, cut, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(n) OVER e AS n2, sum(s) OVER e AS s2 FROM {name}_v{k} WINDOW w AS (PARTITION BY model, node, i ORDER BY cut), e AS (PARTITION BY model, node, i)),
+    {name}_b{k} AS (SELECT model, node, i, cut FROM {name}_c{k} WHERE n < n2 QUALIFY row_number() OVER (PARTITION BY model, node ORDER BY s * s / n + (s2 - s) * (s2 - s) / (n2 - n) DESC, i, cut) = 1),
+    {name}_{k + 1} AS (SELECT a.* EXCLUDE (node), coalesce(2 * node + CAST(f[i] > cut AS INT), 2 * node) AS node FROM {name}_{k} a LEFT JOIN {name}_b{k} USING (model, node))""")
+    out.append(f"{name} AS (SELECT * EXCLUDE (node), avg(t) FILTER (train) OVER (PARTITION BY model, node) AS leaf FROM {name}_{depth})")
+    return ",\n    ".join(out)
+
+
+FOLDS = lambda k: f"x AS (SELECT model, label AS y, label::DOUBLE AS t, f, number % {k} <> model AS train FROM s, range({k}) r(model))"
+TRAIN = "x AS (SELECT 0 AS model, *, label::DOUBLE AS t, number % 100 >= 20 AS train FROM s)"
+ROUNDS = f"""x AS (SELECT 0 AS model, *, 2.0::DOUBLE * label - 1 AS t, number % 100 >= 20 AS train FROM s), {tree('x', 2, 'one')},
+    y AS (SELECT * EXCLUDE (leaf, t), leaf AS one, 4 * t / (1 + exp(2 * t * leaf)) AS t FROM one), {tree('y', 2, 'two')}"""
+MEAN_MCC = lambda name, depth: f"""SELECT 'maxDepth={depth}' AS setting, avg(mcc) AS score FROM (SELECT model, coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0) AS mcc FROM
+    (SELECT model, count(*) FILTER (y = 1 AND leaf > 0.5)::DOUBLE AS tp, count(*) FILTER (y = 0 AND leaf > 0.5)::DOUBLE AS fp, count(*) FILTER (y = 1 AND leaf <= 0.5)::DOUBLE AS fn, count(*) FILTER (y = 0 AND leaf <= 0.5)::DOUBLE AS tn FROM {name} WHERE NOT train GROUP BY model))"""
+
 QUERIES = {
     "f1_winsorize": (f1, sql("numbers", f"WITH {', '.join(f'l_{c} AS ({LIMITS(c)})' for c in NUM)} SELECT grp, {', '.join(f'round(min({CLIP(c)}), 6) AS {c}_min, round(max({CLIP(c)}), 6) AS {c}_max' for c in NUM)}, count(disc) AS n FROM numbers GROUP BY grp")),
     "f2_log1p": (f2, sql("numbers", "SELECT k1, k2, price, round(ln(1 + qty), 6) AS qty, round(ln(1 + disc), 6) AS disc FROM numbers")),
@@ -239,6 +297,12 @@ QUERIES = {
     "f13_interactions": (f13, sql("numbers", "SELECT k1, k2, price, round(qty * disc, 6) AS qty_x_disc, round(qty * tax, 6) AS qty_x_tax, round(disc * tax, 6) AS disc_x_tax FROM numbers")),
     "m2_forest": (m2, None), "m3_boosted": (m3, None), "m5_cross_validate": (m5, None), "m6_grid_forest": (m6, None), "m7_grid_boosted": (m7, None),
     "m8_importance": (m8, None), "m9_refine": (m9, None), "m10_predict": (m10, None), "m11_save_load": (m11, None),
+    "m2_tree": (m2_tree, sql("numbers", f"""WITH {STEP_ROWS}, {TRAIN}, {tree('x', 2, 'one')} SELECT k1, k2, price, CAST(NOT train AS INT) AS is_test, CAST(leaf > 0.5 AS INT) AS predicted, round(leaf, 6) AS score FROM one""")),
+    "m3_rounds": (m3_rounds, sql("numbers", f"""WITH {STEP_ROWS}, {ROUNDS} SELECT k1, k2, price, CAST(NOT train AS INT) AS is_test, CAST(one + 0.1 * leaf > 0 AS INT) AS predicted, round(1 / (1 + exp(-2 * (one + 0.1 * leaf))), 6) AS score FROM two""")),
+    "m5_trees": (m5_trees, sql("numbers", f"""WITH {STEP_ROWS}, {FOLDS(3)}, {tree('x', 2, 'one')}, predictions AS (SELECT model, y, leaf AS score, CAST(leaf > 0.5 AS INT) AS q FROM one WHERE NOT train),
+        a AS ({AUC}), r AS ({REPORT('predictions')}), e AS (SELECT model AS fold, auc, precision, recall, f1 FROM a JOIN r USING (model) WHERE r."class" = '1')
+        SELECT CAST(fold AS INT) AS fold, round(auc, 6) AS auc, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM e UNION ALL SELECT -1, round(avg(auc), 6), round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM e""")),
+    "m6_depths": (m6_depths, sql("numbers", f"""WITH {STEP_ROWS}, {FOLDS(2)}, {tree('x', 1, 'low')}, {tree('x', 2, 'high')}, g AS ({MEAN_MCC('low', 1)} UNION ALL {MEAN_MCC('high', 2)}) SELECT setting, round(score, 6) AS score FROM g""")),
     "e1_classify": (e1, sql("predictions", "SELECT *, CAST(score >= 0.6 AS INT) AS predicted FROM predictions")),
     "e2_roc": (e2, sql("predictions", f"WITH {CURVE} SELECT model, threshold, round(fp / nullif(neg, 0), 6) AS fpr, round(tp / nullif(pos, 0), 6) AS tpr FROM c UNION ALL SELECT DISTINCT model, NULL, 0.0, 0.0 FROM c")),
     "e3_auc": (e3, sql("predictions", f"SELECT model, round(auc, 6) AS auc FROM ({AUC})")),

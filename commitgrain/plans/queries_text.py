@@ -115,6 +115,31 @@ def t12_python(spark, d):
     return places(embed.embed_texts(fx.table(spark, d, "documents"), "doc_id", "text", factory, "e"), "doc_id")
 
 
+def words_model():
+    """Words as tokens, with bytes of each word's md5 as its states."""
+    import hashlib
+    import re
+
+    import numpy as np
+
+    memo = {}
+
+    def number(word):
+        if len(memo) > 1 << 20:
+            memo.clear()
+        if word not in memo:
+            memo[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        return memo[word]
+
+    tokenize = lambda text: [number(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    return tokenize, lambda ids, mask: (ids[:, :, None] >> np.array([24, 16, 8, 0]) & 255) / 255
+
+
+def t12_tokens(whole):
+    """Means of token states: of the first 512 tokens, or of all of them."""
+    return lambda spark, d: places(embed.embed_texts(tables.dealt(fx.table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", embed.token_means(words_model, whole=whole), "e"), "doc_id")
+
+
 def t13(spark, d):
     e = fx.vectors(spark, d).withColumn("grp", F.col("vec_id") % 20).withColumn("mask", F.col("vec_id") % 3)
     return places(embed.mean_pool(e, ["grp"], "embedding", "mask", "e"), "grp")
@@ -140,6 +165,19 @@ def f6(spark, d):
     return embed.apply_pca(v, embed.fit_pca(train, "embedding", 60), "embedding", "code_emb")
 
 
+def f6_rotation(spark, d):
+    """All components of each row: whatever their signs, their squares add up to
+    the squared distance from the mean, and weighed by the variance that each
+    explains (and by its square) to forms of the covariance."""
+    v = fx.vectors(spark, d)
+    train = v.filter("vec_id % 5 <> 0")
+    model = embed.fit_pca(train, "embedding", embed.width_of(train, "embedding"))
+    parts = model.stages[1].explainedVariance.toArray().tolist()
+    out = embed.apply_pca(v, model, "embedding", "pc")
+    form = lambda power: F.round(sum(F.pow(f"pc_{i}", F.lit(2)) * x**power for i, x in enumerate(parts)), ROUND)
+    return out.select("vec_id", form(0).alias("distance"), form(1).alias("spread"), form(2).alias("spread_2"))
+
+
 def f7(spark, d):
     model = embed.fit_pca(fx.vectors(spark, d), "embedding", 60)
     return fx.vectors(spark, d).agg(F.count(F.lit(1)).alias("n"), F.lit(embed.explained_variance(model)).alias("explained"))
@@ -186,6 +224,8 @@ TERMS = f"""m AS (SELECT doc_id, list_filter(regexp_extract_all({cleaned(ASCII)}
     t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM m)"""
 EMB = lambda first: f"CAST('0x' || substring(sha256(text), {first} + 2 * pos, 2) AS INT) / 255.0"
 Q = "SELECT"
+TOKEN_MEANS = lambda part: f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'){part}) AS w FROM documents)
+    SELECT doc_id, CAST(pos AS INT) AS pos, round(avg(CAST('0x' || substring(md5(w), 1 + 2 * pos, 2) AS INT) / 255.0), {ROUND}) AS x FROM w, range(4) r(pos) GROUP BY ALL"""
 
 #: Nodes of the function without a branch, and of each branch.
 NODES, EACH = 7, 11
@@ -220,6 +260,7 @@ QUERIES = {
     "t11_hash": (t11, f"SELECT doc_id, CAST(pos AS INT) AS pos, round({EMB(1)}, {ROUND}) AS x FROM documents, range(8) r(pos) UNION ALL SELECT doc_id, CAST(pos + 100 AS INT), round({EMB(17)}, {ROUND}) FROM documents, range(8) r(pos)"),
     "t12_embed": (t12, f"SELECT doc_id, CAST(pos AS INT) AS pos, round({EMB(1)}, {ROUND}) AS x FROM documents, range(8) r(pos)"),
     "t12_embed_python": (t12_python, f"SELECT doc_id, CAST(pos AS INT) AS pos, round({EMB(1)}, {ROUND}) AS x FROM documents, range(8) r(pos)"),
+    "t12_token_means": (t12_tokens(False), TOKEN_MEANS("[:512]")), "t12_token_windows": (t12_tokens(True), TOKEN_MEANS("")),
     "t13_pool": (t13, sql("vectors", f"""WITH x AS (SELECT vec_id % 20 AS grp, vec_id % 3 AS m, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS v FROM vectors)
         SELECT grp, CAST(pos AS INT) AS pos, round(sum(v * m) / nullif(sum(m), 0), {ROUND}) AS x FROM x GROUP BY ALL""")),
     "t14_arrays": (t14, sql("vectors", "SELECT vec_id, CASE WHEN vec_id % 3 <> 0 THEN CAST(len(embedding) AS INT) ELSE 0 END AS size FROM vectors")),
@@ -228,6 +269,11 @@ QUERIES = {
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS k, md5(array_to_string(l[greatest(i - 3, 1):i + 3], chr(10))) AS context FROM i""")),
     "f5_expand": (f5, sql("vectors", f"SELECT vec_id, label, {', '.join(f'round(embedding[{i + 1}], {ROUND}) AS emb_{i}' for i in (0, 1, 31, 63))} FROM vectors")),
     "f6_pca": (f6, None),
+    "f6_rotation": (f6_rotation, sql("vectors", f"""WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS v FROM vectors),
+        m AS (SELECT pos, avg(v) AS m FROM x WHERE vec_id % 5 <> 0 GROUP BY pos), c AS (SELECT vec_id, pos, v - m AS c FROM x JOIN m USING (pos)),
+        k AS (SELECT a.pos AS i, b.pos AS j, sum(a.c * b.c) AS k FROM c a JOIN c b USING (vec_id) WHERE vec_id % 5 <> 0 GROUP BY ALL), t AS (SELECT sum(k) AS t FROM k WHERE i = j),
+        y AS (SELECT vec_id, i AS pos, sum(k * c) AS y FROM c JOIN k ON j = pos GROUP BY ALL)
+        SELECT vec_id, round(sum(c * c), {ROUND}) AS distance, round(sum(c * y) / any_value(t), {ROUND}) AS spread, round(sum(y * y) / any_value(t * t), {ROUND}) AS spread_2 FROM c JOIN y USING (vec_id, pos), t GROUP BY vec_id""")),
     "f7_explained": (f7, None),
     "j8_distances": (j8, sql("vectors", f"""WITH s AS (SELECT * FROM vectors QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) <= 2000),
         p AS (SELECT a.label AS la, b.label AS lb, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM s a, s b)

@@ -3,7 +3,9 @@
 import math
 import re
 
+import numpy as np
 import pytest
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -177,6 +179,51 @@ def test_pca_is_centred_and_orthogonal(spark):
         embed.width_of(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "e array<double>"), "e")
 
 
+def test_components_by_an_eigensolver(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 6)) @ rng.normal(size=(6, 6)) + 3
+    y = [int(i % 3 == 0) for i in range(200)]
+    df = spark.createDataFrame([(i, v.tolist(), v[::-1].tolist(), c) for i, (v, c) in enumerate(zip(x, y))], "k int, code_embed array<double>, msg_embed array<double>, label int")
+
+    def components(rows, k):
+        at, vectors = np.linalg.eigh(np.cov(rows.T))
+        vectors = vectors[:, ::-1][:, :k]
+        vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(k)])
+        return (x if rows.shape[1] == 6 else rows) @ vectors - rows.mean(0) @ vectors, at[::-1][:k].sum() / at.sum()
+
+    model = embed.fit_pca(df.filter("k % 5 <> 0"), "code_embed", 4)
+    train = x[[i for i in range(200) if i % 5]]
+    want, explained = components(train, 4)
+    got = embed.apply_pca(df, model, "code_embed", "pc").orderBy("k").select(*[f"pc_{i}" for i in range(4)]).toPandas().to_numpy()
+    assert got == pytest.approx(want, abs=1e-9) and embed.explained_variance(model) == pytest.approx(explained)
+    fitted = features.fit(df.filter("k % 5 <> 0"), [], [], arrays=features.ARRAYS)  # 60 and 80 of 6 places
+    both = fitted.transform(df).orderBy("k").toPandas()
+    assert both[[f"code_emb_{i}" for i in range(6)]].to_numpy() == pytest.approx(components(train, 6)[0], abs=1e-9)
+    assert np.abs(both[[f"msg_emb_{i}" for i in range(6)]].to_numpy()) == pytest.approx(np.abs(components(train, 6)[0]), abs=1e-9)
+    flat = embed.apply_pca(df, embed.fit_pca(df, "code_embed", 2), "code_embed", "pc").select("k", "label", F.array("pc_0", "pc_1").alias("pc"))
+    p, far = components(x, 2)[0], lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)).mean()
+    zero, one = p[[c == 0 for c in y]], p[[c == 1 for c in y]]
+    assert tuple(embed.class_distances(flat, "k", "pc", "label").first()) == pytest.approx((far(zero, one), far(zero, zero), far(one, one)))
+
+
+@pytest.mark.parametrize("rows", [1, 2, 32])
+def test_token_means_do_not_depend_on_batches(spark, rows):
+    def model():
+        def states(ids, mask):
+            assert ids.shape == mask.shape and len(ids) <= rows and mask.any(0).all() and mask.shape[1] <= 5
+            return np.where(mask, ids, 1_000_000)[:, :, None] * np.array([1.0, -2.0])  # padding would show
+
+        return lambda text: [len(w) for w in text.split()], states
+
+    texts = ["a bb ccc", "", None, " ", "dddd", " ".join("x" * k for k in range(1, 14)), "a bb ccc", "ee ee ee ee ee"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    for whole in (False, True):
+        got = {r["k"]: r["embedding"] for r in embed.embed_texts(df, "k", "t", embed.token_means(model, 5, rows, whole)).collect()}
+        for i, text in enumerate(texts):
+            sizes = [len(w) for w in (text or "").split()][: None if whole else 5]
+            assert got[i] == pytest.approx([np.mean(sizes), -2 * np.mean(sizes)] if sizes else [])
+
+
 def test_structure_of_changed_functions(spark):
     old = "def f(a):\n    return a\n"
     new = "def f(a):\n    if a and a > 1:\n        return 1\n    return a\n"
@@ -283,6 +330,25 @@ def test_pruned_forest_is_the_tree_cut_by_hand(spark, tmp_path):
     table.unpersist()
 
 
+def test_leaves_keep_their_shares(spark):
+    """Leaves of one class side by side stay apart: scores are those of the means."""
+    df = spark.createDataFrame([(i, float(i % 13), float(i % 7), int((i * 7919) % 100 < 5 + 3 * (i % 13)), 1.0 + i % 3) for i in range(600)], "k int, a double, b double, label int, w double")
+    for made in (models.random_forest(1, 3, "all").setBootstrap(False), models.random_forest(3, 4, "all", min_rows=3, weight="w").setBootstrap(False)):
+        model = models.fit(df, ["a", "b"], made)
+        means = RandomForestRegressor(labelCol="label", numTrees=made.getNumTrees(), maxDepth=made.getMaxDepth(), featureSubsetStrategy="all", minInstancesPerNode=made.getMinInstancesPerNode(), seed=models.SEED, bootstrap=made.getBootstrap())
+        means = means.setWeightCol("w") if made.isDefined("weightCol") else means
+        with models.dealt(df, ["a", "b"], made, ["k"]) as ready:
+            want = {r["k"]: r["prediction"] for r in means.fit(ready).transform(ready).collect()}
+        got = models.predict(model, df).collect()
+        assert [r["score"] for r in got] == pytest.approx([want[r["k"]] for r in got])
+        assert all(r["predicted"] == (r["score"] > 0.5) for r in got if abs(r["score"] - 0.5) > 1e-9)
+        assert model.stages[1].numClasses == 2 and not model.stages[1].hasSummary and sum(model.stages[1].featureImportances) == pytest.approx(1)
+    one = models.predict(models.fit(df.withColumn("label", F.lit(0)), ["a"], models.random_forest(2, 2)), df).agg(F.max("score"), F.max("predicted")).first()
+    assert tuple(one) == (0.0, 0)
+    with pytest.raises(ValueError, match="0 and 1"):
+        models.fit(df.withColumn("label", F.lit(2)), ["a"], models.random_forest(2, 2))
+
+
 def test_cross_validation_and_search(spark):
     df = spark.createDataFrame([(i, float(i % 2) + (i % 10 == 0), float(i % 7), i % 2) for i in range(300)], "k int, x double, noise double, label int")
     rows = models.cross_validate(df, ["x", "noise"], models.boosted_trees(3, 2), ["k"], 3, validation=df.filter("k < 30"))
