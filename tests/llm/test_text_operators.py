@@ -297,6 +297,15 @@ def test_sentence_spans(docs, by_id):
     assert any(r["n_removed"] for r in got.values())
 
 
+def test_sentence_spans_without_ids(spark):
+    run = " ".join(f"One of the sentences that says {w} in a row of ten words." for w in ("this", "that"))
+    rows = [(None, f"{run} Then. {run}"), (None, f"{run} Then. {run}"), (4, f"Else. {run}"), (4, f"{run} Then. {run}"), (9, run)]
+    got = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, h1 string")
+    got = sorted((r["doc_id"] or 0, r["n_sentences"], r["n_removed"], r["text"]) for r in sentence_spans.span_dedup(got).collect())
+    once = f"{run} Then. "
+    assert got == [(0, 5, 2, once), (0, 5, 2, once), (4, 3, 0, f"Else. {run}"), (4, 5, 2, once), (9, 2, 2, "")]
+
+
 def shingle_set(t, k=4):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
