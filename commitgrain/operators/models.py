@@ -94,8 +94,10 @@ def class_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def random_forest(trees: int = 300, depth: int = 20, features: str = "log2", min_rows: int = 1, weight: str | None = None) -> LeafForest:
-    """Spark has no minimum rows to split a node, but one for its children."""
-    rf = LeafForest(labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy=features, minInstancesPerNode=min_rows, seed=SEED)
+    """Spark has no minimum rows to split a node, but one for its children. Each
+    row keeps its node in each tree from level to level, so that no pass walks
+    the trees from their roots again."""
+    rf = LeafForest(labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy=features, minInstancesPerNode=min_rows, cacheNodeIds=True, seed=SEED)
     return rf.setWeightCol(weight) if weight else rf
 
 
