@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import closing, contextmanager, nullcontext
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -20,7 +20,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from commitgrain.operators import evaluate
+from commitgrain.operators import cells, evaluate
 from commitgrain.sources import tables
 
 SEED = 42
@@ -55,56 +55,208 @@ def with_weights(df: DataFrame, label: str = "label", out: str = "weight") -> Da
     return df.join(F.broadcast(class_weights(df, label).select(label, F.col("balanced").alias(out))), label)  # a row a class
 
 
+#: Single trees that are fitted at a time.
+AT_ONCE = 8
+#: Trees of one fit over rows: each keeps two numbers a row.
+GROUP = 10
+
+
+def given(to, estimator, but: Sequence[str] = ()):
+    """`to` with the settings that the estimator has too."""
+    for p in to.params:
+        if p.name not in but and estimator.hasParam(p.name) and estimator.isDefined(p.name):
+            to.set(p, estimator.getOrDefault(p.name))
+    return to
+
+
+def weight_of(estimator) -> str | None:
+    return (estimator.isDefined("weightCol") and estimator.getWeightCol()) or None
+
+
+def check_labels(dataset: DataFrame, label: str) -> None:
+    if dataset.filter(~F.col(label).isin(0, 1) | F.col(label).isNull()).limit(1).count():
+        raise ValueError(f"{label} has other values than 0 and 1")
+
+
+def width_of(dataset: DataFrame, features: str) -> int:
+    first = dataset.select(F.size(vector_to_array(features))).first()
+    if first is None:
+        raise ValueError("no rows to fit")
+    return first[0]
+
+
+def java_trees(made: Sequence):
+    """An array of trees for the constructors of Spark's ensembles."""
+    sc = SparkSession.active().sparkContext
+    out = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(made))
+    for i, tree in enumerate(made):
+        out[i] = tree
+    return out
+
+
+def one_tree(estimator, seed: int, label: str) -> RandomForestRegressor:
+    """A tree over cells: all of `weight`, nothing drawn."""
+    tree = given(RandomForestRegressor(), estimator, ("impurity", "numTrees", "bootstrap", "subsamplingRate", "cacheNodeIds", "checkpointInterval", "featuresCol", "labelCol", "predictionCol", "weightCol", "leafCol", "seed"))
+    return tree.setNumTrees(1).setBootstrap(False).setSeed(seed).setLabelCol(label).setWeightCol("drawn")
+
+
 class LeafForest(RandomForestClassifier):
     """A forest for labels 0 and 1 whose scores are the shares of its leaves.
 
     Spark's classifiers make one leaf of two that have the same larger class, so
     rows on both sides get one score. Forests of means do not, and for labels 0
     and 1 they find the same cuts, variance being half of Gini's impurity. So
-    one of these is fitted, and its nodes get class counts for their moments."""
+    one of these is fitted, and its nodes get class counts for their moments.
+
+    Trees are fitted to cells, each by itself: rows are read to find and count
+    the cells, and no tree's draws are kept for a row. A minimum of rows and
+    weights ask for single rows; there a few trees are fitted at a time."""
 
     def _fit(self, dataset: DataFrame) -> RandomForestClassificationModel:
-        label = self.getLabelCol()
-        if dataset.filter(~F.col(label).isin(0, 1) | F.col(label).isNull()).limit(1).count():
-            raise ValueError(f"{label} has other values than 0 and 1")
-        means = RandomForestRegressor()
-        for p in means.params:
-            if p.name != "impurity" and self.hasParam(p.name) and self.isDefined(p.name):
-                means.set(p, self.getOrDefault(p.name))
-        fitted, spark = means.fit(dataset), dataset.sparkSession
-        nothing = array_to_vector(F.array_repeat(F.lit(0.0), fitted.numFeatures))
+        label, spark, cuts = self.getLabelCol(), dataset.sparkSession, None
+        check_labels(dataset, label)
+        width = width_of(dataset, self.getFeaturesCol())
+        if weight_of(self) or self.getMinInstancesPerNode() > 1 or self.getOrDefault("minWeightFractionPerNode") > 0:
+            made = self._of_rows(dataset)
+        else:
+            made, cuts = self._of_cells(dataset, width)
+        forest = spark._jvm.org.apache.spark.ml.regression.RandomForestRegressionModel(self.uid, java_trees(made), width)
+        nothing = array_to_vector(F.array_repeat(F.lit(0.0), width))
         two = spark.range(0, 2, 1, 1).select(F.col("id").cast("double").alias(label), nothing.alias(self.getFeaturesCol()))
-        if self.isDefined("weightCol") and self.getWeightCol():
-            two = two.withColumn(self.getWeightCol(), F.lit(1.0))
+        if weight_of(self):
+            two = two.withColumn(weight_of(self), F.lit(1.0))
         at = tables.work_dir(spark, "leaf-forest")
-        fitted.write().save(f"{at}/means")
+        forest.write().save(f"{at}/means")
         super()._fit(two).write().save(f"{at}/classes")
-        class_nodes(spark.read.parquet(f"{at}/means/data")).write.mode("overwrite").parquet(f"{at}/classes/data")
+        class_nodes(spark.read.parquet(f"{at}/means/data"), cuts).write.mode("overwrite").parquet(f"{at}/classes/data")
         return RandomForestClassificationModel.load(f"{at}/classes")
 
-
-def class_nodes(nodes: DataFrame) -> DataFrame:
+    def _of_rows(self, dataset: DataFrame) -> list:
+        out = []
+        while len(out) < self.getNumTrees():
+            means = given(RandomForestRegressor(), self, ("impurity",)).setNumTrees(min(GROUP, self.getNumTrees() - len(out))).setSeed(self.getSeed() + len(out))
+            out += list(means.fit(dataset)._java_obj.trees())
+        return out
+
+    def _of_cells(self, dataset: DataFrame, width: int) -> tuple[list, list[list[float]]]:
+        rows = cells.rows_of(dataset, self.getFeaturesCol(), self.getLabelCol(), None)
+        cuts, out = cells.cut_points(rows, width, self.getMaxBins()), []
+        held = cells.grouped(rows, cuts)
+        try:
+            for start in range(0, self.getNumTrees(), cells.DRAWS):
+                own = range(min(cells.DRAWS, self.getNumTrees() - start))
+                if self.getBootstrap() or self.getSubsamplingRate() < 1:
+                    drawn = held.select("features", "label", cells.draws(self.getSeed() + start, self.getSubsamplingRate(), self.getBootstrap()).alias("draws")).persist()
+                    sample = lambda i, d=drawn: d.select("features", "label", F.get("draws", F.lit(i)).alias("drawn")).filter("drawn > 0")
+                else:
+                    drawn, sample = None, lambda i: held.select("features", "label", F.col("rows").cast("double").alias("drawn"))
+                fit_one = lambda i, n=start, s=sample: one_tree(self, self.getSeed() + n + i, "label").fit(s(i))._java_obj.trees()[0]
+                with ThreadPool(AT_ONCE) as pool:
+                    out += pool.map(inheritable_thread_target(dataset.sparkSession)(fit_one), own)
+                if drawn is not None:
+                    drawn.unpersist()
+        finally:
+            held.unpersist()
+        return out, cuts
+
+
+def class_nodes(nodes: DataFrame, cuts: list[list[float]] | None = None) -> DataFrame:
     """A saved node table (treeID, nodeData) of means of labels 0 and 1, whose
-    moments are (count, sum, sum of squares), as that of classes."""
+    moments are (count, sum, sum of squares), as that of classes. That of trees
+    over cells gets values for bins, and rows for cells."""
     old = F.col("nodeData")
     count, ones = old["impurityStats"][0], old["impurityStats"][1]
     node = old.withField("impurityStats", F.array(count - ones, ones)).withField("prediction", (ones > count - ones).cast("double")).withField("impurity", old["impurity"] * 2)
     node = node.withField("gain", F.when(old["leftChild"] < 0, old["gain"]).otherwise(old["gain"] * 2))
+    if cuts is not None:
+        node = cells.with_values(node.withField("rawCount", F.round(count).cast("long")), cuts)
     return nodes.select("treeID", node.cast(nodes.schema["nodeData"].dataType).alias("nodeData"))
 
 
+class CellBoosting:
+    """Boosting for labels 0 and 1 over cells, round after round, with Spark's
+    loss and steps. A row of the state is a cell with its margin so far."""
+
+    def __init__(self, dataset: DataFrame, estimator: GBTClassifier):
+        self.estimator, self.spark, self.trees, self.state, self.draws = estimator, dataset.sparkSession, [], None, None
+        features, label = estimator.getFeaturesCol(), estimator.getLabelCol()
+        check_labels(dataset, label)
+        self.width = width_of(dataset, features)
+        rows = cells.rows_of(dataset, features, label, weight_of(estimator))
+        self.cuts = cells.cut_points(rows, self.width, estimator.getMaxBins())
+        self.state = cells.grouped(rows, self.cuts).withColumn("margin", F.lit(0.0))
+        self.kept = [self.state]
+
+    def run(self, rounds: int) -> None:
+        """Rounds until there are so many."""
+        rate, y = self.estimator.getSubsamplingRate(), F.col("label") * 2 - 1
+        while len(self.trees) < rounds:
+            k = len(self.trees)
+            if k % cells.DRAWS == 0:
+                number = cells.draws(self.estimator.getSeed() + k, rate, False) if rate < 1 else F.array_repeat(F.col("rows").cast("double"), cells.DRAWS)
+                state = self.state.withColumn("draws", number)
+                self._keep(state.checkpoint() if self.spark.sparkContext.getCheckpointDir() else state.localCheckpoint())
+            target = (4 * y / (1 + F.exp(2 * y * F.col("margin")))) if k else y
+            sample = self.state.select("features", target.alias("target"), (F.get("draws", F.lit(k % cells.DRAWS)) * F.col("weight")).alias("drawn")).filter("drawn > 0")
+            tree = one_tree(self.estimator, self.estimator.getSeed() + k, "target").fit(sample)
+            self.trees.append(tree._java_obj.trees()[0])
+            step = self.estimator.getStepSize() if k else 1.0
+            names = [c for c in self.state.columns if c != "margin"]
+            self._keep(tree.transform(self.state).select(*names, (F.col("margin") + step * F.col("prediction")).alias("margin")).persist())
+
+    def _keep(self, state: DataFrame) -> None:
+        """The new state; of older ones, that which it is made from stays too."""
+        self.state = state
+        self.kept.append(state)
+        if len(self.kept) > 2:
+            self.kept.pop(0).unpersist()
+
+    def model(self) -> GBTClassificationModel:
+        at = tables.work_dir(self.spark, "boosted")
+        steps = [1.0] + [self.estimator.getStepSize()] * (len(self.trees) - 1)
+        whole = boosted_model(self.estimator.uid, self.trees, steps, self.width)
+        given(whole, self.estimator)
+        whole._transfer_params_to_java()
+        whole.write().save(f"{at}/bins")
+        whole.write().save(f"{at}/values")
+        nodes = self.spark.read.parquet(f"{at}/bins/data")
+        node = cells.with_values(F.col("nodeData"), self.cuts).cast(nodes.schema["nodeData"].dataType)
+        nodes.select("treeID", node.alias("nodeData")).write.mode("overwrite").parquet(f"{at}/values/data")
+        return GBTClassificationModel.load(f"{at}/values")
+
+    def close(self) -> None:
+        while self.kept:
+            self.kept.pop().unpersist()
+
+
+class CellBoosted(GBTClassifier):
+    """Boosted trees for labels 0 and 1 fitted to cells; those that stop by rows
+    marked for validation or ask for a minimum of rows are Spark's own."""
+
+    def _fit(self, dataset: DataFrame) -> GBTClassificationModel:
+        if not self.by_cells():
+            return super()._fit(dataset)
+        run = CellBoosting(dataset, self)
+        try:
+            run.run(self.getMaxIter())
+            return run.model()
+        finally:
+            run.close()
+
+    def by_cells(self) -> bool:
+        return not self.isDefined("validationIndicatorCol") and self.getMinInstancesPerNode() == 1 and self.getOrDefault("minWeightFractionPerNode") == 0
+
+
 def random_forest(trees: int = 300, depth: int = 20, features: str = "log2", min_rows: int = 1, weight: str | None = None) -> LeafForest:
-    """Spark has no minimum rows to split a node, but one for its children. Each
-    row keeps its node in each tree from level to level, so that no pass walks
-    the trees from their roots again."""
-    rf = LeafForest(labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy=features, minInstancesPerNode=min_rows, cacheNodeIds=True, seed=SEED)
+    """Spark has no minimum rows to split a node, but one for its children."""
+    rf = LeafForest(labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy=features, minInstancesPerNode=min_rows, seed=SEED)
     return rf.setWeightCol(weight) if weight else rf
 
 
 def boosted_trees(rounds: int = 300, depth: int = 6, rate: float = 0.1, sample: float = 0.8, features: str = "0.8", validation: str | None = None, weight: str | None = None) -> GBTClassifier:
     """With `validation`, Spark itself stops by a tolerance of the loss on the
     rows that it marks; `fit_with_patience` stops after rounds without gain."""
-    gbt = GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=sample, featureSubsetStrategy=features, seed=SEED)
+    gbt = CellBoosted(labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=sample, featureSubsetStrategy=features, seed=SEED)
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
     return gbt.setWeightCol(weight) if weight else gbt
@@ -155,15 +307,17 @@ def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
+def boosted_model(uid: str, trees: Sequence, steps: Sequence[float], width: int) -> GBTClassificationModel:
+    sc = SparkSession.active().sparkContext
+    weights = sc._gateway.new_array(sc._jvm.double, len(steps))
+    for i, step in enumerate(steps):
+        weights[i] = step
+    return GBTClassificationModel(sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(uid, java_trees(trees), weights, width, 2))
+
+
 def truncated(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
     """The ensemble of the first `rounds` trees."""
-    sc, j = SparkSession.active().sparkContext, model._java_obj
-    spark_ml = sc._jvm.org.apache.spark.ml
-    trees = sc._gateway.new_array(spark_ml.regression.DecisionTreeRegressionModel, rounds)
-    weights = sc._gateway.new_array(sc._jvm.double, rounds)
-    for i, (tree, weight) in enumerate(zip(j.trees()[:rounds], model.treeWeights)):
-        trees[i], weights[i] = tree, weight
-    return GBTClassificationModel(spark_ml.classification.GBTClassificationModel(model.uid, trees, weights, model.numFeatures, 2))
+    return boosted_model(model.uid, list(model._java_obj.trees()[:rounds]), model.treeWeights[:rounds], model.numFeatures)
 
 
 def fit_with_patience(df: DataFrame, names: Sequence[str], estimator: GBTClassifier, validation: DataFrame, patience: int = 20, first: int = 50) -> PipelineModel:
@@ -174,12 +328,16 @@ def fit_with_patience(df: DataFrame, names: Sequence[str], estimator: GBTClassif
     validation rows. Rounds depend on the seed and on the rounds before alone,
     so an ensemble of twice the rounds begins with the same trees: `first`
     rounds are fitted, then twice as many, until the patience is spent or the
-    estimator's rounds are done."""
-    with dealt(df, names, estimator) as ready, dealt(validation, names, estimator) as held:
+    estimator's rounds are done. Over cells the rounds go on from those before."""
+    with dealt(df, names, estimator) as ready, dealt(validation, names, estimator) as held, closing(CellBoosting(ready, estimator)) if isinstance(estimator, CellBoosted) and estimator.by_cells() else nullcontext() as run:
         most = estimator.getMaxIter()
         rounds = min(first, most)
         while True:
-            model = estimator.copy({estimator.maxIter: rounds}).fit(ready)
+            if run is None:
+                model = estimator.copy({estimator.maxIter: rounds}).fit(ready)
+            else:
+                run.run(rounds)
+                model = run.model()
             best, spent = best_round(model.evaluateEachIteration(held), patience)
             if spent or rounds == most:
                 return PipelineModel([assembler(names), truncated(model, best)])

@@ -10,7 +10,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from commitgrain.functions import patches, text
-from commitgrain.operators import embed, evaluate, features, history, hygiene, models, profile
+from commitgrain.operators import cells, embed, evaluate, features, history, hygiene, models, profile
 from commitgrain.sources import tables
 
 
@@ -400,3 +400,30 @@ def test_forests_after_a_session_has_observed(spark):
     assert models.cross_validate(rows, ["a", "b"], models.random_forest(5, 3), ["id"], 2).count() == 3
     assert models.permutation_importance(after, rows, ["id"]).first()["feature"] == "a"
     assert models.grid_search(rows, ["a", "b"], models.random_forest(5, 3), {"maxDepth": [1, 3]}, ["id"], 2).count() == 2
+
+
+def test_trees_are_fitted_to_cells(spark, monkeypatch):
+    """What a tree reads follows the bins of the rows, not their number."""
+    df = spark.range(3000).selectExpr("id", "cast(id % 5 as double) a", "cast(id % 4 as double) b", "cast(id % 5 + id * 7 % 3 > 3 as int) label")
+    seen, fit = [], RandomForestRegressor.fit
+
+    def counted(self, dataset, *rest):
+        seen.append(dataset.count())
+        return fit(self, dataset, *rest)
+
+    monkeypatch.setattr(RandomForestRegressor, "fit", counted)
+    for made in (models.random_forest(3, 3), models.boosted_trees(3, 2)):
+        seen.clear()
+        good = models.predict(models.fit(df, ["a", "b"], made), df).filter("predicted = label").count()
+        assert good > 2300 and len(seen) == 3 and max(seen) <= 40
+
+
+def test_draws_of_a_cell_are_those_of_its_rows(spark):
+    """Sums of a row's draws: mean and variance of Poisson's or the binomial."""
+    held = spark.range(400).selectExpr("cast(cast(id as string) as binary) code", "1.0D label", "1.0D weight", "100L rows")
+    for rate, repeats, mean, variance in ((1.0, True, 100, 100), (0.8, False, 80, 16)):
+        got = [x for r in held.select(cells.draws(7, rate, repeats).alias("d")).collect() for x in r["d"]]
+        assert sum(got) / len(got) == pytest.approx(mean, rel=0.01)
+        assert sum((x - mean) ** 2 for x in got) / len(got) == pytest.approx(variance, rel=0.15)
+        again = held.repartition(7).select("code", cells.draws(7, rate, repeats).alias("d"))
+        assert sorted(x for r in again.collect() for x in r["d"]) == sorted(got)
