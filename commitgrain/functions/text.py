@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Sequence
 from heapq import nlargest
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +62,26 @@ def terms(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
 COUNTERS = 64
 
 
-def _summary(limit: int):
+def _lists(column: pa.Array, stop_words: Sequence[str] | None):
+    """Each row's terms: its array, or with stop words what `terms` finds in its text."""
+    if stop_words is None:
+        yield from (found or () for found in column.to_pylist())
+        return
+    word, stop = re.compile(r"\w\w+", re.ASCII), frozenset(stop_words)
+    for text in column.to_pylist():
+        words = [w for w in word.findall(text or "") if w not in stop]
+        yield words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def _summary(limit: int, stop_words: Sequence[str] | None = None):
     """Misra and Gries' summary of a task's terms: (term, low, null), each true
     count being between low and low plus the task's error; (null, null, error)."""
     def run(batches):
         seen, error = Counter(), 0
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                seen.update(batch.column(0).slice(i, 256).flatten().to_pylist())
+                for found in _lists(batch.column(0).slice(i, 256), stop_words):
+                    seen.update(found)
                 if len(seen) > 4 * limit:
                     cut = nlargest(limit + 1, seen.values())[-1]
                     seen, error = Counter({t: n - cut for t, n in seen.items() if n > cut}), error + cut
@@ -75,23 +89,23 @@ def _summary(limit: int):
     return run
 
 
-def _exact(candidates):
+def _exact(candidates, stop_words: Sequence[str] | None = None):
     """(term, n, df) of a task, for the candidates alone."""
     def run(batches):
         known, n, df = candidates.value, Counter(), Counter()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                for found in batch.column(0).slice(i, 256).to_pylist():
-                    mine = Counter(filter(known.__contains__, found or ()))
+                for found in _lists(batch.column(0).slice(i, 256), stop_words):
+                    mine = Counter(filter(known.__contains__, found))
                     n.update(mine)
                     df.update(mine.keys())
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([df[t] for t in n], pa.int64())], ["term", "n", "df"])
     return run
 
 
-def heavy_terms(found: DataFrame, size: int, counters: int | None = None) -> DataFrame:
+def heavy_terms(found: DataFrame, size: int, counters: int | None = None, stop_words: Sequence[str] | None = None) -> DataFrame:
     """(term, n, df) of the `size` terms of the highest count, exact, from one
-    column of arrays of terms.
+    column of arrays of terms, or with stop words from one of texts.
 
     A first pass keeps a summary of at most 4 * `counters` terms a task, so what
     is shuffled follows tasks and counters, not distinct terms. Summed up, no
@@ -101,7 +115,7 @@ def heavy_terms(found: DataFrame, size: int, counters: int | None = None) -> Dat
     times as many. Ties are in order of terms."""
     spark, limit = found.sparkSession, counters or COUNTERS * size
     while True:
-        sums = found.mapInArrow(_summary(limit), "term string, low long, error long").groupBy("term").agg(F.sum("low").alias("low"), F.sum("error").alias("error")).persist()
+        sums = found.mapInArrow(_summary(limit, stop_words), "term string, low long, error long").groupBy("term").agg(F.sum("low").alias("low"), F.sum("error").alias("error")).persist()
         try:
             error = sums.filter("term is null").agg(F.coalesce(F.sum("error"), F.lit(0))).first()[0]  # one row
             top = [r["low"] for r in sums.filter("term is not null").orderBy(F.desc("low")).select("low").limit(size).collect()]  # `size` rows
@@ -113,15 +127,21 @@ def heavy_terms(found: DataFrame, size: int, counters: int | None = None) -> Dat
         finally:
             sums.unpersist()
         limit *= 4
-    exact = found.mapInArrow(_exact(candidates), "term string, n long, df long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    exact = found.mapInArrow(_exact(candidates, stop_words), "term string, n long, df long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     return exact.orderBy(F.desc("n"), "term").limit(size)
 
 
 def fit_vocabulary(texts: DataFrame, text: str, size: int = 100, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """(term, idf) of the `size` terms with the highest count in the corpus."""
-    top = heavy_terms(texts.select(terms(F.col(text), stop_words).alias("terms")), size)
-    total = texts.agg(F.count(F.lit(1)).alias("docs"))
-    return top.join(F.broadcast(total)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # total is one row
+    """(term, idf) of the `size` terms with the highest count in the corpus.
+    Texts are made once for both passes over them, and terms found in the tasks."""
+    kept = texts.select(text).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        top = heavy_terms(kept, size, stop_words=stop_words)
+        total = kept.agg(F.count(F.lit(1)).alias("docs"))
+        rows = top.join(F.broadcast(total)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")).collect()  # `size` rows; total is one
+    finally:
+        kept.unpersist()
+    return texts.sparkSession.createDataFrame(rows, "term string, idf double")
 
 
 def term_weights(text: Column, idf: dict[str, float], stop_words: Sequence[str] = STOP_WORDS) -> Column:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from commitgrain.functions import text
 from commitgrain.operators import gram, history, selection
 
 PS = [0.0, 0.25, 0.5, 0.75, 0.95, 0.999, 1.0]
@@ -115,3 +116,14 @@ def test_rows_without_a_time_come_first(spark):
     df = spark.createDataFrame([("u", None, "a"), ("u", None, "b"), ("u", 5, "c")], "k string, s long, t string").withColumn("ts", F.timestamp_seconds("s"))
     assert [r["e"] for r in history.prior_experience(df, ["k"], "ts", ["t"], "e").orderBy("t").collect()] == [0, 1, 2]
     assert [r["a"] for r in history.recent_activity(df, ["k"], "ts", ["t"], 1, "a").orderBy("t").collect()] == [0, 1, 0]
+
+
+def test_terms_are_found_in_tasks_from_texts_made_once(spark):
+    """Texts give the terms that arrays of them give, and are made in one pass."""
+    texts = spark.range(40).select(F.concat_ws(" ", F.lit("the alpha be_ta x"), F.concat(F.lit("w"), F.col("id") % 7), F.when(F.col("id") % 3 == 0, "café alpha")).alias("t")).unionByName(spark.sql("select cast(null as string) t"))
+    want = text.heavy_terms(texts.select(text.terms(F.col("t")).alias("terms")), 9).collect()
+    assert text.heavy_terms(texts, 9, stop_words=text.STOP_WORDS).collect() == want
+    made = spark.sparkContext.accumulator(0)
+    mark = F.udf(lambda t: (made.add(1), t)[1])
+    assert len(text.fit_vocabulary(texts.repartition(2).select(mark("t").alias("t")), "t", 9).collect()) == 9
+    assert made.value == 41
