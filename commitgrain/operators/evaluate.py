@@ -16,13 +16,18 @@ def classify(df: DataFrame, threshold: float) -> DataFrame:
     return df.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def score_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("model", "score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
+def _count(of: Column, rows: str | None) -> Column:
+    """How many rows are so; with `rows`, a column says how many each row is."""
+    return F.count_if(of) if rows is None else F.coalesce(F.sum(F.when(of, F.col(rows))), F.lit(0).cast("long"))
 
 
-def cumulated(df: DataFrame) -> DataFrame:
+def score_counts(df: DataFrame, rows: str | None = None) -> DataFrame:
+    return df.groupBy("model", "score").agg(_count(F.col("y") == 1, rows).alias("p"), _count(F.col("y") == 0, rows).alias("n"))
+
+
+def cumulated(df: DataFrame, rows: str | None = None) -> DataFrame:
     """(model, threshold, tp, fp, pos, neg) at each distinct score."""
-    return _cumulated(score_counts(df))
+    return _cumulated(score_counts(df, rows))
 
 
 def _cumulated(counts: DataFrame) -> DataFrame:
@@ -39,9 +44,9 @@ def roc_curve(df: DataFrame) -> DataFrame:
     return points.unionByName(start)
 
 
-def roc_auc(df: DataFrame) -> DataFrame:
+def roc_auc(df: DataFrame, rows: str | None = None) -> DataFrame:
     """(model, auc) by trapezoids: tied scores count a half."""
-    c = cumulated(df)
+    c = cumulated(df, rows)
     w = Window.partitionBy("model").orderBy(F.desc("threshold"))
     area = (F.col("fp") - F.coalesce(F.lag("fp").over(w), F.lit(0))) * (F.col("tp") + F.coalesce(F.lag("tp").over(w), F.lit(0))) / 2
     return c.select("model", "pos", "neg", area.alias("area")).groupBy("model").agg(F.try_divide(F.sum("area"), F.first("pos") * F.first("neg")).alias("auc"))
@@ -90,11 +95,11 @@ def _best_mcc(counts: DataFrame, steps: int = 100) -> DataFrame:
     return each.groupBy("model").agg(F.max_by(F.struct("threshold", "mcc"), F.struct("mcc", -F.col("threshold"))).alias("b")).select("model", "b.threshold", "b.mcc")
 
 
-def report(df: DataFrame, predicted: str = "predicted") -> DataFrame:
+def report(df: DataFrame, predicted: str = "predicted", rows: str | None = None) -> DataFrame:
     """(model, class, precision, recall, f1, support) for 0, 1, accuracy, macro
     and weighted averages; 0 where a ratio has no base."""
     y, p = F.col("y"), F.col(predicted)
-    c = df.groupBy("model").agg(F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"), F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 0) & (p == 0)).alias("tn"))
+    c = df.groupBy("model").agg(*[_count((y == a) & (p == b), rows).alias(k) for k, a, b in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))])
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn
@@ -102,10 +107,10 @@ def report(df: DataFrame, predicted: str = "predicted") -> DataFrame:
     for k, (a, b, d) in {"1": (tp, fp, fn), "0": (tn, fn, fp)}.items():
         part[k] = (ratio(a, a + b), ratio(a, a + d), ratio(2 * a, 2 * a + b + d), a + d)
     acc = ratio(tp + tn, n)
-    rows = {**part, "accuracy": (acc, acc, acc, n), "macro": (*[(part["0"][i] + part["1"][i]) / 2 for i in range(3)], n),
+    lines = {**part, "accuracy": (acc, acc, acc, n), "macro": (*[(part["0"][i] + part["1"][i]) / 2 for i in range(3)], n),
             "weighted": (*[ratio(part["0"][i] * part["0"][3] + part["1"][i] * part["1"][3], n) for i in range(3)], n)}
     names = ("precision", "recall", "f1", "support")
-    each = F.array(*[F.struct(F.lit(k).alias("class"), *[v.alias(m) for v, m in zip(vs, names)]) for k, vs in rows.items()])
+    each = F.array(*[F.struct(F.lit(k).alias("class"), *[v.alias(m) for v, m in zip(vs, names)]) for k, vs in lines.items()])
     return c.select("model", F.explode(each).alias("r")).select("model", "r.class", "r.precision", "r.recall", "r.f1", F.col("r.support").cast("long").alias("support"))
 
 

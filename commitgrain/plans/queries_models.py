@@ -105,16 +105,21 @@ def forest():
     return models.random_forest(10, 5)
 
 
+def counted(scored):
+    """Rows and mean score by label and prediction."""
+    return scored.groupBy("label", "predicted").agg(F.sum("rows").alias("n"), (F.sum(F.col("score") * F.col("rows")) / F.sum("rows")).alias("score"))
+
+
 def m2(spark, d):
     n = models.split(small(spark, d), KEY)
     model = models.fit(n.filter("is_test = 0"), NUM, models.random_forest(100, 10))
-    return models.predict(model, n.filter("is_test = 1")).groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("score"))
+    return counted(models.predict_cells(model, n.filter("is_test = 1")))
 
 
 def m3(spark, d):
     n = models.with_weights(small(spark, d))
     model = models.fit_with_patience(n.filter("fold <> 0"), NUM, models.boosted_trees(weight="weight"), n.filter("fold = 0"))
-    return models.predict(model, n).groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("score"))
+    return counted(models.predict_cells(model, n))
 
 
 def m5(spark, d):
@@ -138,7 +143,7 @@ def m9(spark, d):
     n = small(spark, d)
     names = models.refine(m8(spark, d), 0.0) or NUM
     model = models.fit(n, names, forest())
-    return models.predict(model, n).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"), F.lit(len(names)).alias("features"))
+    return models.predict_cells(model, n, []).groupBy("predicted").agg(F.sum("rows").alias("n"), F.lit(len(names)).alias("features"))
 
 
 def m10(spark, d):

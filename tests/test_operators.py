@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -427,3 +428,65 @@ def test_draws_of_a_cell_are_those_of_its_rows(spark):
         assert sum((x - mean) ** 2 for x in got) / len(got) == pytest.approx(variance, rel=0.15)
         again = held.repartition(7).select("code", cells.draws(7, rate, repeats).alias("d"))
         assert sorted(x for r in again.collect() for x in r["d"]) == sorted(got)
+
+
+def test_importance_counts_cells_before_it_scores(spark, monkeypatch):
+    """As many rows are scored as there are cells, and a row crosses once."""
+    monkeypatch.setattr(models, "BLOCK_ROWS", 100)
+    df = spark.range(3000).selectExpr("id", "cast(id % 5 as double) a", "cast(if(id % 4 = 3, null, id % 4) as double) b", "cast(id % 5 + id * 7 % 3 > 3 as int) label")
+    model, seen = models.fit(df, ["a", "b"], models.random_forest(3, 3)), []
+    whole = type(model.stages[1]).transform
+
+    def counted(self, dataset, *rest):
+        seen.append(dataset.count())
+        return whole(self, dataset, *rest)
+
+    rows = models.permuted(df.withColumn("b", F.coalesce("b", F.lit(math.nan))), ["a", "b"], ["id"], 2)
+    acc = {r["feature"]: r["acc"] for r in model.stages[1].transform(rows).groupBy("feature").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("acc")).collect()}
+    monkeypatch.setattr(type(model.stages[1]), "transform", counted)
+    got = {r["feature"]: r["importance"] for r in models.permutation_importance(model, df, ["id"]).collect()}
+    assert got["a"] == pytest.approx(acc[-1] - acc[0]) and got["b"] == pytest.approx(acc[-1] - acc[1])
+    assert len(seen) == 1 and seen[0] <= 3 * 40
+    seen.clear()
+    cells_of = models.predict_cells(model, df)
+    assert seen[0] <= 40
+    monkeypatch.undo()
+    want = {(r["label"], r["predicted"], r["score"]): r["count"] for r in models.predict(model, df).groupBy("label", "predicted", "score").count().collect()}
+    assert {(r["label"], r["predicted"], r["score"]): r["rows"] for r in cells_of.groupBy("label", "predicted", "score").agg(F.sum("rows").alias("rows")).collect()} == want
+
+
+def test_blocks_are_mixed_whole_wherever_batches_end(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(cells, "TASK_ROWS", 7)
+    rng = np.random.default_rng(1)
+    table = pa.table({"block": np.repeat(np.arange(9), 11), "k0": rng.integers(0, 1 << 62, 99), "x0": rng.random(99), "x1": rng.random(99), "label": (rng.random(99) > 0.5).astype("f8")})
+    total = lambda size: sorted((k, sum(r["rows"] for r in rows if (r["label"], r["feature"], r["code"]) == k)) for rows in [[r for b in cells.mix([[0.3, 0.6], [0.5]], 1)(iter(table.to_batches(size))) for r in b.to_pylist()]] for k in {(r["label"], r["feature"], r["code"]) for r in rows})
+    assert total(5) == total(13) == total(99) and sum(n for _, n in total(5)) == 3 * 99
+
+
+def test_folds_and_grids_are_scored_by_cells(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id", "cast(id % 5 as double) a", "cast(id % 4 as double) b", "cast(id % 5 + id * 7 % 3 > 3 as int) label")
+    seen, whole = [], RandomForestClassificationModel.transform
+
+    def counted(self, dataset, *rest):
+        seen.append(dataset.count())
+        return whole(self, dataset, *rest)
+
+    monkeypatch.setattr(RandomForestClassificationModel, "transform", counted)
+    models.cross_validate(df, ["a", "b"], models.random_forest(2, 2), ["id"], 2)
+    models.grid_search(df, ["a", "b"], models.random_forest(2, 2), {"maxDepth": [1, 2]}, ["id"], 2)
+    assert len(seen) == 6 and max(seen) <= 40
+
+
+def test_losses_of_held_cells_are_those_of_rows(spark):
+    df = spark.range(900).selectExpr("id", "cast(id % 5 as double) a", "cast(id * 7 % 11 as double) b", "cast(id % 5 + id * 7 % 3 > 3 as int) label", "1.0D + id % 3 w")
+    made, train, held = models.boosted_trees(4, 2, weight="w"), df.filter("id % 3 <> 0"), df.filter("id % 3 = 0")
+    both = models.number_columns(train, ["a", "b"], made).unionByName(models.number_columns(held, ["a", "b"], made, F.lit(True)))
+    found = cells.Cells(both, 32)
+    run = models.CellBoosting(found, made)
+    run.run(4)
+    with models.dealt(held, ["a", "b"], made) as rows:
+        assert run.losses() == pytest.approx(run.model().evaluateEachIteration(rows)) and found.held.count() < 200 < rows.count()
+    run.close()
+    found.close()
