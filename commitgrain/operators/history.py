@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,30 +15,17 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _same(names: list[str]) -> Column:
-    """Equal keys, nulls alike; the other side has them with a mark in front."""
-    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in names])
-
-
-def _marked(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.withColumnsRenamed({c: f"_r{c}" for c in names})
-
-
-def _before(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, _b, _sum) -> (keys, _b, _before): what all earlier buckets have.
-    The only window over whole keys; it sees a row a bucket."""
-    w = Window.partitionBy(*keys).orderBy("_b")
-    return sums.select(*keys, "_b", (F.sum("_sum").over(w) - F.col("_sum")).alias("_before"))
-
-
-def prior_experience(df: DataFrame, keys: list[str], ts: str, ties: list[str], out: str = "author_exp_pre", bucket: int = HOUR) -> DataFrame:
+def prior_experience(df: DataFrame, keys: list[str], ts: str, ties: list[str], out: str = "author_exp_pre", bucket: int = 7 * DAY) -> DataFrame:
     """Rows of the same keys that come earlier, in order of time and ties. Rows
-    are numbered inside buckets of time; earlier buckets are summed."""
-    df = df.withColumn("_b", F.floor(micros(ts) / bucket))
-    at = [*keys, "_b"]
-    sums = df.groupBy(*at).agg(F.count(F.lit(1)).alias("_sum"))
-    inside = F.row_number().over(Window.partitionBy(*at).orderBy(ts, *ties)) - 1
-    return df.withColumn(out, inside).join(_marked(_before(sums, keys), at), _same(at)).withColumn(out, (F.col(out) + F.col("_before")).cast("long")).drop("_b", "_before", *[f"_r{c}" for c in at])
+    are numbered inside buckets of time; earlier buckets are summed. Keys and
+    bucket are one struct, in which nulls are alike, so rows stay where they
+    were numbered when they meet the sums."""
+    df = df.withColumn("_at", F.struct(*keys, F.floor(micros(ts) / bucket).alias("_b")))
+    sums = df.groupBy("_at").agg(F.count(F.lit(1)).alias("_sum"))
+    w = Window.partitionBy(*[F.col("_at")[k] for k in keys]).orderBy(F.col("_at")["_b"])  # a row a bucket
+    before = sums.select("_at", (F.sum("_sum").over(w) - F.col("_sum")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_at").orderBy(ts, *ties)) - 1
+    return df.withColumn(out, inside).join(before, "_at").withColumn(out, (F.col(out) + F.col("_before")).cast("long")).drop("_at", "_before")
 
 
 def trailing(df: DataFrame, value: Column, keys: list[str], place: Column, ties: list[str], span: int, bucket: int, out: str) -> DataFrame:
@@ -48,23 +33,21 @@ def trailing(df: DataFrame, value: Column, keys: list[str], place: Column, ties:
     whose place, a long, is at most `span` smaller, bound included; 0 for none.
     Null values count 0.
 
-    No task sees a whole key: a row's sum is what comes before it less what
-    comes before place - span. Each of the two is the sum of whole buckets,
-    from a table of a row a key and bucket, and a running sum inside one
-    bucket. The bounds place - span are points of that table, so they find
-    their bucket by an equal key."""
+    No task sees a whole key: places are dealt into buckets no shorter than
+    span, and rows that those of the next bucket may reach are there too, by
+    place and value alone. Inside a bucket a row's sum is what comes before it
+    less what comes before place - span, both running sums: one exchange, and
+    work that follows rows however many a span has."""
+    bucket, payload = max(bucket, span), df.columns
     df = df.withColumns({"_x": place, "_v": F.coalesce(value, F.lit(0)).cast("long")}).withColumn("_b", F.floor(F.col("_x") / bucket))
-    at = [*keys, "_b"]
-    instants = df.groupBy(*keys, "_x").agg(F.sum("_v").alias("_v"))
-    points = instants.select(*keys, (F.col("_x") - span).alias("_x"), F.lit(0).cast("long").alias("_v"))
-    both = instants.unionByName(points).groupBy(*keys, "_x").agg(F.sum("_v").alias("_v")).withColumn("_b", F.floor(F.col("_x") / bucket))
-    before = _marked(_before(both.groupBy(*at).agg(F.sum("_v").alias("_sum")), keys), at)
-    drop = [f"_r{c}" for c in at]
-    inside = F.sum("_v").over(Window.partitionBy(*at).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v")
-    bounds = both.withColumn("_in", inside).join(before, _same(at)).select(*keys, (F.col("_x") + span).alias("_x"), (F.col("_in") + F.col("_before")).alias("_gone"))
-    mine = F.sum("_v").over(Window.partitionBy(*at).orderBy("_x", *ties).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v")
-    df = df.withColumn("_in", mine).join(before, _same(at)).drop(*drop).join(_marked(bounds, [*keys, "_x"]), _same([*keys, "_x"]))
-    return df.withColumn(out, F.col("_in") + F.col("_before") - F.col("_gone")).drop("_x", "_v", "_b", "_in", "_before", "_gone", *drop, "_r_x")
+    reached = F.floor((F.col("_x") + span) / bucket) > F.col("_b")
+    df = df.withColumn("_later", F.explode(F.when(reached, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    df = df.select(*[F.col(c) if c in keys else F.when(F.col("_later") == 0, F.col(c)).alias(c) for c in payload], "_x", "_v", "_later", (F.col("_b") + F.col("_later")).alias("_b"))
+    part = Window.partitionBy(*keys, "_b")
+    upto = F.sum("_v").over(part.orderBy("_x", *ties).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v")
+    gone = F.sum("_v").over(part.orderBy("_x").rangeBetween(Window.unboundedPreceding, -span - 1))
+    df = df.withColumn("_upto", upto).withColumn("_gone", F.when(F.col("_x").isNotNull(), F.coalesce(gone, F.lit(0))).otherwise(0))
+    return df.filter("_later = 0").select(*payload, (F.col("_upto") - F.col("_gone")).alias(out))
 
 
 def sliding(df: DataFrame, value: Column, keys: list[str], ts: str, ties: list[str], days: int, out: str) -> DataFrame:

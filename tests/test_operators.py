@@ -490,3 +490,21 @@ def test_losses_of_held_cells_are_those_of_rows(spark):
         assert run.losses() == pytest.approx(run.model().evaluateEachIteration(rows)) and found.held.count() < 200 < rows.count()
     run.close()
     found.close()
+
+
+def test_trailing_sums_take_one_exchange(spark):
+    rows = [("r", f"c{i:03}", "f", None if i % 5 == 0 else f"u{i % 2}", None if i % 31 == 0 else at(i * 7 % 40, i % 3), i, None if i % 4 == 0 else 1) for i in range(200)]
+    c = commits(spark, rows).persist()
+    got = history.recent_activity(c, ["author_email"], "canonical_datetime", ["commit", "filepath"], 7)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    key = lambda r: (r[4], r[1])
+    for r in got.collect():
+        if r["canonical_datetime"] is None:
+            want = sum(o[4] is None and o[3] == r["author_email"] and o[1] < r["commit"] for o in rows)
+        else:
+            want = sum(o[4] is not None and o[3] == r["author_email"] and key(o) < (r["canonical_datetime"], r["commit"]) and (r["canonical_datetime"] - o[4]).total_seconds() <= 7 * 86400 for o in rows)
+        assert r["author_recent_activity_pre"] == want
+    first = history.prior_experience(c.filter("canonical_datetime is not null"), ["repo", "author_email"], "canonical_datetime", ["commit", "filepath"])
+    for r in first.collect():
+        assert r["author_exp_pre"] == sum(o[4] is not None and o[3] == r["author_email"] and key(o) < (r["canonical_datetime"], r["commit"]) for o in rows)
+    c.unpersist()
